@@ -319,4 +319,7 @@ def with_views(sql: str) -> str:
     visit(sql)
     if not ordered:
         return sql
-    return "with " + ",\n".join(f"{n}{COLUMN_NAMES.get(n, '')} as ({VIEWS[n]})" for n in ordered) + "\n" + sql
+    prefix = "with " + ",\n".join(f"{n}{COLUMN_NAMES.get(n, '')} as ({VIEWS[n]})" for n in ordered)
+    # A query with views of its own continues the list.
+    own = sql.lstrip()
+    return f"{prefix},\n{own[len('with '):]}" if own.startswith("with ") else f"{prefix}\n{own}"

@@ -35,3 +35,8 @@ def lookup_label(name: Column, labels: dict[str, str] = METRIC_LABELS) -> Column
 def segment_label(*parts: Column, null_text: str = "nan") -> Column:
     """The parts joined by space-bar-space; a missing part shows as ``null_text``."""
     return F.concat_ws(" | ", *(F.coalesce(p.cast("string"), F.lit(null_text)) for p in parts))
+
+
+def sql_text(value: str) -> str:
+    """A string as a SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 BUCKETS = 256
 
 
-def sort_buckets(df: DataFrame, key: str, buckets: int = BUCKETS) -> Column:
-    """Bucket number of each row such that buckets follow the order of ``key``.
+def with_sort_bucket(df: DataFrame, key: str, name: str, buckets: int = BUCKETS) -> DataFrame:
+    """Number each row so that the numbers follow the order of ``key``.
 
     The cut points are the keys with the smallest hashes: a uniform sample of the distinct keys
     that depends on the data alone, so every evaluation agrees on it, and never more than
     ``buckets`` values.
     """
-    sample = df.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(buckets - 1)
+    sample = df.orderBy(F.xxhash64(key), key).limit(buckets - 1)
     cuts = sample.agg(F.array_sort(F.collect_list(key))).scalar()
-    return F.size(F.filter(cuts, lambda cut: cut <= F.col(key)))
+    passed = F.filter("_cuts", lambda cut: cut <= F.col(key))
+    return df.withColumn("_cuts", cuts).withColumn(name, F.size(passed)).drop("_cuts")
 
 
 def running_totals(
@@ -40,7 +41,7 @@ def running_totals(
     measured = list(totals.values())
     # Always true; it keeps the measures in every branch, so one shuffle of df serves them all.
     rows = df.where(F.col(key).isNotNull()).where(sum((F.col(m) for m in measured), F.lit(0)) >= 0)
-    ranged = rows.withColumn("_range", sort_buckets(rows, key, buckets))
+    ranged = with_sort_bucket(rows, key, "_range", buckets)
 
     def direction(name: str) -> Column:
         return F.desc(name) if descending else F.asc(name)

@@ -76,13 +76,12 @@ def preprocessing(categorical: Sequence[str] = CATEGORICAL, numeric: Sequence[st
     encoded = [f"{c}_onehot" for c in categorical]
     numbers = [f"{c}_number" for c in numeric]
     imputed = [f"{c}_imputed" for c in numeric]
-    most_frequent = ", ".join(
-        f"CASE WHEN {c} IS NULL THEN 0.0D ELSE {i} END AS {f}" for c, i, f in zip(categorical, indexed, filled)
-    )
-    as_double = ", ".join(f"CAST({c} AS DOUBLE) AS {n}" for c, n in zip(numeric, numbers))
+    filling = [f"CASE WHEN {c} IS NULL THEN 0.0D ELSE {i} END AS {f}" for c, i, f in zip(categorical, indexed, filled)]
+    casting = [f"CAST({c} AS DOUBLE) AS {n}" for c, n in zip(numeric, numbers)]
+    typed = SQLTransformer(statement=f"SELECT {', '.join(['*', *filling, *casting])} FROM __THIS__")
     return [
         StringIndexer(inputCols=list(categorical), outputCols=indexed, handleInvalid="keep"),
-        SQLTransformer(statement=f"SELECT *, {most_frequent}, {as_double} FROM __THIS__"),
+        typed,
         OneHotEncoder(inputCols=filled, outputCols=encoded, handleInvalid="keep", dropLast=True),
         Imputer(inputCols=numbers, outputCols=imputed, strategy="median"),
         VectorAssembler(inputCols=[*encoded, *imputed], outputCol="features", handleInvalid="keep"),

@@ -10,8 +10,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lossledger.functions.dates import tenure_months
+from lossledger.functions.text import sql_text
 from lossledger.operators.lookups import lookup_join
 from lossledger.sources.tables import Tables
 
@@ -66,11 +68,19 @@ COMPETITOR_BY_PRIORITY = {"1": "Canva", "2": "Adobe Express", "3": "Figma", "4":
 
 
 def _pick(values: Sequence[str], number: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, values)), (F.pmod(number, F.lit(len(values))) + 1).cast("int"))
+    listed = F.expr(f"array({', '.join(map(sql_text, values))})")
+    return F.element_at(listed, (F.pmod(number, F.lit(len(values))) + 1).cast("int"))
+
+
+_SCHEMAS: dict[str, StructType] = {}
 
 
 def _read(spark: SparkSession, path: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{table}.parquet")
+    """A table of the star schema; its footer is read once per session, not once per query."""
+    file = f"{path}/{table}.parquet"
+    if file not in _SCHEMAS:
+        _SCHEMAS[file] = spark.read.parquet(file).schema
+    return spark.read.schema(_SCHEMAS[file]).parquet(file)
 
 
 def accounts(spark: SparkSession, path: str) -> DataFrame:
