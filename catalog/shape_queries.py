@@ -64,10 +64,9 @@ def metrics_long(spark, path):
 # ---- scalar functions -------------------------------------------------------------------------
 
 
-@register("f01_lower", "select doc_id, lower(text) as lowered from documents where lang = 'en'")
+@register("f01_lower", "select doc_id, lower(text) as lowered from documents")
 def lower(spark, path):
-    documents = spark.read.parquet(f"{path}/documents.parquet")
-    return documents.where(F.col("lang") == "en").select("doc_id", F.lower("text").alias("lowered"))
+    return spark.read.parquet(f"{path}/documents.parquet").select("doc_id", F.lower("text").alias("lowered"))
 
 
 @register("f02_contains", """
@@ -104,10 +103,10 @@ def segment_label(spark, path):
     return views.with_segment(inputs.segments(spark, path)).select("segment", "total_revenue_loss")
 
 
-@register("f06_upper", "select n_nationkey, upper(lower(n_name)) as label from nation")
+@register("f06_upper", "select c_custkey, upper(lower(c_name)) as label from customer")
 def upper(spark, path):
-    nation = spark.read.parquet(f"{path}/nation.parquet")
-    return nation.select("n_nationkey", F.upper(F.lower("n_name")).alias("label"))
+    customer = spark.read.parquet(f"{path}/customer.parquet")
+    return customer.select("c_custkey", F.upper(F.lower("c_name")).alias("label"))
 
 
 @register("f07_parse_day", """

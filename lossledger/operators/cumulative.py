@@ -20,7 +20,8 @@ def with_sort_bucket(df: DataFrame, key: str, name: str, buckets: int = BUCKETS)
     sample = df.orderBy(F.xxhash64(key), key).limit(buckets - 1)
     cuts = sample.agg(F.array_sort(F.collect_list(key))).scalar()
     passed = F.filter("_cuts", lambda cut: cut <= F.col(key))
-    return df.withColumn("_cuts", cuts).withColumn(name, F.size(passed)).drop("_cuts")
+    # Never null, so a join on the number adds no null test to evaluate twice.
+    return df.withColumn("_cuts", cuts).withColumn(name, F.coalesce(F.size(passed), F.lit(0))).drop("_cuts")
 
 
 def running_totals(
@@ -33,15 +34,13 @@ def running_totals(
 ) -> DataFrame:
     """Append ``{name: running total of column}`` in the order of ``key``.
 
-    ``df`` has one row per distinct key and non-negative whole numbers to total. Rows are cut
-    into ranges of the key, each range is summed, and a range's rows start from the total of
-    the ranges before it. Only the range totals (at most ``buckets`` rows) are ordered in one
-    place and broadcast.
+    ``df`` has one row per distinct, non-null key and is read three times, so it should be a
+    stored table. Rows are cut into ranges of the key, each range is summed, and a range's rows
+    start from the total of the ranges before it. Only the range totals (at most ``buckets``
+    rows) are ordered in one place and broadcast.
     """
     measured = list(totals.values())
-    # Always true; it keeps the measures in every branch, so one shuffle of df serves them all.
-    rows = df.where(F.col(key).isNotNull()).where(sum((F.col(m) for m in measured), F.lit(0)) >= 0)
-    ranged = with_sort_bucket(rows, key, "_range", buckets)
+    ranged = with_sort_bucket(df, key, "_range", buckets)
 
     def direction(name: str) -> Column:
         return F.desc(name) if descending else F.asc(name)

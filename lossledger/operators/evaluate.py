@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lossledger.functions.numbers import ratio
 from lossledger.operators.cumulative import BUCKETS, running_totals
+from lossledger.session import stage
 
 NO_THRESHOLD = 0.5
 
@@ -34,14 +35,14 @@ def _f1(tp: Column, fp: Column, positives: Column) -> Column:
 def pr_curve(scored: DataFrame, label: str, score: str, buckets: int = BUCKETS) -> DataFrame:
     """Precision, recall and F1 when everything at or above a score is called positive.
 
-    One row per distinct score; ``tp`` and ``fp`` are counts at or above it.
+    One row per distinct score; ``tp`` and ``fp`` are counts at or above it. The collapsed
+    counts are stored, so the scored table is evaluated once however often the curve reads them.
     """
-    counts = score_counts(scored, label, score)
+    counts = stage(score_counts(scored, label, score))
     curve = running_totals(
         counts, "score", {"tp": "positives", "fp": "negatives"}, descending=True, buckets=buckets
     )
-    # Reads score and both counts, like the curve itself, so the collapsed table is shuffled once.
-    whole = counts.where(F.col("positives") + F.col("negatives") >= 0).agg(F.sum("positives")).scalar()
+    whole = counts.agg(F.sum("positives")).scalar()
     tp, fp = F.col("tp"), F.col("fp")
     return (
         curve.withColumn("_positives", whole)

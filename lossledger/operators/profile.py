@@ -13,6 +13,7 @@ from lossledger.functions.numbers import exact_mean, flag, money_sum
 from lossledger.operators.cumulative import running_totals
 from lossledger.operators.features import USAGE_MEANS, churn_labels
 from lossledger.operators.lookups import lookup_join
+from lossledger.session import stage
 
 
 def null_counts(df: DataFrame, table: str) -> DataFrame:
@@ -33,15 +34,16 @@ def value_counts(df: DataFrame, column: str, dropna: bool = True) -> DataFrame:
 def quantiles(df: DataFrame, column: str, fractions: Sequence[float]) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per fraction.
 
-    Values collapse to one row each with their frequency, running totals give every value its
-    ranks, and a quantile reads the values at the two ranks around it. Nothing is collected.
+    Values collapse to one row each with their frequency, which is stored; running totals give
+    every value its ranks, and a quantile reads the values at the two ranks around it. Nothing
+    is collected.
     """
     value = F.col(column).cast("double")
-    counts = (
+    counts = stage(
         df.where(F.col(column).isNotNull()).groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("occurrences"))
     )
     ranked = running_totals(counts, "value", {"upto": "occurrences"})
-    total = counts.where(F.col("occurrences") + F.col("value") * 0 >= 0).agg(F.sum("occurrences")).scalar()
+    total = counts.agg(F.sum("occurrences")).scalar()
     located = ranked.withColumn("_n", total)
 
     def position(q: float) -> Column:
