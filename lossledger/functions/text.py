@@ -21,9 +21,9 @@ METRIC_LABELS = {
 
 
 def is_blank(text: Column) -> Column:
-    """Null, empty or white space only. Trimming stops at the first other character, so long
-    texts cost no more than short ones, and no regular expression is run."""
-    return text.isNull() | (F.btrim(text, F.lit(WHITESPACE)) == "")
+    """Null, empty or white space only. Trimming the left side stops at the first other
+    character; no regular expression is run over the text."""
+    return text.isNull() | (F.ltrim(text, F.lit(WHITESPACE)) == "")
 
 
 def lookup_label(name: Column, labels: dict[str, str] = METRIC_LABELS) -> Column:

@@ -19,9 +19,14 @@ def with_sort_bucket(df: DataFrame, key: str, name: str, buckets: int = BUCKETS)
     """
     sample = df.orderBy(F.xxhash64(key), key).limit(buckets - 1)
     cuts = sample.agg(F.array_sort(F.collect_list(key))).scalar()
-    passed = F.filter("_cuts", lambda cut: cut <= F.col(key))
-    # Never null, so a join on the number adds no null test to evaluate twice.
-    return df.withColumn("_cuts", cuts).withColumn(name, F.coalesce(F.size(passed), F.lit(0))).drop("_cuts")
+    placed = df.withColumns({"_cuts": cuts, name: F.lit(0)})
+    # Binary search, one projection per halving; reading past the last cut gives null.
+    step = 1 << max(buckets - 1, 1).bit_length() - 1
+    while step:
+        passed = F.get("_cuts", F.col(name) + (step - 1)) <= F.col(key)
+        placed = placed.withColumn(name, F.col(name) + F.when(passed, step).otherwise(0))
+        step //= 2
+    return placed.drop("_cuts")
 
 
 def running_totals(

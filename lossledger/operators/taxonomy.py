@@ -117,7 +117,7 @@ def _winner_inline(lowered: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     ranked = counted.selectExpr("*", f"greatest({counts}) AS _hits" if len(rules) > 1 else f"{counts} AS _hits")
     won = F.struct(
         F.col("_hits").alias("hits"),
-        is_blank(F.col("_text")).alias("blank"),
+        ((F.col("_hits") == 0) & is_blank(F.col("_text"))).alias("blank"),
         F.expr(ladder(lambda r: sql_text(r.category))).alias("category"),
         F.expr(ladder(lambda r: sql_text(r.subcategory))).alias("subcategory"),
         F.expr(f"CASE WHEN _hits > 0 THEN {ladder(terms)} END").alias("terms"),
