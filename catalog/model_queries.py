@@ -173,7 +173,8 @@ def train_and_score(spark, path):
     """The full forest: fit on three quarters, score every account."""
     table = stage(feature_table(spark, path))
     trained = model.train(table)
-    return scoring.score_table(model.score(trained.model, table))
+    scored = model.score(trained.model, table).select(*scoring.SCORE_INPUTS, "churn_probability")
+    return scoring.score_table(stage(scored))
 
 
 # ---- recommendations, views, extracts ---------------------------------------------------------
@@ -205,21 +206,21 @@ def segment_view(spark, path):
     select account_id, cast(cancellation_date as varchar) as cancellation_date, churned_revenue, category, subcategory,
            cancellation_reason_text from cancellations_classified""")
 def cancellation_evidence(spark, path):
-    return views.evidence(inputs.classified_cancellations(spark, path), "cancellations")
+    return views.evidence_from_text(star.cancellations(spark, path), "cancellations")
 
 
 @register("v04_ticket_evidence", """
     select account_id, cast(created_date as varchar) as created_date, ticket_type, priority, resolution_hours,
            category, subcategory, ticket_summary from tickets_classified""")
 def ticket_evidence(spark, path):
-    return views.evidence(inputs.classified_tickets(spark, path), "support_tickets")
+    return views.evidence_from_text(star.support_tickets(spark, path), "support_tickets")
 
 
 @register("v04_note_evidence", """
     select n.deal_id, o_custkey as account_id, cast(note_date as varchar) as note_date, category, subcategory,
            note_text from notes_classified n join orders on n.deal_id = o_orderkey""")
 def note_evidence(spark, path):
-    return views.evidence(inputs.classified_notes_with_account(spark, path), "sales_notes")
+    return views.evidence_from_text(star.sales_notes_with_account(spark, path), "sales_notes")
 
 
 @register("v05_quality_row", "select roc_auc, pr_auc, accuracy, recall, f1 from metrics")

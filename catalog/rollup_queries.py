@@ -404,5 +404,5 @@ def top_segments(spark, path):
     select account_id, cast(cancellation_date as varchar) as cancellation_date, churned_revenue, category, subcategory
     from cancellations_classified order by cancellation_date desc""")
 def newest_cancellations(spark, path):
-    newest = views.evidence(inputs.classified_cancellations(spark, path), "cancellations")
+    newest = views.evidence_from_text(star.cancellations(spark, path), "cancellations")
     return newest.drop("cancellation_reason_text")

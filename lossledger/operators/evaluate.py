@@ -15,6 +15,9 @@ from lossledger.session import stage
 
 NO_THRESHOLD = 0.5
 
+# Metrics in reporting order.
+METRICS = ("roc_auc", "pr_auc", "accuracy", "recall", "f1", "optimal_threshold", "positive_rate")
+
 
 def score_counts(scored: DataFrame, label: str, score: str) -> DataFrame:
     """Positives and negatives per distinct score."""

@@ -14,6 +14,9 @@ from lossledger.operators.lookups import lookup_join
 TIER_FLOOR = -0.01
 TIERS = ((0.25, "Low"), (0.5, "Medium"), (0.75, "High"), (1.0, "Critical"))
 
+# Account columns a score table needs besides the probability.
+SCORE_INPUTS = ("account_id", "monthly_revenue", "plan_type", "region", "industry")
+
 
 def risk_tier(probability: Column) -> Column:
     """Tier of a probability; each tier includes its upper bound, and anything outside is null."""
@@ -36,11 +39,7 @@ def score_table(scored: DataFrame, probability: str = "churn_probability") -> Da
     """Account scores with tier and revenue at risk, from any table with a probability."""
     p = F.col(probability)
     table = scored.select(
-        "account_id",
-        "monthly_revenue",
-        "plan_type",
-        "region",
-        "industry",
+        *SCORE_INPUTS,
         p.alias("churn_probability"),
         risk_tier(p).alias("risk_tier"),
         revenue_at_risk(F.col("monthly_revenue"), p).alias("estimated_monthly_revenue_at_risk"),

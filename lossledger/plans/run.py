@@ -5,16 +5,18 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
+from lossledger.functions.numbers import money_sum
 from lossledger.operators.attribution import attribute_deals
 from lossledger.operators.features import account_features
 from lossledger.operators.ledger import loss_events, loss_ledger
 from lossledger.operators.model import TREES, score, train
 from lossledger.operators.recommend import recommend
 from lossledger.operators.rollups import loss_summary, loss_trend, segment_loss
-from lossledger.operators.scoring import score_table
+from lossledger.operators.scoring import SCORE_INPUTS, score_table
 from lossledger.operators.taxonomy import RULES, Rule, classify
-from lossledger.session import apply_settings
+from lossledger.session import apply_settings, stage
 from lossledger.settings import AS_OF, SEED
 from lossledger.sources import sinks
 from lossledger.sources.tables import Tables, load_tables
@@ -79,7 +81,9 @@ def run_tables(
 
     features = store("account_features", account_features(tables, as_of))
     trained = train(features, seed=seed, trees=trees)
-    write("account_risk_scores", score_table(score(trained.model, features)))
+    # Stored before it is sorted: a global sort reads its input twice, and the forest is costly.
+    scored = stage(score(trained.model, features).select(*SCORE_INPUTS, "churn_probability"))
+    write("account_risk_scores", score_table(scored))
     trained.model.write().overwrite().save(f"{out_path}/{sinks.MODEL}")
     sinks.write_metrics(trained.metrics, out_path)
 
@@ -93,10 +97,6 @@ def run_tables(
 
 
 def total_loss(summary: DataFrame) -> DataFrame:
-    from pyspark.sql import functions as F
-
-    from lossledger.functions.numbers import money_sum
-
     return summary.agg(F.coalesce(money_sum(F.col("lost_revenue")), F.lit(0.0)).alias("revenue_loss_total"))
 
 

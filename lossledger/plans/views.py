@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from lossledger.functions.numbers import as_money, exact_mean
 from lossledger.functions.text import lookup_label, segment_label
+from lossledger.operators.evaluate import METRICS
 from lossledger.operators.ledger import CHURN, LOST_DEAL
 from lossledger.operators.rollups import SEGMENT
 from lossledger.operators.scoring import by_risk
+from lossledger.operators.taxonomy import RULES, Rule, classify
 from lossledger.settings import RISK_THRESHOLD
 
 TREND_MEASURES = ["churn_revenue_lost", "lost_deal_value", "total_revenue_loss"]
-METRIC_ORDER = ["roc_auc", "pr_auc", "accuracy", "recall", "f1", "optimal_threshold", "positive_rate"]
-QUALITY = METRIC_ORDER[:5]
+QUALITY = METRICS[:5]
 
 
 def _total(value: Column) -> Column:
@@ -142,7 +143,7 @@ def loss_chart(summary: DataFrame) -> DataFrame:
     return rolled.orderBy(F.desc("lost_revenue"), "category", "source")
 
 
-def metrics_long(metrics: DataFrame, names: Sequence[str] = METRIC_ORDER) -> DataFrame:
+def metrics_long(metrics: DataFrame, names: Sequence[str] = METRICS) -> DataFrame:
     """One row per metric in a fixed order; a metric that is missing shows as 0."""
     known = set(metrics.columns)
     rows = [
@@ -198,8 +199,23 @@ EVIDENCE: Mapping[str, tuple[str, str, tuple[str, ...]]] = {
 }
 
 
+def newest_first(records: DataFrame, kind: str) -> DataFrame:
+    """The id breaks ties of one day, which also lets the range sort split a day that holds very
+    many records."""
+    day, record, _ = EVIDENCE[kind]
+    return records.orderBy(F.col(day).desc_nulls_last(), record)
+
+
 def evidence(classified: DataFrame, kind: str) -> DataFrame:
-    """Classified records of one kind, newest first. The id breaks ties, which also lets the
-    range sort split a day that holds very many records."""
-    day, record, shown = EVIDENCE[kind]
-    return classified.orderBy(F.col(day).desc_nulls_last(), record).select(*shown)
+    """Classified records of one kind, newest first."""
+    return newest_first(classified, kind).select(*EVIDENCE[kind][2])
+
+
+def evidence_from_text(records: DataFrame, kind: str, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """As ``evidence``, for records that are not classified yet.
+
+    They are sorted first: a global sort reads its input twice, once to find the range bounds,
+    and the classification should not be part of that.
+    """
+    shown = EVIDENCE[kind][2]
+    return classify(newest_first(records, kind), shown[-1], rules).select(*shown)

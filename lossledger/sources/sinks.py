@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lossledger.functions.numbers import round_half_even
+from lossledger.operators.evaluate import METRICS
 
 PROCESSED = "processed"
 ARTIFACTS = "artifacts"
 MODEL = f"{ARTIFACTS}/churn_model"
-METRICS = f"{ARTIFACTS}/model_metrics"
+METRICS_PATH = f"{ARTIFACTS}/model_metrics"
 
 # Outputs the reporting views read.
 REQUIRED = (
@@ -46,14 +47,12 @@ def table_path(root: str, name: str) -> str:
 def write_metrics(metrics: DataFrame, root: str) -> None:
     """One JSON line, four decimals."""
     rounded = metrics.select(*(round_half_even(F.col(c), 4).alias(c) for c in metrics.columns))
-    rounded.write.mode("overwrite").json(f"{root}/{METRICS}")
+    rounded.write.mode("overwrite").json(f"{root}/{METRICS_PATH}")
 
 
 def read_metrics(spark: SparkSession, root: str) -> DataFrame:
-    from lossledger.plans.views import METRIC_ORDER
-
-    schema = ", ".join(f"{m} double" for m in METRIC_ORDER)
-    return spark.read.schema(schema).json(f"{root}/{METRICS}")
+    schema = ", ".join(f"{m} double" for m in METRICS)
+    return spark.read.schema(schema).json(f"{root}/{METRICS_PATH}")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -65,7 +64,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def outputs_ready(spark: SparkSession, root: str, names: Iterable[str] = REQUIRED) -> bool:
     """Whether every output was written to the end."""
-    paths = [*(table_path(root, n) for n in names), f"{root}/{METRICS}"]
+    paths = [*(table_path(root, n) for n in names), f"{root}/{METRICS_PATH}"]
     return all(exists(spark, f"{p}/_SUCCESS") for p in paths)
 
 
