@@ -189,7 +189,7 @@ def recommendations(spark, path):
     select account_id, plan_type, region, industry, churn_probability, risk_tier, monthly_revenue,
            estimated_monthly_revenue_at_risk
     from risk where churn_probability >= 0.15::double and plan_type in ('pro', 'team') and region in ('ASIA', 'EUROPE')
-    order by estimated_monthly_revenue_at_risk desc, account_id limit 50""")
+    order by estimated_monthly_revenue_at_risk desc, churn_probability desc, account_id limit 50""")
 def at_risk_view(spark, path):
     return views.top_at_risk(inputs.risk(spark, path), 0.15, ["pro", "team"], ["ASIA", "EUROPE"])
 

@@ -388,7 +388,7 @@ def top_categories(spark, path):
     select account_id, plan_type, region, industry, churn_probability, risk_tier, monthly_revenue,
            estimated_monthly_revenue_at_risk
     from risk where churn_probability >= 0.2::double
-    order by estimated_monthly_revenue_at_risk desc, account_id limit 50""")
+    order by estimated_monthly_revenue_at_risk desc, churn_probability desc, account_id limit 50""")
 def top_accounts_at_risk(spark, path):
     return views.top_at_risk(inputs.risk(spark, path), threshold=0.2)
 

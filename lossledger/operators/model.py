@@ -109,7 +109,8 @@ def train(features: DataFrame, seed: int = SEED, trees: int = TREES) -> Trained:
     """
     marked = features.withColumn("_holdout", is_holdout(F.col("account_id"), F.col(LABEL), seed=seed))
     fit_on = with_class_weight(marked.where(~F.col("_holdout")).drop("_holdout"))
-    model = build_pipeline(seed=seed, trees=trees).fit(fit_on)
+    # The copy carries no training summary, which holds on to the session and its data.
+    model = build_pipeline(seed=seed, trees=trees).fit(fit_on).copy()
     holdout = score(model, marked.where("_holdout").drop("_holdout"))
     overall = features.agg(F.avg(LABEL)).scalar()
     metrics = ranking_metrics(pr_curve(holdout, LABEL, "churn_probability")).withColumn("positive_rate", overall)

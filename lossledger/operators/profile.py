@@ -94,8 +94,12 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     flat = span["lo"] == span["hi"]
     low = F.when(flat, span["lo"] - 0.5).otherwise(span["lo"])
     width = F.when(flat, 1.0 / bins).otherwise((span["hi"] - span["lo"]) / bins)
-    numbers = present.select(
-        F.least(F.floor((F.col("x") - low) / width), F.lit(bins - 1)).alias("bin"), F.lit(1).alias("n")
+    guess = F.least(F.floor((F.col("x") - low) / width), F.lit(bins - 1))
+    # The division can land one bin off next to an edge; the edges decide.
+    below = (F.col("x") < low + F.col("guess") * width).cast("int")
+    above = ((F.col("x") >= low + (F.col("guess") + 1) * width) & (F.col("guess") < bins - 1)).cast("int")
+    numbers = present.withColumn("guess", guess).select(
+        (F.col("guess") - below + above).alias("bin"), F.lit(1).alias("n")
     )
     every_bin = df.sparkSession.range(bins).select(F.col("id").alias("bin"), F.lit(0).alias("n"))
     counted = numbers.unionByName(every_bin).groupBy("bin").agg(F.sum("n").alias("occurrences"))

@@ -93,7 +93,7 @@ def top_at_risk(
 ) -> DataFrame:
     """The ``n`` accounts with most revenue at risk among those chosen and above the threshold."""
     chosen = at_risk(choose(scores, plans, regions), threshold)
-    return chosen.orderBy(F.desc("estimated_monthly_revenue_at_risk"), "account_id").limit(n).select(
+    return by_risk(chosen).limit(n).select(
         "account_id",
         "plan_type",
         "region",
