@@ -120,7 +120,7 @@ def test_hot_key_is_split_by_adaptive_execution(spark, settings):
 
 def test_rows_without_key_spread_over_partitions(spark, settings):
     no_broadcast(settings)
-    settings(spark__sql__adaptive__enabled="false")
+    settings(spark__sql__adaptive__enabled="false", spark__sql__shuffle__partitions="8")
     joined = hot_join(spark, None)
     sizes = [r[0] for r in joined.groupBy(F.spark_partition_id()).count().select("count").collect()]
     assert len(sizes) == 8 and max(sizes) < 60000 / 3
