@@ -65,7 +65,15 @@ def one_hot(spark, path):
     )
 
 
-@register("m05_median_impute")
+@register("m05_median_impute", """
+    with u as (select account_id, avg_projects_created, avg_weekly_active_users
+               from accounts left join usage_means using (account_id))
+    select account_id, avg_projects_created, avg_weekly_active_users,
+           coalesce(avg_projects_created, (select quantile_disc(avg_projects_created, 0.5) from u))
+             as avg_projects_created_imputed,
+           coalesce(avg_weekly_active_users, (select quantile_disc(avg_weekly_active_users, 0.5) from u))
+             as avg_weekly_active_users_imputed
+    from u""")
 def median_impute(spark, path):
     """Usage measures left null where an account has none, then filled with the median."""
     table = account_features(star.star_tables(spark, path), fill=None)
@@ -85,13 +93,36 @@ def class_weights(spark, path):
     return weighted.groupBy(LABEL, "class_weight").agg(F.count(F.lit(1)).alias("accounts"))
 
 
-@register("m08_prepared_features")
+# Number of values each category takes in the star-schema tables.
+VALUES = {"company_size": 3, "industry": 5, "region": 5, "plan_type": 3}
+
+
+def _one_hot_sql() -> str:
+    ranks = ",\n".join(
+        f"{c}_rank as (select {c}, row_number() over (order by count(*) desc, {c}) - 1 as {c}_i from accounts group by {c})"
+        for c in VALUES
+    )
+    bits = ", ".join(f"cast({c}_i = {i} as integer)::double as {c}_{i}" for c, n in VALUES.items() for i in range(n))
+    numbers = ", ".join(f"{c}::double as {c}" for c in NUMERIC)
+    joins = " ".join(f"join {c}_rank using ({c})" for c in VALUES)
+    return f"with {ranks} select account_id, {bits}, {numbers} from features {joins}"
+
+
+@register("m08_prepared_features", _one_hot_sql())
 def prepared_features(spark, path):
-    """The preprocessing of the model alone: width and content of the assembled vector."""
+    """The preprocessing of the model alone, its vector spread over columns."""
     table = stage(feature_table(spark, path))
     fitted = Pipeline(stages=model.preprocessing()).fit(table)
-    vector = vector_to_array(F.col("features"))
-    return fitted.transform(table).select("account_id", F.size(vector).alias("width"), vector.alias("features"))
+    names = [*(f"{c}_{i}" for c in CATEGORICAL for i in range(VALUES[c])), *NUMERIC]
+    vectors = fitted.transform(table).select("account_id", vector_to_array(F.col("features")).alias("v"))
+    return vectors.select("account_id", *(F.get("v", F.lit(i)).alias(n) for i, n in enumerate(names)))
+
+
+@register("m09_holdout_scores")
+def holdout_scores(spark, path):
+    """Scores of the accounts a smaller forest was not fitted on."""
+    trained = model.train(stage(feature_table(spark, path)), trees=50)
+    return trained.holdout.select("account_id", LABEL, "churn_probability")
 
 
 @register("m06_forest_scores")

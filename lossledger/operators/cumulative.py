@@ -7,10 +7,16 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 256
+MIN_BUCKETS = 256
 
 
-def with_sort_bucket(df: DataFrame, key: str, name: str, buckets: int = BUCKETS) -> DataFrame:
+def default_buckets(df: DataFrame) -> int:
+    """As many ranges as the session has shuffle partitions, so that ranges shrink as a cluster
+    grows; the range totals that are ordered in one place stay in the thousands."""
+    return max(MIN_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def with_sort_bucket(df: DataFrame, key: str, name: str, buckets: int) -> DataFrame:
     """Number each row so that the numbers follow the order of ``key``.
 
     The cut points are the keys with the smallest hashes: a uniform sample of the distinct keys
@@ -35,7 +41,7 @@ def running_totals(
     totals: Mapping[str, str],
     *,
     descending: bool = False,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Append ``{name: running total of column}`` in the order of ``key``.
 
@@ -44,6 +50,7 @@ def running_totals(
     start from the total of the ranges before it. Only the range totals (at most ``buckets``
     rows) are ordered in one place and broadcast.
     """
+    buckets = buckets or default_buckets(df)
     measured = list(totals.values())
     ranged = with_sort_bucket(df, key, "_range", buckets)
 

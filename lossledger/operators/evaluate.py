@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lossledger.functions.numbers import ratio
-from lossledger.operators.cumulative import BUCKETS, running_totals
+from lossledger.operators.cumulative import running_totals
 from lossledger.session import stage
 
 NO_THRESHOLD = 0.5
@@ -35,7 +35,7 @@ def _f1(tp: Column, fp: Column, positives: Column) -> Column:
     return ratio(2.0 * tp, tp + fp + positives, 0.0)
 
 
-def pr_curve(scored: DataFrame, label: str, score: str, buckets: int = BUCKETS) -> DataFrame:
+def pr_curve(scored: DataFrame, label: str, score: str, buckets: int | None = None) -> DataFrame:
     """Precision, recall and F1 when everything at or above a score is called positive.
 
     One row per distinct score; ``tp`` and ``fp`` are counts at or above it. The collapsed

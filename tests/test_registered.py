@@ -12,7 +12,7 @@ from tools.compare import check, connect
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="driver tables are not here")
 
-ROWS_ONLY = {"m05_median_impute", "m06_forest_scores", "m08_prepared_features", "m16_train_and_score"}
+ROWS_ONLY = {"m06_forest_scores", "m09_holdout_scores", "m16_train_and_score"}
 
 
 @pytest.fixture(scope="module")
