@@ -151,19 +151,36 @@ def with_churned(df: DataFrame, cancellations: DataFrame) -> DataFrame:
     return lookup_join(df, left, "account_id").withColumn("churned", F.coalesce("churned", F.lit(0)))
 
 
-def ticket_summary(support: DataFrame) -> DataFrame:
-    return support.groupBy("account_id").agg(
+TICKET_MEASURES = ("ticket_id", "resolution_hours", "csat_score")
+
+
+def ticket_aggregates() -> list[Column]:
+    return [
         F.count("ticket_id").alias("ticket_count"),
         F.avg("resolution_hours").alias("avg_resolution_hours"),
         F.avg("csat_score").alias("avg_csat"),
-    )
+    ]
+
+
+def ticket_summary(support: DataFrame) -> DataFrame:
+    return support.groupBy("account_id").agg(*ticket_aggregates())
 
 
 def account_health(accounts: DataFrame, usage: DataFrame, support: DataFrame, cancellations: DataFrame) -> DataFrame:
-    """Accounts with usage means, churn flag and ticket summary; no tickets counts as 0."""
-    flagged = with_churned(account_usage(accounts, usage), cancellations)
-    return lookup_join(flagged, ticket_summary(support), "account_id").na.fill(
-        0, ["ticket_count", "avg_resolution_hours", "avg_csat"]
+    """Accounts with usage means, churn flag and ticket summary; no tickets counts as 0.
+
+    The three sources are aggregated together, so the accounts are joined once.
+    """
+    rows = (
+        usage.select("account_id", *USAGE_MEANS)
+        .unionByName(support.select("account_id", *TICKET_MEASURES), allowMissingColumns=True)
+        .unionByName(cancellations.select("account_id", F.lit(1).alias("churned")), allowMissingColumns=True)
+    )
+    activity = rows.groupBy("account_id").agg(
+        *(F.avg(m).alias(m) for m in USAGE_MEANS), *ticket_aggregates(), F.max("churned").alias("churned")
+    )
+    return lookup_join(accounts, activity, "account_id").na.fill(
+        0, ["ticket_count", "avg_resolution_hours", "avg_csat", "churned"]
     )
 
 
