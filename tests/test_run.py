@@ -5,8 +5,9 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from lossledger.operators.rollups import reconcile
-from lossledger.plans import exports
+from lossledger.operators.ledger import loss_events, lost_deals
+from lossledger.operators.rollups import loss_trend, reconcile
+from lossledger.plans import exports, views
 from lossledger.plans.run import run
 from lossledger.sources import sinks
 from lossledger.sources.schemas import SCHEMAS
@@ -131,3 +132,28 @@ def test_csv_outputs(spark, tmp_path):
     assert sinks.write_table(df, str(tmp_path / "t"), "csv") == 2
     back = spark.read.schema("t string, n int").option("header", True).option("escape", '"').csv(str(tmp_path / "t"))
     assert sorted(rows(back), key=repr) == sorted(rows(df), key=repr)
+
+
+def test_filters_on_stored_tables_reach_the_scan(spark, finished):
+    outputs = sinks.load_outputs(spark, finished[2])
+    deals = spark.read.parquet(sinks.table_path(finished[2], "deals_enriched"))
+
+    def scan(df):
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        return df._jdf.queryExecution().explainString(mode)
+
+    assert "EqualTo(deal_status,lost)" in scan(lost_deals(deals).select("deal_id"))
+    chosen = views.at_risk(views.choose(outputs["account_risk_scores"], ["pro"], ["Asia", "Europe"]), 0.3)
+    plan = scan(chosen.select("account_id"))
+    assert "EqualTo(plan_type,pro)" in plan or "In(plan_type" in plan
+    assert "In(region, [Asia,Europe])" in plan and "GreaterThanOrEqual(churn_probability,0.3)" in plan
+    assert "monthly_revenue" not in plan
+
+
+def test_rollups_of_stored_tables_read_few_columns(spark, finished):
+    stored = {n: spark.read.parquet(sinks.table_path(finished[2], n)) for n in ("deals_enriched", "cancellations_classified")}
+    events = loss_events(stored["deals_enriched"], stored["cancellations_classified"])
+    plan = loss_trend(events)._jdf.queryExecution().executedPlan().toString()
+    assert "note_text" not in plan and "cancellation_reason_text" not in plan and "Join" not in plan
+    # One shuffle for the months, one for their order.
+    assert plan.count("Exchange") == 2
