@@ -7,13 +7,16 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Bounds on the number of ranges, and so on the range totals that are broadcast.
 MIN_BUCKETS = 256
+MAX_BUCKETS = 16_384
 
 
 def default_buckets(df: DataFrame) -> int:
     """As many ranges as the session has shuffle partitions, so that ranges shrink as a cluster
-    grows; the range totals that are ordered in one place stay in the thousands."""
-    return max(MIN_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    grows. More ranges only make them smaller; every row is in one."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(MIN_BUCKETS, partitions), MAX_BUCKETS)
 
 
 def with_sort_bucket(df: DataFrame, key: str, name: str, buckets: int) -> DataFrame:

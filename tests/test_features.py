@@ -1,7 +1,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from lossledger.operators import features
 from lossledger.operators.features import CATEGORICAL, LABEL, NUMERIC, account_features, recent_means, recent_weeks
