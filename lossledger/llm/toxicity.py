@@ -6,9 +6,9 @@ subsequence counts less the farther it is spread, so letters put in between or l
 similarity but do not end it. Landmark strings span the feature space; the machine is linear in it,
 which makes its decision a weighted sum over the subsequences of a string, kept as two tables.
 
-Only documents carry labels. Strings are labelled from them: a smallest set of strings that occur
-in toxic but not in clean documents and together explain the toxic ones is toxic, strings of clean
-documents are clean, and both sides are extended by what a first machine gets most wrong. A
+Only documents carry labels. Strings are labelled from them: toxic are those too frequent in
+toxic documents to be chance, and those needed to explain the rest; strings of clean documents are
+clean; and both sides are extended by what a first machine gets most wrong. A
 document is as toxic as its most toxic string; a logistic curve on documents not used before turns
 that into a probability.
 
@@ -24,10 +24,12 @@ each document row is scored for itself.
 from __future__ import annotations
 
 import re
+import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
+from itertools import batched, combinations
 
 import numpy as np
 import pandas as pd
@@ -38,28 +40,29 @@ from pyspark.sql.pandas.functions import pandas_udf
 from lossledger.llm.common import map_rows
 
 MAX_TOXIC, MAX_CLEAN = 1500, 3000
-LANDMARKS = 256
+LANDMARKS = 192
 DECAY = 0.6
-REACH = {3: 6, 4: 8}  # longest stretch of a subsequence, by its length
+REACH = {3: 5, 4: 7}  # longest stretch of a subsequence, by its length
 LETTERS = 32
 LONGEST = 14  # longer words are seen through overlapping windows of this length
 THRESHOLD = 0.7
 CACHE_WORDS = 400_000
 
 _SPELLED = re.compile(r"(?<!\S)\w(?:\s+\w(?!\S)){2,}")
-_CODE = {chr(97 + i): i for i in range(26)}
 
 
 def letters_of(word: str) -> str:
-    return "".join([c for c in word.lower() if c.isalnum()])
+    return word.lower() if word.isalnum() else "".join([c for c in word.lower() if c.isalnum()])
 
 
 def raw_strings(text: str | None) -> set[str]:
     """The distinct words of a text, and runs of single letters as one word."""
     if not text:
         return set()
-    found = set(text.split())
-    found.update("".join(m[0].split()) for m in _SPELLED.finditer(text))
+    words = text.split()
+    found = set(words)
+    if sum([len(w) == 1 for w in words]) >= 3:
+        found.update("".join(m[0].split()) for m in _SPELLED.finditer(text))
     return found
 
 
@@ -94,7 +97,8 @@ def subsequences(words: list[str], size: int) -> Iterator[tuple[np.ndarray, np.n
         scaled = weights / np.sqrt((weights * weights).sum())
         for start in range(0, len(members), 4096):
             rows = np.array(members[start : start + 4096])
-            codes = np.array([[_CODE.get(c, 26 + ord(c) % 6) for c in words[i]] for i in rows], np.int64)
+            points = np.frombuffer("".join([words[i] for i in rows]).encode("utf-32-le"), "<u4").reshape(-1, length)
+            codes = np.where((points >= 97) & (points <= 122), points - 97, 26 + points % 6).astype(np.int64)
             code = codes[:, places[:, 0]]
             for j in range(1, size):
                 code = code * LETTERS + codes[:, places[:, j]]
@@ -115,13 +119,17 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
                         table.append(np.zeros(len(landmarks)))
                     table[index[c]][r] += w
         known = np.array(sorted(index), np.int64)
-        grid = np.vstack([table[index[c]] for c in known.tolist()] + [np.zeros(len(landmarks))])
+        if not len(known):
+            continue
+        grid = np.vstack([table[index[c]] for c in known.tolist()])
         for rows, code, scaled in subsequences(words, size):
-            for start in range(0, len(rows), 256):
-                part = code[start : start + 256]
-                at = np.minimum(np.searchsorted(known, part), len(known) - 1)
-                at = np.where(known[at] == part, at, len(known))
-                out[rows[start : start + 256]] += np.einsum("wcl,c->wl", grid[at], scaled) / len(REACH)
+            at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+            row, place = np.nonzero(known[at] == code)  # few subsequences are in any landmark
+            for some in np.array_split(np.arange(len(row)), len(row) // 50_000 + 1):
+                if len(some):
+                    r, first = np.unique(row[some], return_index=True)
+                    shared = grid[at[row[some], place[some]]] * scaled[place[some], None]
+                    out[rows[r]] += np.add.reduceat(shared, first, axis=0) / len(REACH)
     return out
 
 
@@ -134,10 +142,12 @@ class Machine:
     curve: tuple[float, float, float] = (0.0, 0.0, 0.0)
 
     def decide(self, words: list[str]) -> np.ndarray:
-        out = np.full(len(words), self.bias)
+        out = np.full(len(words), min(self.bias, -0.5))  # of words without subsequences, too
+        done = np.zeros(len(words))
         for size, table in self.tables.items():
             for rows, code, scaled in subsequences(words, size):
-                out[rows] += table[code] @ scaled
+                done[rows] += table[code] @ scaled
+                out[rows] = self.bias + done[rows]
         return out
 
     def decide_raw(self, raw: list[str]) -> np.ndarray:
@@ -145,11 +155,14 @@ class Machine:
         owners, parts = [], []
         for i, word in enumerate(raw):
             letters = letters_of(word)
-            if len(letters) >= 3:
+            if len(letters) <= LONGEST:
+                owners.append(i)
+                parts.append(letters)
+            else:
                 for part in _windows(letters):
                     owners.append(i)
                     parts.append(part)
-        out = np.full(len(raw), min(self.bias, -1.0))
+        out = np.full(len(raw), -1.0)
         if parts:
             np.maximum.at(out, np.array(owners), self.decide(parts))
         return out
@@ -179,14 +192,33 @@ def _svm(features: np.ndarray, labels: np.ndarray, strength: float = 30.0, round
     return w[:-1], float(w[-1])
 
 
-def _explaining(toxic: list[set[str]], clean: Counter) -> list[str]:
-    """Strings that occur in no clean document (but for stray ones) and together cover the toxic ones."""
-    least = 2 if len(toxic) < 200 else 3
+def _one_of_each_family(bags: list[set[str]]) -> list[set[str]]:
+    """Copies and near copies count once: bags that agree in two of four least hashes of long words."""
+    seen: set[tuple] = set()
+    kept = []
+    for words in bags:
+        long = [w.encode() for w in words if len(w) >= 8]
+        least = [min((zlib.crc32(w, seed), w) for w in long) for seed in range(4)] if long else []
+        bands = {(i, *least[i : i + 2]) for i in (0, 2)} if least else {("all", *sorted(words))}
+        if not bands & seen:
+            kept.append(words)
+        seen |= bands
+    return kept
+
+
+def _explaining(toxic: list[set[str]], clean: Counter, cleans: int) -> list[str]:
+    """Strings that mark toxic documents: those too frequent there to be chance, then those needed
+    to explain the documents that hold none of them."""
+    toxic = _one_of_each_family(toxic)
     counts = Counter(w for words in toxic for w in words)
-    usual = {w for w, n in counts.items() if n >= least and clean[w] * 20 <= n and len(w) >= 3}
-    left = [words & usual for words in toxic]
+    share = max(len(toxic), 1) / (max(len(toxic), 1) + max(cleans, 1))
+    enough = max(2, int(np.ceil(np.log(1e-4) / np.log(share))))
+    rare = {w for w, n in counts.items() if clean[w] * 20 <= n and len(w) >= 3}
+    chosen = sorted(w for w in rare if counts[w] >= enough)
+    marks = set(chosen)
+    left = [words & rare for words in toxic if not words & marks]
     counts = Counter(w for words in left for w in words)
-    chosen: list[str] = []
+    least = max(2, enough // 3)
     while counts:
         word, gain = max(counts.items(), key=lambda item: (item[1], item[0]))
         if gain < least:
@@ -239,7 +271,7 @@ def train(labelled: list[tuple[int, list[str]]], toxic_share: float, seed: int =
     toxic = [w for y, w in learn if y]
     clean = Counter(w for y, words in learn if not y for w in words)
     flat = Machine({}, -1.0, (float(np.log(max(toxic_share, 1e-9) / max(1 - toxic_share, 1e-9))), 0.0, 0.0))
-    positive = _explaining(toxic, clean)
+    positive = _explaining(toxic, clean, sum(not y for y, _ in learn))
     if not positive or not clean:
         return flat
     rng = np.random.default_rng(seed)
@@ -249,9 +281,9 @@ def train(labelled: list[tuple[int, list[str]]], toxic_share: float, seed: int =
     shown = [w[:LONGEST] for w in positive]
     negative = [pool[i] for i in sorted(rng.permutation(len(pool))[:12_000])]
     machine = _fit(shown, negative, seed)
-    for _ in range(2):
+    for _ in range(3):
         scores = machine.decide(pool)
-        worst = [pool[i] for i in np.argsort(-scores, kind="stable")[:2000]]
+        worst = [pool[i] for i in np.argsort(-scores, kind="stable")[:2500]]
         negative = sorted(set(negative) | set(worst))
         counts = Counter(w for words in toxic for w in words if w not in clean and 3 <= len(w) <= LONGEST)
         doubt = sorted(w for w, n in counts.items() if n >= 2)
@@ -260,9 +292,11 @@ def train(labelled: list[tuple[int, list[str]]], toxic_share: float, seed: int =
             shown = sorted(set(shown) | {w for w, f in zip(doubt, found) if f > 0.25})
         machine = _fit(shown, negative, seed)
     held = [b for i, b in enumerate(labelled) if i % 3 == 0]
+    every = sorted({w for _, words in held for w in words})
+    value = dict(zip(every, machine.decide_raw(every).tolist()))
     x, y = [], []
     for label, words in held:
-        f = machine.decide_raw(list(words)) if words else np.array([-1.0])
+        f = np.array([value[w] for w in words] or [-1.0])
         x.append((float(f.max()), float(np.log1p((f > 0).sum()))))
         y.append(label)
     y = np.array(y, float)
@@ -308,19 +342,32 @@ class Scorer:
     def __init__(self, machine: Machine):
         self.machine, self.known = machine, {}
 
-    def __call__(self, text: str | None) -> float:
-        words = raw_strings(text)
-        if not words:
-            return self.machine.probability(-1.0, 0)
-        known = self.known
-        new = [w for w in words if w not in known]
-        if new:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-                new = list(words)
-            known.update(zip(new, self.machine.decide_raw(new).tolist()))
-        found = [known[w] for w in words]
-        return self.machine.probability(max(found), sum([f > 0 for f in found]))
+    def __call__(self, texts: list[str | None]) -> list[float]:
+        """One score for each text; the new words of all of them are decided together."""
+        bags = [raw_strings(text) for text in texts]
+        if len(self.known) > CACHE_WORDS:
+            self.known = {}
+        new = [w for w in set().union(*bags) if w not in self.known]
+        for start in range(0, len(new), 20_000):
+            part = new[start : start + 20_000]
+            self.known.update(zip(part, self.machine.decide_raw(part).tolist()))
+        out = []
+        for words in bags:
+            found = [self.known[w] for w in words] or [-1.0]
+            out.append(self.machine.probability(max(found), sum([f > 0 for f in found])))
+        return out
+
+
+BATCH = 128  # texts scored together
+_SCORERS: dict[str, Scorer] = {}
+
+
+def _scorer(name: str, machine) -> Scorer:
+    """The scorer of this Python worker, kept from task to task; only the latest machine's stays."""
+    if name not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[name] = Scorer(machine.value)
+    return _SCORERS[name]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
@@ -328,11 +375,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     """Per document row: id, whether it is held out, the score and the prediction."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col=id_col, text_col=text_col, **options))
 
+    name = uuid.uuid4().hex
+
     def score(rows: Iterator[dict]) -> Iterator[tuple]:
-        scorer = Scorer(shared.value)
-        for row in rows:
-            value = scorer(row["text"])
-            yield row["doc_id"], row["held_out"], value, int(value >= threshold)
+        scorer = _scorer(name, shared)
+        for part in batched(rows, BATCH):
+            for row, value in zip(part, scorer([row["text"] for row in part])):
+                yield row["doc_id"], row["held_out"], value, int(value >= threshold)
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
                        F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"))
@@ -348,10 +397,12 @@ def without_toxic(docs: DataFrame, labels: DataFrame, *, labelled_docs: DataFram
     source = docs if labelled_docs is None else labelled_docs
     shared = docs.sparkSession.sparkContext.broadcast(fit(source, labels, text_col=text_col, **options))
 
+    name = uuid.uuid4().hex
+
     @pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Scorer(shared.value)
+        scorer = _scorer(name, shared)
         for texts in parts:
-            yield pd.Series([scorer(t) for t in texts], dtype="float64")
+            yield pd.Series([s for part in batched(texts, BATCH) for s in scorer(list(part))], dtype="float64")
 
     return docs.where(score(F.col(text_col)) < threshold)
