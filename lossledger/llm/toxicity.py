@@ -23,7 +23,6 @@ each document row is scored for itself.
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from collections import Counter
@@ -46,9 +45,9 @@ REACH = {3: 5, 4: 7}  # longest stretch of a subsequence, by its length
 LETTERS = 32
 LONGEST = 14  # longer words are seen through overlapping windows of this length
 THRESHOLD = 0.7
+FLOOR = -0.6  # lower decisions do not tell documents apart
 CACHE_WORDS = 400_000
 
-_SPELLED = re.compile(r"(?<!\S)\w(?:\s+\w(?!\S)){2,}")
 
 
 def letters_of(word: str) -> str:
@@ -61,8 +60,13 @@ def raw_strings(text: str | None) -> set[str]:
         return set()
     words = text.split()
     found = set(words)
-    if sum([len(w) == 1 for w in words]) >= 3:
-        found.update("".join(m[0].split()) for m in _SPELLED.finditer(text))
+    single = [i for i, w in enumerate(words) if len(w) == 1]
+    start = 0
+    for end in range(1, len(single) + 1):
+        if end == len(single) or single[end] != single[end - 1] + 1:
+            if end - start >= 3:
+                found.add("".join([words[i] for i in single[start:end]]))
+            start = end
     return found
 
 
@@ -172,6 +176,11 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(a + b * highest + c * np.log1p(above), -30, 30))))
 
 
+def document_features(decisions: list[float]) -> tuple[float, int]:
+    """The highest decision, but at least FLOOR, and the number of those above 0."""
+    return max([FLOOR, *decisions]), sum([d > 0 for d in decisions])
+
+
 def _svm(features: np.ndarray, labels: np.ndarray, strength: float = 30.0, rounds: int = 25) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss and balanced classes, by Newton steps."""
     x = np.hstack([features, np.ones((len(features), 1))])
@@ -296,8 +305,8 @@ def train(labelled: list[tuple[int, list[str]]], toxic_share: float, seed: int =
     value = dict(zip(every, machine.decide_raw(every).tolist()))
     x, y = [], []
     for label, words in held:
-        f = np.array([value[w] for w in words] or [-1.0])
-        x.append((float(f.max()), float(np.log1p((f > 0).sum()))))
+        highest, above = document_features([value[w] for w in words])
+        x.append((highest, float(np.log1p(above))))
         y.append(label)
     y = np.array(y, float)
     if len(set(y.tolist())) < 2:
@@ -337,25 +346,25 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 
 class Scorer:
-    """Scores texts with a machine; decisions of recent words are kept."""
+    """Scores texts with a machine; recent words are kept, with decisions only for those above FLOOR."""
 
     def __init__(self, machine: Machine):
-        self.machine, self.known = machine, {}
+        self.machine, self.known, self.near, self.value = machine, set(), set(), {}
 
     def __call__(self, texts: list[str | None]) -> list[float]:
         """One score for each text; the new words of all of them are decided together."""
         bags = [raw_strings(text) for text in texts]
         if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        new = [w for w in set().union(*bags) if w not in self.known]
+            self.known, self.near, self.value = set(), set(), {}
+        new = list(set().union(*bags) - self.known)
         for start in range(0, len(new), 20_000):
             part = new[start : start + 20_000]
-            self.known.update(zip(part, self.machine.decide_raw(part).tolist()))
-        out = []
-        for words in bags:
-            found = [self.known[w] for w in words] or [-1.0]
-            out.append(self.machine.probability(max(found), sum([f > 0 for f in found])))
-        return out
+            decided = self.machine.decide_raw(part)
+            self.known.update(part)
+            self.value.update((part[i], float(decided[i])) for i in np.flatnonzero(decided > FLOOR))
+        if new:
+            self.near = set(self.value)
+        return [self.machine.probability(*document_features([self.value[w] for w in words & self.near])) for words in bags]
 
 
 BATCH = 128  # texts scored together
