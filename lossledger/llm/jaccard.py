@@ -25,7 +25,7 @@ an id are one node with all their sets; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, groupby
 from math import comb
 
 import numpy as np
@@ -39,6 +39,7 @@ from lossledger.llm.hashing import mix, run_hashes, word_hashes
 WORD_COUNTS = Sketch(depth=1, bits=22, dtype="u4", top=2**32 - 1)  # 16 MB whatever the corpus
 MEMBERS = Sketch(depth=2, bits=24, dtype="u1", top=1)  # 32 MB whatever the number of candidates
 CLASSES = 128
+BLOCK_SETS = 512
 SMALL_LIMIT = 29  # larger sets would send hundreds of subsets each
 SUBSET_COST = 1.0
 LIST_COST = 0.02  # of an entry scanned, most of which a size or class bound rejects
@@ -108,7 +109,7 @@ def _sets(docs: DataFrame, n: int, limit: Threshold, counts) -> DataFrame:
             classes = np.bincount((elements & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
             small = size <= SMALL_LIMIT
             yield (row["doc_id"], size, *_key(elements), ranked.view("i8").tolist(),
-                   classes.astype("<u4").tobytes(), elements.view("i8").tolist() if small else None,
+                   np.minimum(classes, 65535).astype("<u2").tobytes(), elements.view("i8").tolist() if small else None,
                    float(np.exp2((ranked >> np.uint64(56)).astype(float) / 8).sum()) if small else 0.0)
 
     return map_rows(docs, {"doc_id": "bigint", "n": "int", "key_a": "bigint", "key_b": "bigint",
@@ -116,6 +117,12 @@ def _sets(docs: DataFrame, n: int, limit: Threshold, counts) -> DataFrame:
                            "scan": "double"}, build)
 
 
+def _counts(stored: bytes) -> np.ndarray:
+    """Elements per class; a class too full for its two bytes allows any number."""
+    counts = np.frombuffer(stored, "<u2").astype(np.int64)
+    return np.where(counts == 65535, 1 << 40, counts)
+
+
 def _signed(number: np.uint64) -> int:
     return int(np.uint64(number).view("i8"))
 
@@ -171,8 +178,7 @@ def _possible(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
 
     def test(rows: Iterator[dict]) -> Iterator[tuple]:
         for row in rows:
-            x, y = np.frombuffer(row["ca"], "<u4"), np.frombuffer(row["cb"], "<u4")
-            if int(np.minimum(x, y).sum()) >= limit.overlap(row["na"], row["nb"]):
+            if int(np.minimum(_counts(row["ca"]), _counts(row["cb"])).sum()) >= limit.overlap(row["na"], row["nb"]):
                 yield row["a"], row["b"]
 
     first = own.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("classes").alias("ca"))
@@ -208,6 +214,44 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, limit: Threshold) -> Da
     return staged(map_rows(met, {"a": "bigint", "b": "bigint"}, compare).distinct())
 
 
+def _unlinked(lists: DataFrame, sets: DataFrame, small: int, limit: Threshold) -> DataFrame:
+    """Pairs within a list that are in different classes and may be linked.
+
+    A list is cut into blocks of bounded size and each pair of blocks is one unit of work, so a long
+    list is spread over many tasks. Pairs are compared inside the unit, by sizes and by counts of
+    element classes; only those that pass leave it.
+    """
+    length = lists.groupBy("element").agg(F.count(F.lit(1)).alias("sets")).select(
+        "element", F.ceil(F.col("sets") / BLOCK_SETS).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    full = lists.join(sets.select("doc_id", "n", "classes"), ["doc_id", "n"])
+    sent = full.join(length, "element").withColumn("own", own).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "element", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own",
+        "doc_id", "n", "class", "classes")
+    unit = ["element", "low", "high"]
+
+    def compare(rows: Iterator[dict]) -> Iterator[tuple]:
+        for (_, low, high), members in groupby(rows, key=lambda r: (r["element"], r["low"], r["high"])):
+            members = list(members)
+            counts = np.array([_counts(r["classes"]) for r in members])
+            ids, sizes, kinds, blocks = (np.array([r[c] for r in members]) for c in ("doc_id", "n", "class", "own"))
+            for i in range(len(members)):
+                other = (kinds != kinds[i]) & (100 * sizes >= limit.percent * sizes[i])
+                other &= (sizes < sizes[i]) | ((sizes == sizes[i]) & (ids < ids[i]))
+                if low != high:
+                    other &= blocks != blocks[i]
+                if sizes[i] <= small or not other.any():
+                    continue
+                at = np.flatnonzero(other)
+                bound = np.minimum(counts[at], counts[i]).sum(axis=1)
+                least = -(-limit.percent * (sizes[at] + sizes[i]) // (100 + limit.percent))
+                for j in at[bound >= least]:
+                    yield int(ids[j]), int(ids[i])
+
+    return map_rows(sent.repartition(*unit).sortWithinPartitions(*unit), {"a": "bigint", "b": "bigint"}, compare).distinct()
+
+
 def _large_links(sets: DataFrame, docs: DataFrame, small: int, links: DataFrame, n: int, limit: Threshold) -> DataFrame:
     """All links with at least one set of more than ``small`` elements, as far as classes need them."""
     entries = sets.where(F.col("n") >= limit.least_partner(small + 1)).select(
@@ -227,13 +271,9 @@ def _large_links(sets: DataFrame, docs: DataFrame, small: int, links: DataFrame,
     mixed = classed.groupBy("element").agg(F.min("class").alias("low"), F.max("class").alias("high")).where(
         "low != high").select("element")
     open_lists = staged(classed.join(mixed, "element", "left_semi"))
-    a, b = open_lists.alias("a"), open_lists.alias("b")
-    smaller = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.doc_id") < F.col("b.doc_id")))
-    close = (100 * F.col("a.n") >= limit.percent * F.col("b.n")) & (F.col("b.n") > small)
-    pairs = a.join(b, (F.col("a.element") == F.col("b.element")) & smaller & close & (F.col("a.class") != F.col("b.class")))
-    pairs = pairs.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
+    pairs = _unlinked(open_lists, sets, small, limit)
     known = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = staged(_possible(pairs, sets, limit).join(known, ["a", "b"], "left_anti"))
+    rest = staged(pairs.join(known, ["a", "b"], "left_anti"))
     return near.unionByName(_verified(rest, docs, n, limit))
 
 
