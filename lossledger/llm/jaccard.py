@@ -82,18 +82,21 @@ class Threshold:
         return n - self.least_partner(n)
 
 
-def _ranked(hashes: np.ndarray, elements: np.ndarray, n: int, counts: np.ndarray) -> np.ndarray:
-    """Elements as numbers whose order is rarity of the rarest word, then hash; one for each distinct element."""
-    length = min(n, len(hashes))
-    seen = WORD_COUNTS.estimate(counts, hashes).astype(float)
-    rarest = seen[: len(hashes) - length + 1]
+def _ranks(counts: np.ndarray) -> np.ndarray:
+    """Word counts as one byte each, in eighths of a power of two."""
+    return np.minimum(255, 8 * np.log2(counts.astype(float) + 1)).astype("u1")
+
+
+def _rarest(hashes: np.ndarray, length: int, first: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The rank of the rarest word of the n-grams that begin at ``first``."""
+    seen = WORD_COUNTS.estimate(ranks, hashes)
+    rarest = seen[first]
     for i in range(1, length):
-        rarest = np.minimum(rarest, seen[i : len(hashes) - length + 1 + i])
-    rank = np.minimum(255, 8 * np.log2(rarest + 1)).astype("u8")
-    return np.unique((rank << np.uint64(56)) | (elements >> np.uint64(8)))
+        rarest = np.minimum(rarest, seen[first + i])
+    return rarest
 
 
-def _sets(docs: DataFrame, n: int, limit: Threshold, counts) -> DataFrame:
+def _sets(docs: DataFrame, n: int, limit: Threshold, ranks) -> DataFrame:
     """Per row: set size, key of the set, first elements, element classes, and small sets in full."""
 
     def build(rows: Iterator[dict]) -> Iterator[tuple]:
@@ -102,10 +105,14 @@ def _sets(docs: DataFrame, n: int, limit: Threshold, counts) -> DataFrame:
             if not len(hashes):
                 yield row["doc_id"], 0, None, None, None, None, None, 0.0
                 continue
-            runs = run_hashes(hashes, min(n, len(hashes)))
-            elements = np.unique(runs)
+            length = min(n, len(hashes))
+            elements, first = np.unique(run_hashes(hashes, length), return_index=True)
             size = len(elements)
-            ranked = _ranked(hashes, runs, n, counts.value)[: limit.prefix(size)]
+            # numbers whose order is rarity of the rarest word, then hash: one order for all sets
+            ranked = (_rarest(hashes, length, first, ranks.value).astype("u8") << np.uint64(56)) | (elements >> np.uint64(8))
+            wanted = limit.prefix(size)
+            if wanted < size:
+                ranked = np.partition(ranked, wanted - 1)[:wanted]
             classes = np.bincount((elements & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
             small = size <= SMALL_LIMIT
             yield (row["doc_id"], size, *_key(elements), ranked.view("i8").tolist(),
@@ -282,9 +289,9 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """Per document row: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest id of its class."""
     limit = Threshold(percent)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    counts = docs.sparkSession.sparkContext.broadcast(
-        merged_sketch(own.select("text"), WORD_COUNTS, lambda row: word_hashes(words_of(row["text"]))))
-    every = staged(_sets(own, n, limit, counts))
+    counts = merged_sketch(own.select("text"), WORD_COUNTS, lambda row: word_hashes(words_of(row["text"])))
+    ranks = docs.sparkSession.sparkContext.broadcast(_ranks(counts))  # 4 MB whatever the corpus
+    every = staged(_sets(own, n, limit, ranks))
     key = ["key_a", "key_b"]
     first = every.where("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("doc_id"))
     sets = staged(every.join(first, [*key, "doc_id"], "left_semi").dropDuplicates([*key, "doc_id"]))

@@ -32,7 +32,7 @@ from lossledger.llm.common import map_rows, staged
 CAPACITY = 2048
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 GROUP_ROWS = 150_000
-CACHE_WORDS = 250_000  # words in each of the two generations a Python worker keeps
+CACHE_WORDS = 500_000  # words in each of the two generations a Python worker keeps
 
 
 def _byte_letters() -> list[str]:
@@ -76,7 +76,8 @@ class WordTokens:
         """
         text = word.decode()
         stem = text.rstrip(".,!?;:$%&*#|)")
-        if stem.isalpha() and max(stem) < "ɐ" and unicodedata.is_normalized("NFC", stem):
+        latin = stem.isascii() or (max(stem) < "ɐ" and unicodedata.is_normalized("NFC", stem)) if stem else False
+        if latin and stem.isalpha():
             rest = text[len(stem):]
             head = self._stem(stem.lower())
             return head + self._mark(rest) if rest else head
