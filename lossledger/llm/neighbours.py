@@ -13,7 +13,7 @@ many small tasks. Centroids come from a bounded sample; every row is indexed.
 
 Defined results: vectors that are null, empty, zero, of another length than the most, or with null or
 non-finite components take no part; ids that are null take no part; equal vectors tie by smaller
-id; repeated rows of one id count as one candidate; an empty table gives no rows.
+id; of several rows with one id the least vector counts; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -103,7 +103,6 @@ def _search(k: int, turn):
     def run(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(queries) and len(vectors):
-            vectors = vectors.drop_duplicates("vec_id")
             ids, plain = vectors["vec_id"].to_numpy(), _matrix(vectors["vector"])
             turned = unit(plain) @ turn.value
             asked = _matrix(queries["asked"])
@@ -128,7 +127,7 @@ def nearest(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"),
                           F.col(vector_col).cast("array<double>").alias("vector")).where(
-        F.col("vec_id").isNotNull() & usable(F.col("vector")))
+        F.col("vec_id").isNotNull() & usable(F.col("vector"))).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     widths = rows.groupBy(F.size("vector").alias("w")).count().orderBy(F.desc("count"), "w").first()
     result = "query_id bigint, rank int, vec_id bigint, score double"
     if widths is None:

@@ -148,11 +148,11 @@ scores AS (
   SELECT floor(score * 100) AS bin, count(*) FILTER (WHERE verdict = 'allow') AS a, count(*) FILTER (WHERE verdict = 'block') AS b
   FROM scores WHERE verdict IS NOT NULL GROUP BY 1
 ), quality AS (
-  SELECT bin, (sum(a) OVER (ORDER BY bin DESC)) / (sum(a) OVER ()) + (coalesce(sum(b) OVER (
+  SELECT bin, coalesce(lag(bin) OVER (ORDER BY bin) + 1, bin) AS gap, (sum(a) OVER (ORDER BY bin DESC)) / (sum(a) OVER ()) + (coalesce(sum(b) OVER (
     ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (sum(b) OVER ()) AS q,
     sum(a) OVER () AS all_a, sum(b) OVER () AS all_b FROM bins
 ), threshold AS (
-  SELECT coalesce((SELECT bin / 100 FROM quality WHERE all_a > 0 AND all_b > 0 ORDER BY q DESC, bin LIMIT 1), 0) AS t
+  SELECT coalesce((SELECT (gap + bin) / 2 / 100 FROM quality WHERE all_a > 0 AND all_b > 0 ORDER BY q DESC, bin LIMIT 1), 0) AS t
 )
 SELECT page_id, host, path, rule,
        coalesce(v.verdict, CASE WHEN s.score >= t THEN 'allow' ELSE 'block' END) AS verdict

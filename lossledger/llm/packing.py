@@ -77,7 +77,7 @@ class WordTokens:
         text = word.decode()
         stem = text.rstrip(".,!?;:$%&*#|)")
         latin = stem.isascii() or (max(stem) < "ɐ" and unicodedata.is_normalized("NFC", stem)) if stem else False
-        if latin and stem.isalpha():
+        if latin and stem.isalpha() and stem.lower().isalpha():
             rest = text[len(stem):]
             head = self._stem(stem.lower())
             return head + self._mark(rest) if rest else head

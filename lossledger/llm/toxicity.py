@@ -38,7 +38,7 @@ from pyspark.sql.pandas.functions import pandas_udf
 
 from lossledger.llm.common import map_rows
 
-MAX_TOXIC, MAX_CLEAN = 1500, 3000
+MAX_TOXIC, MAX_CLEAN = 1000, 2000
 LANDMARKS = 192
 DECAY = 0.6
 REACH = {3: 5, 4: 7}  # longest stretch of a subsequence, by its length
@@ -275,7 +275,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 def train(labelled: list[tuple[int, list[str]]], toxic_share: float, seed: int = 3) -> Machine:
     """``labelled``: label and distinct raw words of each training document, in a fixed order."""
-    bags = [(y, {w for w in map(letters_of, words) if w}) for y, words in labelled]
+    letters = {w: letters_of(w) for _, words in labelled for w in words}
+    one = {w: w for w in letters.values()}
+    bags = [(y, {one[letters[w]] for w in words} - {""}) for y, words in labelled]
+    del letters
     learn = [b for i, b in enumerate(bags) if i % 3]
     toxic = [w for y, w in learn if y]
     clean = Counter(w for y, words in learn if not y for w in words)
@@ -342,7 +345,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     found = map_rows(text, {"id": "bigint", "toxic": "int", "words": "string"}, words, size=64).collect()
     order_of = {r["id"]: i for i, r in enumerate(sorted(chosen, key=lambda r: hash((r["id"] * 2654435761) % (1 << 32))))}
     found.sort(key=lambda r: (order_of[r["id"]], r["words"]))
-    return train([(r["toxic"], r["words"].split("\n") if r["words"] else []) for r in found], float(toxic_share))
+    one: dict[str, str] = {}  # each word is held once, however many documents have it
+    labelled = []
+    while found:
+        row = found.pop()
+        labelled.append((row["toxic"], [one.setdefault(w, w) for w in row["words"].split("\n")] if row["words"] else []))
+    return train(labelled[::-1], float(toxic_share))
 
 
 class Scorer:

@@ -99,7 +99,8 @@ def log_ratios(positions: DataFrame) -> DataFrame:
 
 
 def calibrated_threshold(scored: DataFrame) -> float:
-    """The least bin edge with the best balanced accuracy over ``score`` and ``verdict``.
+    """The score with the best balanced accuracy over ``score`` and ``verdict``: of the bins that
+    could be the first to be allowed the least one, and the middle of the gap below it.
 
     The driver receives one row per bin of the score, whose range is bounded by the smoothing.
     """
@@ -110,11 +111,12 @@ def calibrated_threshold(scored: DataFrame) -> float:
     allow, block = sum(r["allow"] for r in bins), sum(r["block"] for r in bins)
     if not allow or not block:
         return 0.0
-    best, threshold, kept, dropped = -1.0, 0.0, allow, 0
+    best, threshold, kept, dropped, below = -1.0, 0.0, allow, 0, bins[0]["bin"] - 1
     for row in bins:
         quality = kept / allow + dropped / block
         if quality > best:
-            best, threshold = quality, row["bin"] / BINS
+            best, threshold = quality, (below + 1 + row["bin"]) / 2 / BINS
+        below = row["bin"]
         kept, dropped = kept - row["allow"], dropped + row["block"]
     return threshold
 
