@@ -113,7 +113,7 @@ def deal_flags(spark, path):
     where deal_id not in (select deal_id from sales_notes)""")
 def fallback_cause(spark, path):
     noted = star.sales_notes(spark, path).select("deal_id").distinct().withColumn("noted", F.lit(True))
-    bare = lookup_join(star.deals(spark, path), noted, "deal_id").where(F.col("noted").isNull())
+    bare = star.deals(spark, path).join(noted, "deal_id", "left").where(F.col("noted").isNull())
     empty = {c: F.lit(None).cast("string") for c in ("deal_loss_category", "deal_loss_subcategory")}
     unexplained = bare.withColumns({**empty, "deal_loss_confidence": F.lit(None).cast("double")})
     return attribution.fill_cause(unexplained).select("deal_id", "deal_loss_category", "deal_loss_subcategory")
@@ -134,7 +134,7 @@ def fill_default_cause(spark, path):
 def fill_zero(spark, path):
     means = features.usage_means(star.product_usage(spark, path))
     shown = ["avg_projects_created", "avg_exports", "avg_weekly_active_users"]
-    return lookup_join(star.accounts(spark, path), means, "account_id").na.fill(0, shown).select("account_id", *shown)
+    return star.accounts(spark, path).join(means, "account_id", "left").na.fill(0, shown).select("account_id", *shown)
 
 
 @register("p08_renamed_note_columns", """
@@ -218,7 +218,7 @@ def filter_options(spark, path):
     from deals d left join best_note b on b.deal_id = d.deal_id""")
 def deals_with_best_note(spark, path):
     best = attribution.best_note_per_deal(inputs.classified_notes(spark, path))
-    return lookup_join(star.deals(spark, path), best, "deal_id").select(
+    return star.deals(spark, path).join(best, "deal_id", "left").select(
         "deal_id",
         "deal_status",
         F.col("deal_loss_category").alias("category"),
@@ -236,7 +236,7 @@ def deals_with_best_note(spark, path):
          left join (select distinct account_id from cancellations) c on c.account_id = a.account_id""")
 def account_star(spark, path):
     tables = star.star_tables(spark, path)
-    joined = lookup_join(tables.accounts, features.account_activity(tables), "account_id")
+    joined = tables.accounts.join(features.account_activity(tables), "account_id", "left")
     return joined.select(
         "account_id",
         F.col("avg_projects_created").isNotNull().alias("has_usage"),
@@ -251,7 +251,7 @@ def account_star(spark, path):
     from cancellations left join accounts using (account_id)""")
 def churn_with_account(spark, path):
     dims = star.accounts(spark, path).select("account_id", *rollups.SEGMENT)
-    return lookup_join(star.cancellations(spark, path), dims, "account_id").select(
+    return lookup_join(star.cancellations(spark, path), dims, "account_id", "cancellation_id").select(
         "cancellation_id", "account_id", *rollups.SEGMENT, "churned_revenue"
     )
 
@@ -262,7 +262,7 @@ def churn_with_account(spark, path):
 def lost_deals_with_account(spark, path):
     dims = star.accounts(spark, path).select("account_id", *rollups.SEGMENT)
     lost = ledger.lost_deals(star.deals(spark, path))
-    return lookup_join(lost, dims, "account_id").select("deal_id", "account_id", *rollups.SEGMENT, "deal_value")
+    return lookup_join(lost, dims, "account_id", "deal_id").select("deal_id", "account_id", *rollups.SEGMENT, "deal_value")
 
 
 @register("j05_trend_of_both_sources", """

@@ -36,13 +36,18 @@ def feature_columns(spark, path):
     return feature_table(spark, path).select(*CATEGORICAL, *NUMERIC, LABEL)
 
 
-@register("m03_stratified_holdout", """
-    select account_id, churned as is_churned,
-           cast('0x' || left(md5('42:' || churned || ':' || account_id), 8) as bigint) % 10000 < 2500 as is_holdout
-    from account_usage""")
+def _held_out_sql(label: str) -> str:
+    """The rounded quarter of each class with the smallest hashes."""
+    number = f"cast('0x' || left(md5('42:' || {label} || ':' || account_id), 8) as bigint)"
+    return (f"row_number() over (partition by {label} order by {number}, account_id) "
+            f"<= round(0.25 * count(*) over (partition by {label}))")
+
+
+@register("m03_stratified_holdout", f"""
+    select account_id, churned as is_churned, {_held_out_sql('churned')} as is_holdout from account_usage""")
 def stratified_holdout(spark, path):
     flagged = inputs.labelled(spark, path).select("account_id", F.col("churned").alias(LABEL))
-    return flagged.withColumn("is_holdout", model.is_holdout(F.col("account_id"), F.col(LABEL)))
+    return model.with_holdout(flagged, "account_id", LABEL)
 
 
 @register("m04_one_hot", """
@@ -118,19 +123,25 @@ def prepared_features(spark, path):
     return vectors.select("account_id", *(F.get("v", F.lit(i)).alias(n) for i, n in enumerate(names)))
 
 
-@register("m09_holdout_scores")
+def _is_probability():
+    return F.coalesce(F.col("churn_probability").between(0, 1), F.lit(False)).alias("is_probability")
+
+
+@register("m09_holdout_scores", f"""
+    select account_id, {LABEL}, true as is_probability from features
+    qualify {_held_out_sql(LABEL)}""")
 def holdout_scores(spark, path):
-    """Scores of the accounts a smaller forest was not fitted on."""
-    trained = model.train(stage(feature_table(spark, path)), trees=50)
-    return trained.holdout.select("account_id", LABEL, "churn_probability")
+    """What SQL can know of the scores of the accounts the forest was not fitted on."""
+    trained = model.train(stage(feature_table(spark, path)))
+    return trained.holdout.select("account_id", LABEL, _is_probability())
 
 
-@register("m06_forest_scores")
+@register("m06_forest_scores", f"select account_id, {LABEL}, true as is_probability from features")
 def forest_scores(spark, path):
-    """A smaller forest on all accounts, scored on the same accounts."""
+    """What SQL can know of the scores of a forest on all accounts, scored on the same accounts."""
     table = stage(feature_table(spark, path))
-    fitted = model.build_pipeline(trees=50).fit(model.with_class_weight(table))
-    return model.score(fitted, table).select("account_id", LABEL, "churn_probability")
+    fitted = model.build_pipeline().fit(model.with_class_weight(table))
+    return model.score(fitted, table).select("account_id", LABEL, _is_probability())
 
 
 @register("m10_precision_recall_curve", """
@@ -199,13 +210,22 @@ def score_table(spark, path):
     return inputs.risk(spark, path)
 
 
-@register("m16_train_and_score")
+@register("m16_train_and_score", """
+    select account_id, monthly_revenue, true as is_probability, true as tier_follows, true as risk_follows
+    from features""")
 def train_and_score(spark, path):
-    """The full forest: fit on three quarters, score every account."""
+    """The full forest, fitted on three quarters: every account has a probability, and its tier and
+    revenue at risk follow from that."""
     table = stage(feature_table(spark, path))
     trained = model.train(table)
     scored = model.score(trained.model, table).select(*scoring.SCORE_INPUTS, "churn_probability")
-    return scoring.score_table(stage(scored))
+    table = scoring.score_table(stage(scored))
+    p = F.col("churn_probability")
+    return table.select(
+        "account_id", "monthly_revenue", _is_probability(),
+        F.col("risk_tier").eqNullSafe(scoring.risk_tier(p)).alias("tier_follows"),
+        F.col("estimated_monthly_revenue_at_risk").eqNullSafe(
+            scoring.revenue_at_risk(F.col("monthly_revenue"), p)).alias("risk_follows"))
 
 
 # ---- recommendations, views, extracts ---------------------------------------------------------

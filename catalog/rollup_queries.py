@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog import inputs
@@ -113,7 +114,8 @@ def loss_by_category(spark, path):
 
 
 @register("a17_loss_by_category_and_source", f"""
-    select category, source, {money('lost_revenue')} as lost_revenue from summary group by category, source""")
+    select category, source, {money('lost_revenue')} as lost_revenue from summary
+    where category is not null group by category, source""")
 def loss_by_category_and_source(spark, path):
     return views.loss_chart(inputs.summary(spark, path))
 
@@ -269,17 +271,30 @@ def usage_by_plan(spark, path):
     return profile.mean_by(joined, "plan_type", "projects_created", "weekly_active_users", "collaboration_sessions")
 
 
+def _place(df, name):
+    """The place of each row of a small sorted result, so that its order is compared too."""
+    return df.withColumn("_id", F.monotonically_increasing_id()).withColumn(
+        name, F.row_number().over(Window.orderBy("_id"))).drop("_id")
+
+
 @register("a28_support_by_type", """
-    select ticket_type, avg(csat_score) as csat_score, avg(resolution_hours) as resolution_hours
-    from support_tickets group by 1""")
+    select ticket_type, csat_score, resolution_hours,
+           cast(row_number() over (order by csat_score, ticket_type) as integer) as by_csat,
+           cast(row_number() over (order by resolution_hours, ticket_type) as integer) as by_hours
+    from (select ticket_type, avg(csat_score) as csat_score, avg(resolution_hours) as resolution_hours
+          from support_tickets group by 1)""")
 def support_by_type(spark, path):
-    return profile.mean_by(star.support_tickets(spark, path), "ticket_type", "csat_score", "resolution_hours")
+    tickets = star.support_tickets(spark, path)
+    csat = profile.mean_by(tickets, "ticket_type", "csat_score", by="csat_score")
+    hours = profile.mean_by(tickets, "ticket_type", "resolution_hours", by="resolution_hours")
+    return _place(csat, "by_csat").join(_place(hours, "by_hours"), "ticket_type")
 
 
 @register("a29_churn_overview", f"""
     select 'all' as reason_type, count(*) as cancellations, {money('churned_revenue')} as churned_revenue
     from cancellations
-    union all select reason_type, count(*), {money('churned_revenue')} from cancellations group by reason_type""")
+    union all select reason_type, count(*), {money('churned_revenue')} from cancellations
+    where reason_type is not null group by reason_type""")
 def churn_overview(spark, path):
     return profile.churn_overview(star.cancellations(spark, path))
 

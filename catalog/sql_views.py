@@ -9,13 +9,34 @@ from __future__ import annotations
 
 import re
 
-from lossledger.operators.recommend import PLAYBOOK
-from lossledger.operators.taxonomy import RULES
-from lossledger.sources.star_schema import (
-    CANCELLATION_SENTENCES,
-    NOTE_SENTENCES,
-    TICKET_SENTENCES,
+# Fixed values, written out so that a mistake in the engine's own lists shows: rules by precedence.
+RULE_ROWS = (
+    ("Commercial", "pricing_concerns", "pricing price budget cost invoice billing discount renewal"),
+    ("Product", "missing_templates", "template templates library variety"),
+    ("Product", "missing_features", "feature capability advanced permissions controls"),
+    ("Product", "performance_reliability", "slow lag crash performance failed imports unstable loading"),
+    ("Product", "export_limitations", "export watermark preview"),
+    ("Operational", "onboarding_confusion", "onboarding time_to_value adoption confusion setup"),
+    ("Operational", "support_quality", "support resolution ticket unresolved response"),
+    ("Competitive", "competitor_switch", "competitor switched canva adobe_express figma piktochart"),
+    ("Competitive", "competitor_advantage", "already_uses familiarity existing_workflows stronger"),
+    ("Adoption / Value Realization", "low_usage",
+     "low_usage weak_adoption did_not_create limited_engagement justify_the_subscription"),
+    ("Adoption / Value Realization", "low_team_adoption", "team_adoption stakeholders team_already_uses"),
 )
+# The action for each category.
+ACTIONS = (
+    ("Commercial", "Offer value-based packaging and proactive renewal outreach for price-sensitive segments."),
+    ("Product", "Prioritize roadmap fixes for templates/performance gaps and publish release communication to affected accounts."),
+    ("Operational", "Reduce support response time with SLA escalation for high-priority tickets and onboarding checkpoints."),
+    ("Competitive", "Strengthen competitive battlecards and focus sales demos on collaboration + AI differentiation."),
+    ("Adoption / Value Realization", "Launch customer success activation program for low-usage accounts within first 30 days."),
+    ("Uncategorized", "Perform manual review of notes to enrich taxonomy and improve root-cause tagging quality."),
+)
+
+
+def _keywords(row) -> list[str]:
+    return [word.replace("_", " ") for word in row[2].split()]
 
 
 def _text(value: str) -> str:
@@ -30,6 +51,19 @@ def _values(rows) -> str:
     return "values " + ", ".join("(" + ", ".join(str(c) for c in row) + ")" for row in rows)
 
 
+def _rule_text(number: str, topic: str) -> str:
+    """The text for a whole number: keywords of two rules in turn, or blank, or without keywords."""
+    rules = "[" + ", ".join(_list(_keywords(r)) for r in RULE_ROWS) + "]"
+    n, size = f"({number})", len(RULE_ROWS)
+    first = f"{rules}[({n} // 7) % {size} + 1]"
+    second = f"{rules}[({n} // 77 + 3 * {n}) % {size} + 1]"
+    word = " ".join(
+        f"when {i} then {r}[({n} // 5 + {i // 2}) % len({r}) + 1]" for i, r in enumerate((first, second) * 2 + (first,)))
+    words = f"array_to_string([case i {word} end for i in range({n} % 5 + 1)], ' and ')"
+    return (f"case {n} % 41 when 0 then '' when 1 then '   ' when 2 then '{topic}: nothing new on day ' || ({n} % 97) "
+            f"else '{topic} {{' || ({n} % 97) || '}}: ' || {words} || '.' end")
+
+
 def money(expression: str) -> str:
     """Exact money sum."""
     return f"cast(sum(cast({expression} as decimal(18,4))) as double)"
@@ -82,24 +116,24 @@ VIEWS: dict[str, str] = {
                     then 'medium' else 'low' end as priority,
                cast(1 + o_orderkey % 120 as integer) as resolution_hours,
                cast(1 + o_orderkey % 5 as integer) as csat_score,
-               {_list(TICKET_SENTENCES)}[o_orderkey % 12 + 1] as ticket_summary
+               {_rule_text('o_orderkey', 'Ticket')} as ticket_summary
         from orders where o_orderstatus = 'P'""",
     "sales_notes": f"""
         select l_orderkey * 10 + l_linenumber as note_id, l_orderkey as deal_id, cast(l_shipdate as date) as note_date,
-               {_list(NOTE_SENTENCES)}[(l_orderkey + l_linenumber) % 12 + 1] as note_text
-        from lineitem where l_linenumber <= 3 and l_orderkey % 5 <> 0""",
+               {_rule_text('l_orderkey * 10 + l_linenumber', 'Call')} as note_text
+        from lineitem""",
     "cancellations": f"""
         select l_orderkey * 10 + l_linenumber as cancellation_id, o_custkey as account_id,
                cast(l_shipdate as date) as cancellation_date, l_linenumber % 3 = 0 as refund_requested,
-               {_list(CANCELLATION_SENTENCES)}[(l_orderkey + l_linenumber) % 12 + 1] as cancellation_reason_text,
+               {_rule_text('l_orderkey * 10 + l_linenumber', 'Exit')} as cancellation_reason_text,
                l_extendedprice as churned_revenue,
                ['low_usage', 'competitor_switch', 'pricing', 'performance']
                  [((l_orderkey + l_linenumber) % 12) // 3 + 1] as reason_type
-        from lineitem join orders on l_orderkey = o_orderkey where l_returnflag = 'R' and l_quantity >= 49""",
+        from lineitem join orders on l_orderkey = o_orderkey where l_returnflag = 'R'""",
     "rules": _values(
-        (i, _text(r.category), _text(r.subcategory), _text(k)) for i, r in enumerate(RULES) for k in r.keywords
+        (i, _text(r[0]), _text(r[1]), _text(k)) for i, r in enumerate(RULE_ROWS) for k in _keywords(r)
     ),
-    "playbook": _values((_text(c), _text(a)) for c, a in PLAYBOOK.items()),
+    "playbook": _values((_text(c), _text(a)) for c, a in ACTIONS),
     "best_note": """
         select deal_id, category, subcategory, confidence from (
             select *, row_number() over (partition by deal_id order by confidence desc, note_date, note_id,

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lossledger.operators.lookups import lookup_join
 from lossledger.operators.taxonomy import NO_CATEGORY, NO_SUBCATEGORY
 
 # Fallback causes and the confidence given to a deal without notes.
@@ -71,7 +70,7 @@ def fill_cause(deals: DataFrame) -> DataFrame:
 
 def attribute_deals(deals: DataFrame, classified_notes: DataFrame) -> DataFrame:
     """Every deal with its loss cause, the cause's confidence and the discounted value."""
-    noted = lookup_join(deals, best_note_per_deal(classified_notes), "deal_id")
+    noted = deals.join(best_note_per_deal(classified_notes), "deal_id", "left")
     return fill_cause(noted).withColumn(
         "effective_deal_value", effective_value(F.col("deal_value"), F.col("discount_pct"))
     )

@@ -7,30 +7,34 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Bounds on the number of ranges, and so on the range totals that are broadcast.
-MIN_BUCKETS = 256
-MAX_BUCKETS = 16_384
+MIN_BUCKETS = 256  # ranges, also in small sessions
+
+
+HASHES = 1 << 40  # values of the hash that picks cut points
 
 
 def default_buckets(df: DataFrame) -> int:
     """As many ranges as the session has shuffle partitions, so that ranges shrink as a cluster
     grows. More ranges only make them smaller; every row is in one."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(max(MIN_BUCKETS, partitions), MAX_BUCKETS)
+    return max(MIN_BUCKETS, partitions)
 
 
 def with_sort_bucket(df: DataFrame, key: str, name: str, buckets: int) -> DataFrame:
     """Number each row so that the numbers follow the order of ``key``.
 
-    The cut points are the keys with the smallest hashes: a uniform sample of the distinct keys
-    that depends on the data alone, so every evaluation agrees on it, and never more than
-    ``buckets`` values.
+    The cut points are the keys whose hash falls below a share of the hash range, ``buckets - 1``
+    of them on average: a uniform sample of the distinct keys that depends on the data alone, so
+    every evaluation agrees on it. It is a filter, so no task ranks keys, and the cut points that
+    meet in one row are about as many as the ranges.
     """
-    sample = df.orderBy(F.xxhash64(key), key).limit(buckets - 1)
+    share = df.agg((F.lit(float(buckets - 1)) / F.greatest(F.count(F.lit(1)), F.lit(1)) * HASHES).alias("share")).scalar()
+    sample = df.where(F.pmod(F.xxhash64(key), F.lit(HASHES)) < share)
     cuts = sample.agg(F.array_sort(F.collect_list(key))).scalar()
     placed = df.withColumns({"_cuts": cuts, name: F.lit(0)})
     # Binary search, one projection per halving; reading past the last cut gives null.
-    step = 1 << max(buckets - 1, 1).bit_length() - 1
+    # Twice as many cuts as expected, and 64 more, is beyond any chance; later cuts would only stay unused.
+    step = 1 << (2 * buckets + 64).bit_length() - 1
     while step:
         passed = F.get("_cuts", F.col(name) + (step - 1)) <= F.col(key)
         placed = placed.withColumn(name, F.col(name) + F.when(passed, step).otherwise(0))

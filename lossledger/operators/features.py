@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from lossledger.functions.dates import days_until
 from lossledger.functions.numbers import clamp_low, flag, money_mean
 from lossledger.operators.attribution import mentions_competitor
-from lossledger.operators.lookups import lookup_join
 from lossledger.settings import AS_OF
 from lossledger.sources.tables import Tables
 
@@ -197,7 +196,7 @@ def account_features(tables: Tables, as_of: dt.date = AS_OF, fill: float | None
     usage and every cancellation counts, whenever it happened, so the label is not isolated
     from activity after the cancellation.
     """
-    joined = lookup_join(tables.accounts, account_activity(tables), "account_id")
+    joined = tables.accounts.join(account_activity(tables), "account_id", "left")
     table = joined.withColumns(
         {
             LABEL: F.coalesce(LABEL, F.lit(0)),

@@ -9,11 +9,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lossledger.operators.evaluate import pr_curve, ranking_metrics
 from lossledger.operators.features import CATEGORICAL, LABEL, NUMERIC
+from lossledger.session import stage
 from lossledger.settings import HOLDOUT_FRACTION, SEED
 
 # Forest size and limits.
@@ -21,19 +22,30 @@ TREES = 300
 MAX_DEPTH = 10
 MIN_LEAF = 4
 
-SPLIT_BUCKETS = 10_000
+SPLIT_RANGES = 4096
 
 
-def is_holdout(key: Column, stratum: Column, fraction: float = HOLDOUT_FRACTION, seed: int = SEED) -> Column:
-    """Whether a row is held out, from a hash of its class and key.
+def with_holdout(df: DataFrame, key: str, stratum: str, name: str = "is_holdout", fraction: float = HOLDOUT_FRACTION,
+                 seed: int = SEED) -> DataFrame:
+    """Mark the exact rounded ``fraction`` of each class: the rows with the smallest hashes.
 
-    The choice depends on the row alone, so it needs no shuffle and survives reruns on other
-    partitions. Each class is sampled independently at the same rate; the fraction is
-    approximate on small classes.
+    The choice depends on the rows alone. Hashes are ranked within ranges of their values; only
+    the range totals, at most ``SPLIT_RANGES`` rows per class, are added up in one place and
+    broadcast, so no class is sorted by one task.
     """
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), stratum.cast("string"), key.cast("string")))
-    number = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
-    return number % SPLIT_BUCKETS < round(fraction * SPLIT_BUCKETS)
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(stratum).cast("string"), F.col(key).cast("string")))
+    numbered = df.withColumn("_hash", F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")).withColumn(
+        "_range", F.floor(F.col("_hash") / (2**32 // SPLIT_RANGES)))
+    whole = Window.partitionBy(stratum)
+    before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = numbered.groupBy(stratum, "_range").agg(F.count(F.lit(1)).alias("_n")).select(
+        F.col(stratum).alias("_stratum"), F.col("_range").alias("_of"),
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+        F.round(F.sum("_n").over(whole) * fraction).alias("_wanted"))
+    within = Window.partitionBy(stratum, "_range").orderBy("_hash", key)
+    same = F.col(stratum).eqNullSafe(F.col("_stratum")) & (F.col("_range") == F.col("_of"))
+    placed = numbered.withColumn("_rank", F.row_number().over(within)).join(F.broadcast(ranges), same)
+    return placed.select(*df.columns, (F.col("_before") + F.col("_rank") <= F.col("_wanted")).alias(name))
 
 
 def with_class_weight(df: DataFrame, label: str = LABEL, name: str = "class_weight") -> DataFrame:
@@ -107,7 +119,7 @@ def train(features: DataFrame, seed: int = SEED, trees: int = TREES) -> Trained:
     ``features`` should be a stored table: fitting reads it several times. The threshold in the
     metrics is chosen on the same hold-out it is measured on.
     """
-    marked = features.withColumn("_holdout", is_holdout(F.col("account_id"), F.col(LABEL), seed=seed))
+    marked = stage(with_holdout(features, "account_id", LABEL, "_holdout", seed=seed))
     fit_on = with_class_weight(marked.where(~F.col("_holdout")).drop("_holdout"))
     # The copy carries no training summary, which holds on to the session and its data.
     model = build_pipeline(seed=seed, trees=trees).fit(fit_on).copy()

@@ -12,7 +12,6 @@ from pyspark.sql.types import FractionalType
 from lossledger.functions.numbers import exact_mean, flag, money_sum
 from lossledger.operators.cumulative import running_totals
 from lossledger.operators.features import USAGE_MEANS, churn_labels
-from lossledger.operators.lookups import lookup_join
 from lossledger.session import stage
 
 
@@ -111,22 +110,27 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     ).orderBy("bin")
 
 
-def mean_by(df: DataFrame, key: str, *measures: str) -> DataFrame:
-    """Means per key, rows without a key left out."""
+def mean_by(df: DataFrame, key: str, *measures: str, by: str | None = None) -> DataFrame:
+    """Means per key in the order of the mean of ``by`` (else of the key); rows without a key are left out."""
     fractional = {f.name for f in df.schema.fields if isinstance(f.dataType, FractionalType)}
     means = ((exact_mean(F.col(m)) if m in fractional else F.avg(m)).alias(m) for m in measures)
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(*means).orderBy(key)
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(*means).orderBy(*([by] if by else []), key)
 
 
 def churn_overview(cancellations: DataFrame) -> DataFrame:
-    """Cancellations and churned revenue per reason, and over all of them, in one pass."""
+    """Cancellations and churned revenue per reason, and over all of them, in one pass.
+
+    The row over all has the reason ``all`` and counts rows without a reason too; those have no row
+    of their own.
+    """
     rolled = cancellations.rollup("reason_type").agg(
         F.grouping("reason_type").alias("_all"),
         F.count(F.lit(1)).alias("cancellations"),
         money_sum(F.col("churned_revenue")).alias("churned_revenue"),
     )
     reason = F.when(F.col("_all") == 1, "all").otherwise(F.col("reason_type"))
-    return rolled.orderBy("churned_revenue").select(reason.alias("reason_type"), "cancellations", "churned_revenue")
+    kept = rolled.where((F.col("_all") == 1) | F.col("reason_type").isNotNull())
+    return kept.orderBy("churned_revenue").select(reason.alias("reason_type"), "cancellations", "churned_revenue")
 
 
 def win_rate_by_competitor(deals: DataFrame) -> DataFrame:
@@ -142,13 +146,13 @@ def win_rate_by_competitor(deals: DataFrame) -> DataFrame:
 def account_usage(accounts: DataFrame, usage: DataFrame) -> DataFrame:
     """Accounts with their mean weekly usage; null where an account has none."""
     means = usage.groupBy("account_id").agg(*(F.avg(m).alias(m) for m in USAGE_MEANS))
-    return lookup_join(accounts, means, "account_id")
+    return accounts.join(means, "account_id", "left")
 
 
 def with_churned(df: DataFrame, cancellations: DataFrame) -> DataFrame:
     """1 for accounts that appear among the cancellations, else 0."""
     left = churn_labels(cancellations).select("account_id", F.lit(1).alias("churned"))
-    return lookup_join(df, left, "account_id").withColumn("churned", F.coalesce("churned", F.lit(0)))
+    return df.join(left, "account_id", "left").withColumn("churned", F.coalesce("churned", F.lit(0)))
 
 
 TICKET_MEASURES = ("ticket_id", "resolution_hours", "csat_score")
@@ -179,7 +183,7 @@ def account_health(accounts: DataFrame, usage: DataFrame, support: DataFrame, ca
     activity = rows.groupBy("account_id").agg(
         *(F.avg(m).alias(m) for m in USAGE_MEANS), *ticket_aggregates(), F.max("churned").alias("churned")
     )
-    return lookup_join(accounts, activity, "account_id").na.fill(
+    return accounts.join(activity, "account_id", "left").na.fill(
         0, ["ticket_count", "avg_resolution_hours", "avg_csat", "churned"]
     )
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from lossledger.functions.dates import month_of
 from lossledger.functions.numbers import round_half_even
 from lossledger.operators.ledger import CHURN, LOST_DEAL
-from lossledger.operators.lookups import lookup_join
 
 SEGMENT = ("plan_type", "region", "industry")
 
@@ -81,7 +80,7 @@ def segment_loss(events: DataFrame, accounts: DataFrame) -> DataFrame:
     """
     per_account = events.groupBy("account_id").agg(*_both_sources())
     segments = accounts.groupBy("account_id", *SEGMENT).agg(F.count(F.lit(1)).alias("_copies"))
-    joined = lookup_join(per_account, segments, "account_id").withColumn(
+    joined = per_account.join(segments, "account_id", "left").withColumn(
         "_copies", F.coalesce("_copies", F.lit(1)).cast("decimal(10,0)")
     )
     measures = ("churn_revenue_lost", "churn_events", "lost_deal_value", "lost_deal_events")

@@ -62,7 +62,7 @@ def _award(condition: Column, points: int) -> Column:
 def rule_churn_propensity(accounts: DataFrame, usage: DataFrame) -> DataFrame:
     """Accounts with a churn propensity from plan, engagement and revenue; 0 without revenue."""
     engaged = usage_means(usage).select("account_id", "avg_projects_created", "avg_weekly_active_users")
-    joined = lookup_join(accounts, engaged, "account_id").na.fill(
+    joined = accounts.join(engaged, "account_id", "left").na.fill(
         0, ["avg_projects_created", "avg_weekly_active_users"]
     )
     # Points per condition.
@@ -80,7 +80,7 @@ def rule_churn_propensity(accounts: DataFrame, usage: DataFrame) -> DataFrame:
 
 def rule_win_propensity(deals: DataFrame, accounts: DataFrame) -> DataFrame:
     """Deals with a win propensity and the expected value it gives the discounted deal."""
-    sized = lookup_join(deals, accounts.select("account_id", "company_size"), "account_id")
+    sized = lookup_join(deals, accounts.select("account_id", "company_size"), "account_id", "deal_id")
     # Points per condition.
     score = _points(
         58,

@@ -75,6 +75,8 @@ def classify(
     would otherwise be rewritten by the optimizer into one on the text, repeating the counting
     of all rules for every branch of the rule ladder; it does not move past a generator.
     """
+    # Without rules nothing can win; a rule that no text can hit keeps the plan the same.
+    rules = rules or (Rule(NO_CATEGORY, NO_SUBCATEGORY, ("\x00\x00",)),)
     if as_array is None:
         as_array = sum(len(r.keywords) for r in rules) > MAX_INLINE_KEYWORDS
     lowered = df.withColumn("_text", F.coalesce(F.lower(F.col(text_col)), F.lit("")))

@@ -35,15 +35,17 @@ def count_manifest(extracts: Mapping[str, DataFrame]) -> DataFrame:
     return union_all([shape(df, name).withColumnRenamed("table_name", "file_name") for name, df in extracts.items()])
 
 
-def export_views(spark: SparkSession, root: str, target: str, fmt: str = "csv") -> DataFrame:
+def export_views(
+    spark: SparkSession, root: str, target: str, fmt: str = "csv", *, source_fmt: str = "parquet"
+) -> DataFrame:
     """Write every extract of the run under ``root`` to ``target`` and return the manifest.
 
-    Row counts are taken while writing; no extract is computed twice.
+    ``source_fmt`` is the run's output format. Row counts are taken while writing; no extract is computed twice.
     """
     stamp = dt.datetime.now(dt.timezone.utc)
     listed = [
         (name, write_table(df, f"{target}/{name}", fmt), len(df.columns))
-        for name, df in build_extracts(load_outputs(spark, root)).items()
+        for name, df in build_extracts(load_outputs(spark, root, fmt=source_fmt)).items()
     ]
     manifest = spark.createDataFrame(
         listed, "file_name string, row_count bigint, column_count int"

@@ -29,13 +29,14 @@ def run(
     as_of: dt.date = AS_OF,
     *,
     in_fmt: str = "csv",
+    multiline: bool = False,
     out_fmt: str = "parquet",
     seed: int = SEED,
     trees: int = TREES,
     rules: tuple[Rule, ...] = RULES,
 ) -> dict[str, object]:
     """Read the tables under ``in_path`` and write every output under ``out_path``."""
-    tables = load_tables(apply_settings(spark), in_path, in_fmt)
+    tables = load_tables(apply_settings(spark), in_path, in_fmt, multiline)
     return run_tables(spark, tables, out_path, as_of, out_fmt=out_fmt, seed=seed, trees=trees, rules=rules)
 
 
@@ -62,8 +63,9 @@ def run_tables(
         rows[name] = sinks.write_table(df, sinks.table_path(out_path, name), out_fmt)
 
     def store(name: str, df: DataFrame) -> DataFrame:
-        rows[name] = sinks.write_table(df, sinks.table_path(out_path, name))
-        return spark.read.schema(df.schema).parquet(sinks.table_path(out_path, name))
+        path = sinks.table_path(out_path, name)
+        rows[name] = sinks.write_table(df, path, out_fmt)
+        return sinks.read_output(spark, path, out_fmt, df.schema)
 
     notes = store("sales_notes_classified", classify(tables.notes, "note_text", rules))
     cancellations = store(

@@ -139,7 +139,7 @@ def breakdown(summary: DataFrame) -> DataFrame:
 
 def loss_chart(summary: DataFrame) -> DataFrame:
     """Loss per category and source, largest first."""
-    rolled = summary.groupBy("category", "source").agg(_total(F.col("lost_revenue")).alias("lost_revenue"))
+    rolled = summary.where(F.col("category").isNotNull()).groupBy("category", "source").agg(_total(F.col("lost_revenue")).alias("lost_revenue"))
     return rolled.orderBy(F.desc("lost_revenue"), "category", "source")
 
 

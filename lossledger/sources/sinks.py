@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lossledger.functions.numbers import round_half_even
 from lossledger.operators.evaluate import METRICS
@@ -13,6 +14,7 @@ from lossledger.operators.evaluate import METRICS
 PROCESSED = "processed"
 ARTIFACTS = "artifacts"
 MODEL = f"{ARTIFACTS}/churn_model"
+TYPES = "_types"  # beside a CSV table: its schema
 METRICS_PATH = f"{ARTIFACTS}/model_metrics"
 
 # Outputs the reporting views read.
@@ -28,15 +30,29 @@ REQUIRED = (
 )
 
 
+# One choice for writing and reading: quotes inside text are doubled, blanks at its ends stay, an
+# empty text is quoted while a missing one is not, and line breaks may stand inside quotes.
+CSV_OPTIONS = {
+    "header": True,
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+    "emptyValue": '""',
+    "nullValue": "",
+}
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> int:
     """Write a table and return its number of rows, counted while it is written."""
     counted = Observation()
     observed = df.observe(counted, F.count(F.lit(1)).alias("rows"))
     writer = observed.write.mode("overwrite").format(fmt)
     if fmt == "csv":
-        # Quotes inside text are doubled, the way the reader expects them.
-        writer = writer.option("header", True).option("escape", '"')
+        writer = writer.options(**CSV_OPTIONS)
     writer.save(path)
+    if fmt == "csv":
+        df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(f"{path}{TYPES}")
     return counted.get["rows"]
 
 
@@ -68,10 +84,21 @@ def outputs_ready(spark: SparkSession, root: str, names: Iterable[str] = REQUIRE
     return all(exists(spark, f"{p}/_SUCCESS") for p in paths)
 
 
+def read_output(spark: SparkSession, path: str, fmt: str, schema: StructType | None = None) -> DataFrame:
+    """A written table with the types it was written with.
+
+    CSV holds no types, so they lie beside the table as an empty Parquet file.
+    """
+    if fmt != "csv":
+        return spark.read.format(fmt).load(path)
+    return spark.read.schema(schema or spark.read.parquet(f"{path}{TYPES}").schema).csv(
+        path, mode="FAILFAST", multiLine=True, **CSV_OPTIONS | {"emptyValue": ""})
+
+
 def load_outputs(
     spark: SparkSession, root: str, names: Iterable[str] = REQUIRED, fmt: str = "parquet"
 ) -> dict[str, DataFrame]:
     """The written outputs by name; a missing one raises ``AnalysisException``."""
-    outputs = {n: spark.read.format(fmt).load(table_path(root, n)) for n in names}
+    outputs = {n: read_output(spark, table_path(root, n), fmt) for n in names}
     outputs["model_metrics"] = read_metrics(spark, root)
     return outputs

@@ -82,7 +82,7 @@ def test_rank_prunes_before_the_shuffle(spark):
 def test_lookup_keeps_rows_without_key_or_match(spark):
     facts = spark.createDataFrame([("a", 1), (None, 2), (None, 3), ("z", 4)], "k string, v int")
     lookup = spark.createDataFrame([("a", "x"), (None, "never")], "k string, name string")
-    got = sorted(rows(lookup_join(facts, lookup, "k").select("v", "k", "name")))
+    got = sorted(rows(lookup_join(facts, lookup, "k", "v").select("v", "k", "name")))
     assert got == [(1, "a", "x"), (2, None, None), (3, None, None), (4, "z", None)]
 
 
@@ -97,7 +97,7 @@ def hot_join(spark, hot):
         F.col("id").alias("name"),
     )
     # One row per key, straight from an aggregation, as the operators produce it.
-    return lookup_join(facts, names.groupBy("k").agg(F.max("name").alias("name")), "k")
+    return lookup_join(facts, names.groupBy("k").agg(F.max("name").alias("name")), "k", "v")
 
 
 def no_broadcast(settings):
