@@ -44,7 +44,7 @@ def export_views(
     """
     stamp = dt.datetime.now(dt.timezone.utc)
     listed = [
-        (name, write_table(df, f"{target}/{name}", fmt), len(df.columns))
+        (name, write_table(df, f"{target}/{name}", fmt, null=""), len(df.columns))
         for name, df in build_extracts(load_outputs(spark, root, fmt=source_fmt)).items()
     ]
     manifest = spark.createDataFrame(

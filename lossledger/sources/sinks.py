@@ -31,7 +31,8 @@ REQUIRED = (
 
 
 # One choice for writing and reading: quotes inside text are doubled, blanks at its ends stay, an
-# empty text is quoted while a missing one is not, and line breaks may stand inside quotes.
+# empty text stays one, a missing value is a token of its own, and line breaks may stand inside quotes.
+NULL = "\\N"
 CSV_OPTIONS = {
     "header": True,
     "quote": '"',
@@ -39,17 +40,20 @@ CSV_OPTIONS = {
     "ignoreLeadingWhiteSpace": False,
     "ignoreTrailingWhiteSpace": False,
     "emptyValue": '""',
-    "nullValue": "",
+    "nullValue": NULL,
 }
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> int:
-    """Write a table and return its number of rows, counted while it is written."""
+def write_table(df: DataFrame, path: str, fmt: str = "parquet", null: str = NULL) -> int:
+    """Write a table and return its number of rows, counted while it is written.
+
+    ``null`` is how CSV shows a missing value; only with the default can empty texts be told apart.
+    """
     counted = Observation()
     observed = df.observe(counted, F.count(F.lit(1)).alias("rows"))
     writer = observed.write.mode("overwrite").format(fmt)
     if fmt == "csv":
-        writer = writer.options(**CSV_OPTIONS)
+        writer = writer.options(**CSV_OPTIONS | {"nullValue": null})
     writer.save(path)
     if fmt == "csv":
         df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(f"{path}{TYPES}")

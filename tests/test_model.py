@@ -57,16 +57,14 @@ def test_reloaded_model_gives_the_same_scores(separable, trained, tmp_path):
     )
 
 
-def test_holdout_is_stratified_and_stable(separable):
-    def held(df):
-        return df.withColumn("held", model.is_holdout(F.col("account_id"), F.col(LABEL)))
-
-    share = dict(rows(held(separable).groupBy(LABEL).agg(F.avg(F.col("held").cast("int")))))
-    assert all(abs(s - 0.25) < 0.08 for s in share.values())
+def test_holdout_is_the_exact_share_of_each_class_and_stable(separable):
+    held = model.with_holdout(separable, "account_id", LABEL, "held")
+    shares = rows(held.groupBy(LABEL).agg(F.sum(F.col("held").cast("int")), F.count(F.lit(1))))
+    assert all(kept == round(0.25 * n) for _, kept, n in shares)
+    again = model.with_holdout(separable.repartition(5), "account_id", LABEL, "held")
     pick = ["account_id", "held"]
-    assert sorted(rows(held(separable).select(pick))) == sorted(rows(held(separable.repartition(5)).select(pick)))
-    none = separable.where(model.is_holdout(F.col("account_id"), F.col(LABEL), fraction=0.0))
-    assert none.count() == 0
+    assert sorted(rows(held.select(pick))) == sorted(rows(again.select(pick)))
+    assert model.with_holdout(separable, "account_id", LABEL, "held", fraction=0.0).where("held").count() == 0
 
 
 def test_class_weights_balance(separable):

@@ -53,9 +53,17 @@ def test_running_totals(spark, descending, buckets):
 def test_running_totals_use_no_global_window_over_rows(spark):
     df = stage(spark.range(1000).selectExpr("id AS k", "1 AS n"))
     plan = running_totals(df, "k", {"upto": "n"})._jdf.queryExecution().executedPlan().toString()
-    single = plan.split("Exchange SinglePartition")
-    # Only the range totals go to one partition: they come from an aggregation by range.
-    assert len(single) == 2 and "HashAggregate(keys=[_range" in single[1]
+    single = [part.split("\n")[1] for part in plan.split("Exchange SinglePartition")[1:]]
+    # Only sums of partitions and the range totals go to one partition.
+    assert single and all("functions=[partial_" in line or "HashAggregate(keys=[_range" in line for line in single)
+    assert "TakeOrdered" not in plan
+
+
+@pytest.mark.parametrize("buckets", [1, 7, 300])
+def test_running_totals_do_not_depend_on_the_ranges(spark, buckets):
+    df = stage(spark.range(500).selectExpr("id * 7 % 500 AS k", "1 AS n"))
+    got = running_totals(df, "k", {"upto": "n"}, buckets=buckets)
+    assert sorted(rows(got.select("k", "upto"))) == [(k, k + 1) for k in range(500)]
 
 
 def test_null_and_value_counts(spark):

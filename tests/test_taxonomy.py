@@ -6,27 +6,28 @@ from tests.conftest import planned, rows
 
 # sentence, subcategory, matched terms, confidence
 TRUTH = [
-    ("Prospect liked the product but said Canva has stronger template variety.", "missing_templates", "template, variety", 0.7),
-    ("Customer raised concerns that Figma is already adopted by the team.", "competitor_switch", "figma", 0.6),
-    ("Deal slowed after prospect compared collaboration features with Adobe Express.", "missing_features", "feature", 0.6),
-    ("Buyer mentioned pricing pressure and unclear ROI during evaluation.", "pricing_concerns", "pricing", 0.6),
-    ("Prospect said onboarding seemed harder than expected for their team.", "onboarding_confusion", "onboarding", 0.6),
-    ("Customer responded well to collaboration features and ease of use.", "missing_features", "feature", 0.6),
-    ("Prospect liked the template library and fast export workflow.", "missing_templates", "library, template", 0.7),
-    ("Buyer saw strong value in the AI-assisted design tools.", "unclear_signal", "", 0.25),
-    ("Team liked the ease of onboarding and quick time to value.", "onboarding_confusion", "onboarding, time to value", 0.7),
-    ("Prospect requested a follow-up demo for additional stakeholders.", "low_team_adoption", "stakeholders", 0.6),
-    ("User reported export failing on large files.", "export_limitations", "export", 0.6),
-    ("Bug reported in image upload flow causing failed imports.", "performance_reliability", "failed, imports", 0.7),
-    ("User reported confusion about plan renewal pricing.", "pricing_concerns", "pricing, renewal", 0.7),
-    ("Customer requested more premium templates for social campaigns.", "missing_templates", "template, templates", 0.7),
-    ("User asked for advanced brand kit controls.", "missing_features", "advanced, controls", 0.7),
-    ("Customer experienced lag during export and preview.", "export_limitations", "export, preview", 0.7),
-    ("Account churned after preferring a competitor's template ecosystem.", "missing_templates", "template", 0.6),
-    ("Account showed weak adoption and limited ongoing engagement.", "onboarding_confusion", "adoption", 0.6),
-    ("Customer cancelled after low product usage over the last month.", "unclear_signal", "", 0.25),
-    ("User did not create enough projects to justify the subscription.", "low_usage", "did not create, justify the subscription", 0.7),
-    ("User moved to Adobe Express for familiarity and existing workflows.", "competitor_advantage", "existing workflows, familiarity", 0.7),
+    ("They want a wider variety and a template for each shop; canva has one.", "missing_templates", "template, variety", 0.7),
+    ("Figma is what the designers open first.", "competitor_switch", "figma", 0.6),
+    ("Which feature is in which plan?", "missing_features", "feature", 0.6),
+    ("The pricing page lost them.", "pricing_concerns", "pricing", 0.6),
+    ("Day one, onboarding call, nobody came.", "onboarding_confusion", "onboarding", 0.6),
+    ("One template from the library would have done.", "missing_templates", "library, template", 0.7),
+    ("All is well here.", "unclear_signal", "", 0.25),
+    ("Onboarding is fine and time to value is short.", "onboarding_confusion", "onboarding, time to value", 0.7),
+    ("More stakeholders join on Monday.", "low_team_adoption", "stakeholders", 0.6),
+    ("No export on Sundays.", "export_limitations", "export", 0.6),
+    ("Two imports failed.", "performance_reliability", "failed, imports", 0.7),
+    ("At renewal the pricing was a surprise.", "pricing_concerns", "pricing, renewal", 0.7),
+    ("Ten templates are too few.", "missing_templates", "template, templates", 0.7),
+    ("Advanced controls, please.", "missing_features", "advanced, controls", 0.7),
+    ("A lag in the preview before each export.", "export_limitations", "export, preview", 0.7),
+    ("A competitor sells the same template.", "missing_templates", "template", 0.6),
+    ("We see weak adoption.", "onboarding_confusion", "adoption", 0.6),
+    ("Usage is low.", "unclear_signal", "", 0.25),
+    ("They did not create a thing, which cannot justify the subscription.", "low_usage",
+     "did not create, justify the subscription", 0.7),
+    ("Out of familiarity, for the existing workflows; adobe express was near.", "competitor_advantage",
+     "existing workflows, familiarity", 0.7),
     ("PRICING PRICE BUDGET COST INVOICE", "pricing_concerns", "budget, cost, invoice, price, pricing", 0.95),
     ("pricing price budget cost invoice billing discount renewal", "pricing_concerns",
      "billing, budget, cost, discount, invoice, price, pricing, renewal", 0.95),
@@ -88,3 +89,10 @@ def test_filter_on_outcome_stays_above_the_counting(spark):
     df = spark.range(10).select(F.concat(F.lit("pricing "), F.col("id")).alias("text"))
     plan = planned(classify(df, "text").where("category = 'Product' and confidence > 0.5"))
     assert plan.count("Contains(_text") <= 2 * sum(len(r.keywords) for r in RULES)
+
+
+@pytest.mark.parametrize("as_array", [False, True])
+def test_without_rules_nothing_is_categorized(spark, as_array):
+    df = spark.createDataFrame([("pricing",), ("",), (None,)], "text string")
+    got = rows(classify(df, "text", (), as_array=as_array).select("category", "subcategory", "matched_terms", "confidence"))
+    assert got == [("Uncategorized", "unclear_signal", "", c) for c in (0.25, 0.1, 0.1)]
