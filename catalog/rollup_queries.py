@@ -72,18 +72,14 @@ def loss_summary(spark, path):
     return inputs.summary(spark, path)
 
 
-def _source_columns(df, keys, amount, count):
-    return df.select(*keys, amount, count).where(F.col(count) > 0)
-
-
 @register("a10_churn_by_month", "select * from churn_by_month")
 def churn_by_month(spark, path):
-    return _source_columns(inputs.trend(spark, path), ["period"], "churn_revenue_lost", "churn_events")
+    return rollups.source_trend(inputs.events(spark, path), ledger.CHURN)
 
 
 @register("a11_lost_deals_by_month", "select * from deals_by_month")
 def lost_deals_by_month(spark, path):
-    return _source_columns(inputs.trend(spark, path), ["period"], "lost_deal_value", "lost_deal_events")
+    return rollups.source_trend(inputs.events(spark, path), ledger.LOST_DEAL)
 
 
 @register("a12_loss_trend", "select * from trend")
@@ -93,12 +89,12 @@ def loss_trend(spark, path):
 
 @register("a13_churn_by_segment", "select * from churn_by_segment")
 def churn_by_segment(spark, path):
-    return _source_columns(inputs.segments(spark, path), rollups.SEGMENT, "churn_revenue_lost", "churn_events")
+    return rollups.source_segments(inputs.events(spark, path), star.accounts(spark, path), ledger.CHURN)
 
 
 @register("a14_lost_deals_by_segment", "select * from deals_by_segment")
 def lost_deals_by_segment(spark, path):
-    return _source_columns(inputs.segments(spark, path), rollups.SEGMENT, "lost_deal_value", "lost_deal_events")
+    return rollups.source_segments(inputs.events(spark, path), star.accounts(spark, path), ledger.LOST_DEAL)
 
 
 @register("a15_segment_loss", "select * from segments")

@@ -71,6 +71,20 @@ def loss_trend(events: DataFrame) -> DataFrame:
     return _finish(monthly, ["period"]).orderBy(F.asc_nulls_last("period"))
 
 
+SOURCE_COLUMNS = {CHURN: ("churn_revenue_lost", "churn_events"), LOST_DEAL: ("lost_deal_value", "lost_deal_events")}
+
+
+def source_trend(events: DataFrame, source: str) -> DataFrame:
+    """Loss of one source per month. The filter reaches the ledger's parts, so the other source is never read."""
+    return loss_trend(events.where(F.col("source") == source)).select("period", *SOURCE_COLUMNS[source])
+
+
+def source_segments(events: DataFrame, accounts: DataFrame, source: str) -> DataFrame:
+    """Loss of one source per segment; the other source is never read."""
+    rolled = segment_loss(events.where(F.col("source") == source), accounts)
+    return rolled.select(*SEGMENT, *SOURCE_COLUMNS[source])
+
+
 def segment_loss(events: DataFrame, accounts: DataFrame) -> DataFrame:
     """Both kinds of loss per (plan, region, industry), largest first.
 

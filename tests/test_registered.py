@@ -61,6 +61,11 @@ def test_joins_read_and_shuffle_no_more_than_they_need(spark, settings):
     assert best.count("Exchange hashpartitioning(") == 2
 
 
+def test_rollups_of_one_source_read_that_source_only(spark):
+    for name in ("a10_churn_by_month", "a13_churn_by_segment"):
+        assert "o_totalprice" not in planned(registered.queries()[name](spark, DATA))
+
+
 def test_running_totals_rank_no_keys(spark):
     plan = planned(registered.queries()["m10_precision_recall_curve"](spark, DATA))
     assert "TakeOrdered" not in plan
