@@ -30,8 +30,8 @@ from lossledger.sources import star_schema as star
     union all select 'evidence_sales_notes', count(*), 9 from sales_notes""")
 def export_manifest(spark, path):
     outputs = {
-        "account_risk_scores": inputs.risk(spark, path),
-        "revenue_loss_summary": inputs.summary(spark, path),
+        "account_risk_scores": inputs.risk(spark, path, ordered=True),
+        "revenue_loss_summary": inputs.summary(spark, path, ordered=True),
         "revenue_loss_trend": inputs.trend(spark, path),
         "segment_loss": inputs.segments(spark, path),
         "model_metrics": inputs.metrics(spark, path),

@@ -42,8 +42,8 @@ def events(spark: SparkSession, path: str) -> DataFrame:
     return loss_events(star.deals(spark, path), star.cancellations(spark, path))
 
 
-def summary(spark: SparkSession, path: str) -> DataFrame:
-    return loss_summary(ledger(spark, path))
+def summary(spark: SparkSession, path: str, *, ordered: bool = False) -> DataFrame:
+    return loss_summary(ledger(spark, path), ordered=ordered)
 
 
 def trend(spark: SparkSession, path: str) -> DataFrame:
@@ -59,8 +59,8 @@ def propensity(spark: SparkSession, path: str) -> DataFrame:
     return rule_churn_propensity(star.accounts(spark, path), star.product_usage(spark, path))
 
 
-def risk(spark: SparkSession, path: str) -> DataFrame:
-    return score_table(propensity(spark, path))
+def risk(spark: SparkSession, path: str, *, ordered: bool = False) -> DataFrame:
+    return score_table(propensity(spark, path), ordered=ordered)
 
 
 def labelled(spark: SparkSession, path: str) -> DataFrame:

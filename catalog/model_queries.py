@@ -207,7 +207,7 @@ def confusion(spark, path):
 
 @register("m15_score_table", "select * from risk")
 def score_table(spark, path):
-    return inputs.risk(spark, path)
+    return inputs.risk(spark, path, ordered=True)
 
 
 @register("m16_train_and_score", """
@@ -281,7 +281,7 @@ def quality_row(spark, path):
 
 @register("v06_risk_extract", "select *, 0.5::double as risk_threshold_default from risk")
 def risk_extract(spark, path):
-    return views.risk_extract(inputs.risk(spark, path))
+    return views.risk_extract(inputs.risk(spark, path, ordered=True))
 
 
 @register("v07_segment_extract", """

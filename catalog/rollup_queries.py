@@ -69,7 +69,7 @@ def lost_deals_by_cause(spark, path):
 
 @register("a09_loss_summary", "select * from summary")
 def loss_summary(spark, path):
-    return inputs.summary(spark, path)
+    return inputs.summary(spark, path, ordered=True)
 
 
 @register("a10_churn_by_month", "select * from churn_by_month")
@@ -356,7 +356,7 @@ def best_note(spark, path):
 
 @register("w03_percent_of_total", "select category, subcategory, source, pct_of_total_loss from summary")
 def percent_of_total(spark, path):
-    return inputs.summary(spark, path).select("category", "subcategory", "source", "pct_of_total_loss")
+    return inputs.summary(spark, path, ordered=True).select("category", "subcategory", "source", "pct_of_total_loss")
 
 
 @register("w04_priority", "select priority, category from recommendations")
@@ -369,7 +369,7 @@ def priority(spark, path):
 
 @register("l01_summary_by_loss", "select category, subcategory, source, lost_revenue from summary order by 4 desc")
 def summary_by_loss(spark, path):
-    return inputs.summary(spark, path).select("category", "subcategory", "source", "lost_revenue")
+    return inputs.summary(spark, path, ordered=True).select("category", "subcategory", "source", "lost_revenue")
 
 
 @register("l02_trend_by_period", "select period, total_revenue_loss from trend order by 1")
@@ -386,7 +386,7 @@ def segments_by_loss(spark, path):
 @register("l04_scores_by_risk", """
     select account_id, churn_probability, estimated_monthly_revenue_at_risk from risk order by 3 desc, 2 desc, 1""")
 def scores_by_risk(spark, path):
-    return inputs.risk(spark, path).select("account_id", "churn_probability", "estimated_monthly_revenue_at_risk")
+    return inputs.risk(spark, path, ordered=True).select("account_id", "churn_probability", "estimated_monthly_revenue_at_risk")
 
 
 @register("l05_top_categories", """

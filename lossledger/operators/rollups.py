@@ -59,10 +59,13 @@ def loss_by_cause(ledger: DataFrame) -> DataFrame:
     )
 
 
-def loss_summary(ledger: DataFrame) -> DataFrame:
-    """Loss per cause and source with its share of the total, largest first."""
+def loss_summary(ledger: DataFrame, *, ordered: bool = True) -> DataFrame:
+    """Loss per cause and source with its share of the total, largest first.
+
+    Where the rows are only summed or joined further, ``ordered=False`` spares the global sort.
+    """
     shared = percent_of_total(loss_by_cause(ledger), "lost_revenue", "pct_of_total_loss")
-    return shared.orderBy(F.desc("lost_revenue"), "category", "subcategory", "source")
+    return shared.orderBy(F.desc("lost_revenue"), "category", "subcategory", "source") if ordered else shared
 
 
 def loss_trend(events: DataFrame) -> DataFrame:

@@ -35,8 +35,11 @@ def by_risk(df: DataFrame) -> DataFrame:
     return df.orderBy(F.desc("estimated_monthly_revenue_at_risk"), F.desc("churn_probability"), "account_id")
 
 
-def score_table(scored: DataFrame, probability: str = "churn_probability") -> DataFrame:
-    """Account scores with tier and revenue at risk, from any table with a probability."""
+def score_table(scored: DataFrame, probability: str = "churn_probability", *, ordered: bool = True) -> DataFrame:
+    """Account scores with tier and revenue at risk, from any table with a probability.
+
+    Most revenue at risk comes first; ``ordered=False`` spares the global sort of all accounts.
+    """
     p = F.col(probability)
     table = scored.select(
         *SCORE_INPUTS,
@@ -44,7 +47,7 @@ def score_table(scored: DataFrame, probability: str = "churn_probability") -> Da
         risk_tier(p).alias("risk_tier"),
         revenue_at_risk(F.col("monthly_revenue"), p).alias("estimated_monthly_revenue_at_risk"),
     )
-    return by_risk(table)
+    return by_risk(table) if ordered else table
 
 
 def _points(*terms: Column | int) -> Column:

@@ -66,6 +66,11 @@ def test_rollups_of_one_source_read_that_source_only(spark):
         assert "o_totalprice" not in planned(registered.queries()[name](spark, DATA))
 
 
+def test_sums_need_no_global_sort(spark):
+    for name in ("a19_kpi_snapshot", "s09_run_summary"):
+        assert "rangepartitioning" not in planned(registered.queries()[name](spark, DATA))
+
+
 def test_running_totals_rank_no_keys(spark):
     plan = planned(registered.queries()["m10_precision_recall_curve"](spark, DATA))
     assert "TakeOrdered" not in plan
