@@ -46,12 +46,12 @@ def summary(spark: SparkSession, path: str, *, ordered: bool = False) -> DataFra
     return loss_summary(ledger(spark, path), ordered=ordered)
 
 
-def trend(spark: SparkSession, path: str) -> DataFrame:
-    return loss_trend(events(spark, path))
+def trend(spark: SparkSession, path: str, *, ordered: bool = False) -> DataFrame:
+    return loss_trend(events(spark, path), ordered=ordered)
 
 
-def segments(spark: SparkSession, path: str) -> DataFrame:
-    return segment_loss(events(spark, path), star.accounts(spark, path))
+def segments(spark: SparkSession, path: str, *, ordered: bool = False) -> DataFrame:
+    return segment_loss(events(spark, path), star.accounts(spark, path), ordered=ordered)
 
 
 def propensity(spark: SparkSession, path: str) -> DataFrame:

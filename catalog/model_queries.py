@@ -74,9 +74,9 @@ def one_hot(spark, path):
     with u as (select account_id, avg_projects_created, avg_weekly_active_users
                from accounts left join usage_means using (account_id))
     select account_id, avg_projects_created, avg_weekly_active_users,
-           coalesce(avg_projects_created, (select quantile_disc(avg_projects_created, 0.5) from u))
+           coalesce(avg_projects_created, (select quantile_cont(avg_projects_created, 0.5) from u))
              as avg_projects_created_imputed,
-           coalesce(avg_weekly_active_users, (select quantile_disc(avg_weekly_active_users, 0.5) from u))
+           coalesce(avg_weekly_active_users, (select quantile_cont(avg_weekly_active_users, 0.5) from u))
              as avg_weekly_active_users_imputed
     from u""")
 def median_impute(spark, path):
@@ -84,7 +84,7 @@ def median_impute(spark, path):
     table = account_features(star.star_tables(spark, path), fill=None)
     shown = ["avg_projects_created", "avg_weekly_active_users"]
     stages = model.preprocessing([], shown)
-    fitted = Pipeline(stages=[s for s in stages if type(s).__name__ in ("SQLTransformer", "Imputer")]).fit(table)
+    fitted = Pipeline(stages=[s for s in stages if type(s).__name__ in ("SQLTransformer", "MedianImputer")]).fit(table)
     return fitted.transform(table).select("account_id", *shown, *(f"{c}_imputed" for c in shown))
 
 

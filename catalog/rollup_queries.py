@@ -367,20 +367,29 @@ def priority(spark, path):
 # ---- sort, limit, top-k -----------------------------------------------------------------------
 
 
-@register("l01_summary_by_loss", "select category, subcategory, source, lost_revenue from summary order by 4 desc")
+@register("l01_summary_by_loss", """
+    select category, subcategory, source, lost_revenue, cast(row_number() over (
+        order by lost_revenue desc, category nulls first, subcategory nulls first, source) as integer) as position from summary""")
 def summary_by_loss(spark, path):
-    return inputs.summary(spark, path, ordered=True).select("category", "subcategory", "source", "lost_revenue")
+    summary = inputs.summary(spark, path, ordered=True).select("category", "subcategory", "source", "lost_revenue")
+    return _place(summary, "position")
 
 
-@register("l02_trend_by_period", "select period, total_revenue_loss from trend order by 1")
+@register("l02_trend_by_period", """
+    select period, total_revenue_loss, cast(row_number() over (
+        order by period nulls last) as integer) as position from trend""")
 def trend_by_period(spark, path):
-    return inputs.trend(spark, path).select("period", "total_revenue_loss")
+    return _place(inputs.trend(spark, path, ordered=True).select("period", "total_revenue_loss"), "position")
 
 
 @register("l03_segments_by_loss", """
-    select plan_type, region, industry, total_revenue_loss from segments order by 4 desc""")
+    select plan_type, region, industry, total_revenue_loss, cast(row_number() over (
+        order by total_revenue_loss desc, plan_type nulls first, region nulls first, industry nulls first) as integer)
+        as position
+    from segments""")
 def segments_by_loss(spark, path):
-    return inputs.segments(spark, path).select(*rollups.SEGMENT, "total_revenue_loss")
+    segments = inputs.segments(spark, path, ordered=True)
+    return _place(segments.select(*rollups.SEGMENT, "total_revenue_loss"), "position")
 
 
 @register("l04_scores_by_risk", """

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lossledger.operators.evaluate import pr_curve, ranking_metrics
 from lossledger.operators.features import CATEGORICAL, LABEL, NUMERIC
+from lossledger.operators.profile import medians
 from lossledger.session import stage
 from lossledger.settings import HOLDOUT_FRACTION, SEED
 
@@ -56,6 +57,22 @@ def with_class_weight(df: DataFrame, label: str = LABEL, name: str = "class_weig
     return df.withColumn(name, n / (2.0 * of_class))
 
 
+class MedianImputer(Estimator):
+    """Fits to a transformer that fills nulls and NaN with the exact median of the training rows.
+
+    ``columns`` maps inputs to outputs. A column without any value is filled with 0.
+    """
+
+    def __init__(self, columns: Mapping[str, str]):
+        super().__init__()
+        self.columns = dict(columns)
+
+    def _fit(self, dataset: DataFrame) -> SQLTransformer:
+        found = medians(dataset, list(self.columns))
+        filled = [f"coalesce(nanvl({c}, CAST(NULL AS DOUBLE)), {found[c] or 0.0!r}D) AS {out}" for c, out in self.columns.items()]
+        return SQLTransformer(statement=f"SELECT {', '.join(['*', *filled])} FROM __THIS__")
+
+
 def build_pipeline(
     categorical: Sequence[str] = CATEGORICAL,
     numeric: Sequence[str] = NUMERIC,
@@ -95,7 +112,7 @@ def preprocessing(categorical: Sequence[str] = CATEGORICAL, numeric: Sequence[st
         StringIndexer(inputCols=list(categorical), outputCols=indexed, handleInvalid="keep"),
         typed,
         OneHotEncoder(inputCols=filled, outputCols=encoded, handleInvalid="keep", dropLast=True),
-        Imputer(inputCols=numbers, outputCols=imputed, strategy="median"),
+        MedianImputer(dict(zip(numbers, imputed))),
         VectorAssembler(inputCols=[*encoded, *imputed], outputCol="features", handleInvalid="keep"),
     ]
 

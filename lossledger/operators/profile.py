@@ -30,6 +30,29 @@ def value_counts(df: DataFrame, column: str, dropna: bool = True) -> DataFrame:
     return counted.orderBy(F.desc("occurrences"), "value")
 
 
+def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
+    """The exact median of each column, the mean of the middle two for an even count; null without values.
+
+    Nulls and NaN do not count. All columns are ranked together: values collapse to one row per
+    column and value, and running totals over both give the ranks. One row per column is collected.
+    """
+    pairs = F.array(*(F.struct(F.lit(i).alias("column"), F.col(c).cast("double").alias("value")) for i, c in enumerate(columns)))
+    counts = stage(
+        df.select(F.explode(pairs).alias("key"))
+        .where(F.col("key.value").isNotNull() & ~F.isnan("key.value"))
+        .groupBy("key").agg(F.count(F.lit(1)).alias("occurrences"))
+    )
+    ranked = running_totals(counts, "key", {"upto": "occurrences"}).select(
+        F.col("key.column").alias("column"), F.col("key.value").alias("value"), "upto", "occurrences")
+    sizes = ranked.groupBy("column").agg(F.sum("occurrences").alias("n"), F.max("upto").alias("end"))
+    middle = (F.col("end") - F.col("n") + F.floor((F.col("n") - 1) / 2), F.col("end") - F.col("n") + F.ceil((F.col("n") - 1) / 2))
+    reaches = [(F.col("upto") - F.col("occurrences") <= rank) & (rank < F.col("upto")) for rank in middle]
+    found = ranked.join(F.broadcast(sizes), "column").groupBy("column").agg(
+        *(F.max(F.when(reached, F.col("value"))).alias(name) for reached, name in zip(reaches, ("low", "high"))))
+    values = {row["column"]: row["low"] + (row["high"] - row["low"]) * 0.5 for row in found.collect()}
+    return {c: values.get(i) for i, c in enumerate(columns)}
+
+
 def quantiles(df: DataFrame, column: str, fractions: Sequence[float]) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per fraction.
 

@@ -68,10 +68,14 @@ def loss_summary(ledger: DataFrame, *, ordered: bool = True) -> DataFrame:
     return shared.orderBy(F.desc("lost_revenue"), "category", "subcategory", "source") if ordered else shared
 
 
-def loss_trend(events: DataFrame) -> DataFrame:
-    """Both kinds of loss per month, oldest first; undated losses form a row of their own."""
+def loss_trend(events: DataFrame, *, ordered: bool = True) -> DataFrame:
+    """Both kinds of loss per month, oldest first; undated losses form a row of their own.
+
+    ``ordered=False`` as in :func:`loss_summary`.
+    """
     monthly = events.groupBy(month_of(F.col("event_date")).alias("period")).agg(*_both_sources())
-    return _finish(monthly, ["period"]).orderBy(F.asc_nulls_last("period"))
+    trend = _finish(monthly, ["period"])
+    return trend.orderBy(F.asc_nulls_last("period")) if ordered else trend
 
 
 SOURCE_COLUMNS = {CHURN: ("churn_revenue_lost", "churn_events"), LOST_DEAL: ("lost_deal_value", "lost_deal_events")}
@@ -79,21 +83,22 @@ SOURCE_COLUMNS = {CHURN: ("churn_revenue_lost", "churn_events"), LOST_DEAL: ("lo
 
 def source_trend(events: DataFrame, source: str) -> DataFrame:
     """Loss of one source per month. The filter reaches the ledger's parts, so the other source is never read."""
-    return loss_trend(events.where(F.col("source") == source)).select("period", *SOURCE_COLUMNS[source])
+    return loss_trend(events.where(F.col("source") == source), ordered=False).select("period", *SOURCE_COLUMNS[source])
 
 
 def source_segments(events: DataFrame, accounts: DataFrame, source: str) -> DataFrame:
     """Loss of one source per segment; the other source is never read."""
-    rolled = segment_loss(events.where(F.col("source") == source), accounts)
+    rolled = segment_loss(events.where(F.col("source") == source), accounts, ordered=False)
     return rolled.select(*SEGMENT, *SOURCE_COLUMNS[source])
 
 
-def segment_loss(events: DataFrame, accounts: DataFrame) -> DataFrame:
+def segment_loss(events: DataFrame, accounts: DataFrame, *, ordered: bool = True) -> DataFrame:
     """Both kinds of loss per (plan, region, industry), largest first.
 
     Losses are summed per account before the accounts are joined, and repeated account rows are
     collapsed to a count, so neither a busy account nor a repeated one becomes a hot task.
-    A repeated account counts its losses once per row, as a plain join would.
+    A repeated account counts its losses once per row, as a plain join would. ``ordered=False`` as in
+    :func:`loss_summary`.
     """
     per_account = events.groupBy("account_id").agg(*_both_sources())
     segments = accounts.groupBy("account_id", *SEGMENT).agg(F.count(F.lit(1)).alias("_copies"))
@@ -104,7 +109,8 @@ def segment_loss(events: DataFrame, accounts: DataFrame) -> DataFrame:
     rolled = joined.groupBy(*SEGMENT).agg(
         *(F.sum(F.col(m).cast("decimal(28,4)") * F.col("_copies")).alias(m) for m in measures)
     )
-    return _finish(rolled, SEGMENT).orderBy(F.desc("total_revenue_loss"), *SEGMENT)
+    segments = _finish(rolled, SEGMENT)
+    return segments.orderBy(F.desc("total_revenue_loss"), *SEGMENT) if ordered else segments
 
 
 def reconcile(summary: DataFrame, trend: DataFrame, segments: DataFrame) -> DataFrame:

@@ -84,11 +84,22 @@ def test_categories_missing_and_unseen(spark):
 
 def test_median_fills_missing_numbers(spark):
     train = spark.createDataFrame([(1,), (2,), (9,), (None,)], "n int")
-    stages = [s for s in model.preprocessing([], ["n"]) if type(s).__name__ in ("SQLTransformer", "Imputer")]
+    stages = [s for s in model.preprocessing([], ["n"]) if type(s).__name__ in ("SQLTransformer", "MedianImputer")]
     got = rows(Pipeline(stages=stages).fit(train).transform(train).select("n_imputed"))
     assert got == [(1.0,), (2.0,), (9.0,), (2.0,)]
 
 
+def test_median_is_the_mean_of_the_middle_two_and_skips_what_is_missing(spark):
+    nan = float("nan")
+    train = spark.createDataFrame([(4.0, nan, None), (1.0, 7.0, None), (None, -3.0, None), (9.0, None, None), (2.0, 7.0, None)],
+                                  "a double, b double, c double")
+    fitted = model.MedianImputer({c: f"{c}_full" for c in "abc"}).fit(train.repartition(3))
+    got = rows(fitted.transform(train).select("a_full", "b_full", "c_full"))
+    assert got == [(4.0, 7.0, 0.0), (1.0, 7.0, 0.0), (3.0, -3.0, 0.0), (9.0, 7.0, 0.0), (2.0, 7.0, 0.0)]
+    empty = model.MedianImputer({"a": "a_full"}).fit(train.limit(0))
+    assert rows(empty.transform(train.where("a = 4")).select("a_full")) == [(4.0,)]
+
+
 def test_forest_settings():
     forest = model.build_pipeline().getStages()[-1]
     assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getMinInstancesPerNode(), forest.getSeed()) == (300, 10, 4, 42)
