@@ -18,14 +18,18 @@ from lossledger.llm.secrets import redact_secrets
 from lossledger.llm.toxicity import without_toxic
 
 
+#: The law of the jaccard_join stage: shingles of so many words, linked from so many per cent on. op8 has its own.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go."""
     return without_toxic(docs, table(spark, sf_dir, "labels"), labelled_docs=table(spark, sf_dir, "documents"))
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by the Jaccard join, the one with the smallest id stays."""
-    others = jaccard_classes(docs).where("doc_id != component_id").select("doc_id").distinct()
+    """Of documents linked by the Jaccard join (five words, 0.8), the one with the smallest id stays."""
+    others = jaccard_classes(docs, n=NEAR_WORDS, percent=NEAR_PERCENT).where("doc_id != component_id").select("doc_id").distinct()
     return docs.join(others, docs["doc_id"] == others["doc_id"], "left_anti")
 
 
