@@ -28,9 +28,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by the Jaccard join (five words, 0.8), the one with the smallest id stays."""
-    others = jaccard_classes(docs, n=NEAR_WORDS, percent=NEAR_PERCENT).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(others, docs["doc_id"] == others["doc_id"], "left_anti")
+    """Of rows linked by the Jaccard join (five words, 0.8), the one with the smallest id stays.
+
+    Rows are linked by their own texts, whatever their ids: of rows that share an id, too, one of each
+    class stays (the first stored), and a row without an id is linked like any other and stays only if
+    its class has no id. A null or wordless text is linked with nothing; of such rows only repeats of
+    one id and text go, and those without an id stay.
+    """
+    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()))
+    classes = jaccard_classes(rows, id_col="_row", n=NEAR_WORDS, percent=NEAR_PERCENT).withColumnRenamed("doc_id", "_row")
+    alone = (F.col("n_shingles") == 0) & F.col("doc_id").isNotNull()
+    classed = staged(rows.select("_row", "doc_id", F.xxhash64("text").alias("_text")).join(classes, "_row").select(
+        "_row", "doc_id", F.when(~alone, F.col("component_id")).alias("_class"), F.when(alone, F.col("doc_id")).alias("_id"),
+        F.when(alone, F.col("_text")).alias("_text")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row"))
+    kept = classed.groupBy("_class", "_id", "_text").agg(first.alias("first")).select("first._row")
+    others = classed.select("_row").join(kept, "_row", "left_anti")
+    return rows.join(others, "_row", "left_anti").drop("_row")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

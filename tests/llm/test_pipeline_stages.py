@@ -18,3 +18,15 @@ def test_near_copies_go_at_five_words_and_80_percent(spark):
     wanted = [i for i, _, c in plain.classes(texts, 80, 5) if i == c]
     assert wanted != [i for i, _, c in plain.classes(texts, 90, 3) if i == c]
     assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == wanted
+
+
+def test_one_row_stays_of_repeated_and_missing_ids(spark, documents):
+    text = lambda name, n=60: " ".join(f"{name}{i}" for i in range(n))
+    docs = [(1, text("a")), (1, text("a")), (1, text("a") + " near"), (1, text("b")), (2, text("b")), (3, text("c")),
+            (None, text("c")), (None, text("c") + " near"), (None, text("d")), (None, text("d")), (None, text("e")),
+            (4, None), (4, None), (4, ""), (5, ""), (None, None), (None, None)]
+    kept = corpus_pipeline.keep_one_of_each_class(spark, documents(docs), "")
+    assert kept.columns == documents([]).columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([
+        (1, text("a")), (1, text("b")), (3, text("c")), (None, text("d")), (None, text("e")),
+        (4, None), (4, ""), (5, ""), (None, None), (None, None)], key=str)
