@@ -141,7 +141,7 @@ def token_pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 class VectorBins:
-    """Open sequences by residual tokens; equal residuals wait in a heap, roomiest first."""
+    """Open sequences by their whole residual vector; those with equal residuals wait in a heap, first opened first."""
 
     def __init__(self, capacity: int, documents: int, cost: int, weights: tuple[float, float, float], score: str):
         if score not in ("norm", "dot"):
@@ -149,38 +149,56 @@ class VectorBins:
         self.full = np.array([capacity, documents, cost], float)
         self.scale = np.asarray(weights, float) / self.full
         self.score = score
-        self.heaps: list[list] = [[] for _ in range(capacity + 1)]
-        self.best = np.full((capacity + 1, 3), -1.0)  # residuals of each heap's first sequence
+        self.rooms = np.full((3, 1024), -1.0)  # a column for each residual vector, -1 where there is none
+        self.waiting: list[list[int]] = []  # sequences of each column
+        self.column: dict[tuple[float, float, float], int] = {}
+        self.free: list[int] = []
         self.count = 0
 
-    def _show(self, tokens: int) -> None:
-        heap = self.heaps[tokens]
-        self.best[tokens] = (tokens, -heap[0][0], -heap[0][1]) if heap else -1.0
+    def _open(self, room: tuple[float, float, float], number: int) -> None:
+        at = self.column.get(room)
+        if at is None:
+            if self.free:
+                at = heapq.heappop(self.free)
+            else:
+                at = len(self.waiting)
+                self.waiting.append([])
+                if at == self.rooms.shape[1]:
+                    self.rooms = np.hstack([self.rooms, np.full_like(self.rooms, -1.0)])
+            self.column[room] = at
+            self.rooms[:, at] = room
+        heapq.heappush(self.waiting[at], number)
+
+    def _take(self, at: int) -> tuple[tuple[float, float, float], int]:
+        room = tuple(self.rooms[:, at].tolist())
+        number = heapq.heappop(self.waiting[at])
+        if not self.waiting[at]:
+            del self.column[room]
+            self.rooms[:, at] = -1.0
+            heapq.heappush(self.free, at)
+        return room, number
 
     def place(self, length: int) -> tuple[int, int]:
         """Sequence and offset for a piece of ``length`` tokens."""
         need = np.array([length, 1, length * length], float)
         if (need > self.full).any():
             raise ValueError("a piece is larger than an empty sequence")
-        room = self.best[length:]
-        fits = np.flatnonzero((room[:, 1] >= 1) & (room[:, 2] >= need[2]))
+        tokens, documents, cost = self.rooms[:, : len(self.waiting)]
+        fits = np.flatnonzero((tokens >= length) & (documents >= 1) & (cost >= need[2]))
         if len(fits):
-            left = room[fits]
+            left = self.rooms[:, fits]
             if self.score == "norm":
-                pick = np.argmin((((left - need) * self.scale) ** 2).sum(axis=1))
+                pick = np.argmin((((left - need[:, None]) * self.scale[:, None]) ** 2).sum(axis=0))
             else:
-                pick = np.argmax((left * self.scale * (need * self.scale)).sum(axis=1))
-            tokens = length + int(fits[pick])
-            documents, cost, number = heapq.heappop(self.heaps[tokens])
-            self._show(tokens)
+                pick = np.argmax(((need * self.scale**2)[:, None] * left).sum(axis=0))
+            room, number = self._take(int(fits[pick]))
         else:
-            tokens, documents, cost, number = int(self.full[0]), -self.full[1], -self.full[2], self.count
+            room, number = tuple(self.full.tolist()), self.count
             self.count += 1
-        rest = tokens - length
-        if rest and documents + 1 < 0:
-            heapq.heappush(self.heaps[rest], (documents + 1, cost + need[2], number))
-            self._show(rest)
-        return number, int(self.full[0]) - tokens
+        rest = (room[0] - length, room[1] - 1, room[2] - length * length)
+        if min(rest) > 0:
+            self._open(rest, number)
+        return number, int(self.full[0] - room[0])
 
 
 def best_fit(lengths: np.ndarray, capacity: int, documents: int, cost: int,
