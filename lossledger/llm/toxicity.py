@@ -15,6 +15,9 @@ that into a probability.
 Training takes at most ``MAX_TOXIC`` + ``MAX_CLEAN`` labelled documents, those with the smallest
 hashes of their id, never rows with ``crc32(doc_id) % 3 = 1``. Scoring reads every text whole.
 
+Limit: the kernel tells the letters a to z apart; every other letter or digit is one of six codes. Texts in
+scripts other than Latin have an alphabet of six, in which toxic and clean strings may not be told apart.
+
 Defined results: a null or empty text has no strings and gets the score of that; labels that are
 null or without an id are not used, an id with several labels is toxic if one says so; without
 toxic or clean labels to learn from every score is the share of toxic labels (0 without labels);
