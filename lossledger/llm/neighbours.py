@@ -42,8 +42,11 @@ def usable(vector: Column) -> Column:
 
 
 def fit_centroids(sample: np.ndarray, lists: int, seed: int = 11, rounds: int = 8) -> np.ndarray:
+    """At most ``lists`` centroids; they start as distinct vectors, so a group of equal rows starts one list."""
     rng = np.random.default_rng(seed)
-    centres = sample[rng.choice(len(sample), lists, replace=False)]
+    distinct = sample[np.sort(np.unique(sample, axis=0, return_index=True)[1])]
+    lists = min(lists, len(distinct))
+    centres = distinct[rng.choice(len(distinct), lists, replace=False)]
     for _ in range(rounds):
         nearest = np.argmax(sample @ centres.T, axis=1)
         for c in range(lists):
@@ -136,9 +139,10 @@ def nearest(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
     rows = rows.where(F.size("vector") == width)
     sample = unit(np.array([r[0] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select(
         "vector").collect()]))
-    lists = min(lists or max(1, min(MAX_LISTS, round(total ** 0.5))), len(sample))
+    fitted = fit_centroids(sample, lists or max(1, min(MAX_LISTS, round(total ** 0.5))))
+    lists = len(fitted)
     probes = min(lists, max(LEAST_PROBES, -(-round(1000 * probe_share) * lists // 1000)))
-    centres = spark.sparkContext.broadcast(fit_centroids(sample, lists))
+    centres = spark.sparkContext.broadcast(fitted)
     turn = spark.sparkContext.broadcast(rotation(width))
 
     def assign(found: Iterator[dict]) -> Iterator[tuple]:
