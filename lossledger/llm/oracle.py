@@ -158,3 +158,121 @@ SELECT page_id, host, path, rule,
        coalesce(v.verdict, CASE WHEN s.score >= t THEN 'allow' ELSE 'block' END) AS verdict
 FROM verdicts v LEFT JOIN scores s ON s.rest = v.rest, threshold
 """.replace("SMALL_H", _SMALL.format("regexp_extract(rest, '^[^/?#]*', 0)"))
+
+MIXING = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS place FROM documents
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, 3 * sum(size)::BIGINT AS most,
+         [1, 2, 3][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+  FROM sized GROUP BY source
+), filled AS (
+  -- sources in the order in which they reach their limit; each gets what is left if all before it are full
+  SELECT *, sum(source_size) OVER () - coalesce(sum(most) OVER before, 0) AS left_over,
+         sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS sharing
+  FROM sources WINDOW before AS (ORDER BY most::DOUBLE / weight, source NULLS LAST
+                                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), level AS (
+  SELECT left_over, sharing FROM filled WHERE most * sharing >= weight * left_over
+  ORDER BY most::DOUBLE / weight, source NULLS LAST LIMIT 1
+), targets AS (
+  SELECT source, source_size,
+         CASE WHEN most * sharing < weight * left_over THEN most::DOUBLE
+              ELSE (weight * left_over)::DOUBLE / sharing::DOUBLE END AS target
+  FROM (SELECT source, source_size, most, weight FROM sources), level
+), rates AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(least(target / source_size, 3.0::DOUBLE) * 1099511627776.0::DOUBLE)::BIGINT
+                 ELSE 0 END AS expected,
+         cast('0x' || left(md5('11:' || coalesce(source, '')), 10) AS BIGINT) AS start
+  FROM targets
+), summed AS (
+  SELECT doc_id, size, source_size, target, start + sum(expected::HUGEINT) OVER (
+    PARTITION BY s.source ORDER BY size, place ROWS UNBOUNDED PRECEDING) AS upto, expected
+  FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source
+), taken AS (
+  SELECT *, (upto // 1099511627776 - (upto - expected) // 1099511627776)::BIGINT AS copies FROM summed
+)
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies FROM taken
+"""
+
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT lang, row_number() OVER () AS piece, words FROM (
+    SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(lower_text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS words
+    FROM (SELECT coalesce(lang, 'und') AS lang, SMALL_D AS lower_text FROM documents)
+  ) WHERE len(words) > 0
+), totals AS (
+  SELECT lang, sum(len(words))::BIGINT AS n FROM pieces GROUP BY lang
+), counts AS (
+  SELECT lang, phrase, any_value(k) AS k, count(*) AS f FROM (
+    SELECT lang, k, words[p : p + k - 1] AS phrase
+    FROM (SELECT lang, words, k, unnest(generate_series(1, len(words) - k + 1)) AS p FROM pieces, (SELECT unnest([1, 2, 3, 4]) AS k)))
+  GROUP BY lang, phrase HAVING count(*) >= 30
+), cuts AS (
+  SELECT c.lang, c.phrase, c.k, c.f AS a, x.f AS l, y.f AS r, cut, (2000000 * c.f::HUGEINT) // (x.f + y.f) AS score
+  FROM (SELECT *, unnest(generate_series(1, k - 1)) AS cut FROM counts WHERE k > 1) c
+  JOIN counts x ON x.lang = c.lang AND x.phrase = c.phrase[1 : cut]
+  JOIN counts y ON y.lang = c.lang AND y.phrase = c.phrase[cut + 1 : c.k]
+), lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), longer AS (
+  SELECT lang, phrase, max(f) AS f FROM (
+    SELECT lang, phrase[1 : k - 1] AS phrase, f FROM counts WHERE k > 2
+    UNION ALL SELECT lang, phrase[2 : k], f FROM counts WHERE k > 2
+    UNION ALL SELECT lang, phrase[1 : 2], f FROM counts WHERE k = 4
+    UNION ALL SELECT lang, phrase[2 : 3], f FROM counts WHERE k = 4
+    UNION ALL SELECT lang, phrase[3 : 4], f FROM counts WHERE k = 4)
+  GROUP BY lang, phrase
+), kept AS (
+  SELECT w.lang, array_to_string(w.phrase, ' ') AS phrase, a, l, r, score
+  FROM lowest w LEFT JOIN longer g ON g.lang = w.lang AND g.phrase = w.phrase
+  WHERE g.f IS NULL OR 100 * g.f < 80 * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN totals USING (lang)
+WHERE rank <= 2000
+""".replace("SMALL_D", _SMALL.format("coalesce(text, '')"))
+
+TRIE = """
+WITH turns AS (
+  SELECT conv_id, role, text, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(md5(role) || md5(text))) AS place
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, (4294967295 - list_reduce(
+    [4294967295]::BIGINT[] || list_transform(string_split(conv_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT),
+    lambda crc, d: list_reduce([xor(crc, d)] || range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)
+), whole AS (
+  SELECT c.conv_id, 0 AS part, t.place, role, text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.place <= h
+  UNION ALL SELECT c.conv_id, 1, t.place, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.place > h
+), steps AS (
+  SELECT conv_id, text, row_number() OVER w AS depth,
+         string_agg(md5(md5(role) || md5(text)), '') OVER (w ROWS UNBOUNDED PRECEDING) AS node
+  FROM whole WINDOW w AS (PARTITION BY conv_id ORDER BY part, place)
+), paths AS (
+  SELECT conv_id, depth, node, text FROM steps UNION ALL SELECT conv_id, 0, '', '' FROM convs
+), lasts AS (
+  SELECT conv_id, max(depth) AS depth FROM paths GROUP BY conv_id
+), nodes AS (
+  SELECT node, any_value(p.depth) AS depth, min(p.conv_id) AS conv_id, count(*) AS n_convs, any_value(length(text)) AS len,
+         coalesce(string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id) FILTER (WHERE l.depth = p.depth), '') AS ends
+  FROM paths p JOIN lasts l USING (conv_id) GROUP BY node
+), linked AS (
+  SELECT n.*, parent.conv_id AS parent_conv_id, parent.node AS parent
+  FROM nodes n LEFT JOIN nodes parent ON n.depth > 0 AND parent.depth = n.depth - 1
+    AND parent.node = left(n.node, (32 * (n.depth - 1))::BIGINT)
+), children AS (
+  SELECT parent, count(*) AS n_children FROM linked WHERE parent IS NOT NULL GROUP BY parent
+), shaped AS (
+  SELECT l.*, coalesce(c.n_children, 0) AS n_children FROM linked l LEFT JOIN children c ON c.parent = l.node
+), below AS (
+  SELECT DISTINCT u.node AS above, d.node FROM paths u JOIN paths d ON u.conv_id = d.conv_id AND d.depth >= u.depth
+), sums AS (
+  SELECT above, count(*) FILTER (WHERE s.n_children = 0) AS n_leaves, sum((n_convs - 1) * len)::BIGINT AS saved_tokens
+  FROM below b JOIN shaped s ON s.node = b.node GROUP BY above
+)
+SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(ends) AS ends_sha256
+FROM shaped JOIN sums ON sums.above = shaped.node
+"""

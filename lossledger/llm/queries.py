@@ -10,13 +10,16 @@ from lossledger.llm import oracle
 from lossledger.llm.common import table
 from lossledger.llm.decontaminate import contamination
 from lossledger.llm.jaccard import jaccard_classes
+from lossledger.llm.mixing import mix
 from lossledger.llm.neighbours import nearest
 from lossledger.llm.packing import pack, token_pieces
 from lossledger.llm.perspectives import perspectives
+from lossledger.llm.phrases import collocations
 from lossledger.llm.secrets import find_secrets
 from lossledger.llm.sharding import shard_documents
 from lossledger.llm.substrings import deduplicated
 from lossledger.llm.toxicity import toxicity
+from lossledger.llm.trie import prefix_trie
 from lossledger.llm.url_filter import judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,9 +65,22 @@ def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives(table(spark, sf_dir, "conversations"))
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_adaptive_neighbours, op2_substring_dedup, op3_secret_scan, op4_toxicity, op5_decontamination,
-    op6_sharding, op7_vector_packing, op8_jaccard_join, op9_url_filter, op10_perspectives)}
+    op6_sharding, op7_vector_packing, op8_jaccard_join, op9_url_filter, op10_perspectives, op11_source_mixing,
+    op12_collocations, op13_prefix_trie)}
 
 SQL: dict[str, str] = {
     "op2_substring_dedup": oracle.SUBSTRINGS,
@@ -72,4 +88,7 @@ SQL: dict[str, str] = {
     "op8_jaccard_join": oracle.JACCARD,
     "op9_url_filter": oracle.URLS,
     "op10_perspectives": oracle.PERSPECTIVES,
+    "op11_source_mixing": oracle.MIXING,
+    "op12_collocations": oracle.COLLOCATIONS,
+    "op13_prefix_trie": oracle.TRIE,
 }
