@@ -20,7 +20,8 @@ one task per node reads the blocks in turn, however many there are; it holds one
 
 Defined results: rows without a conversation id take no part; a null role or text is empty; a null turn
 comes first; equal turn numbers are ordered by a digest of role and text; repeated rows are turns of
-their own; a conversation that is left without turns ends at the root; an empty table has no
+their own; the hundreds of negative ids are cut towards zero; a conversation left without turns ends at
+the root; an empty table has no
 conversations and gives no rows, not even a root; other columns of the input do not matter.
 """
 
