@@ -16,7 +16,8 @@ Scores are exact: products are decimals of 38 digits. A language's list is cut t
 task before it is brought together.
 
 Defined results: a null text has no words; a null language is ``und``; a null id does not matter;
-repeated rows count each for itself; a text is one task's work, in slices of whole pieces; ties in score
+repeated rows count each for itself; a text is one task's work, in slices of whole pieces, so a piece
+must fit in memory; ties in score
 and count go to the phrase that is first by its bytes; an empty table gives no rows; other columns of
 the input do not matter.
 """
@@ -27,113 +28,162 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lossledger.llm.common import Sketch, map_rows, merged_sketch, staged
-from lossledger.llm.hashing import mix, run_hashes, word_hashes
+from lossledger.llm.common import Sketch, merged_sketch, staged
+from lossledger.llm.hashing import mix, word_hashes
 
 LONGEST = 4
 LEAST = 30
 TOP = 2000
 FREQUENT = Sketch(depth=2, bits=24, dtype="u1", top=1)  # 32 MB whatever the corpus
-HELD = 200_000  # distinct phrases a task counts before it sends them
-SLICE = 1 << 20  # bytes of a text taken at once, up to the end of a piece
+HELD = 8_000_000  # bytes of text that a task counts at once
 BREAK = b"\n"
 
 _FOLD = bytearray(range(256))
 _FOLD[0x41:0x5B] = range(0x61, 0x7B)  # A-Z
+_FOLD[0x09] = 0x20
 for _mark in b".,;:!?\x0b\x0c\r":
     _FOLD[_mark] = 0x0A
 _FOLD = bytes(_FOLD)
 
 
-def pieces(text: str | None) -> Iterator[list[list[bytes]]]:
-    """Lists of pieces, each a list of words; a long text gives several lists."""
+def slices(text: str | None) -> Iterator[bytes]:
+    """The text with small letters and one kind of break, in slices that end at the end of a piece."""
     folded = text.encode().translate(_FOLD) if text else b""
     start = 0
     while start < len(folded):
-        end = folded.find(BREAK, start + SLICE)
+        end = folded.find(BREAK, start + HELD)
         end = len(folded) if end < 0 else end
-        yield [words for piece in folded[start:end].split(BREAK) if (words := piece.split())]
+        yield folded[start:end]
         start = end + 1
 
 
-def _counted(docs: DataFrame, phrases: Callable[[bytes, list[list[bytes]]], Iterator[bytes]]) -> DataFrame:
-    """``lang, phrase, f``: counts over all tasks; words of a phrase are parted by line ends, which no word holds."""
+class Words:
+    """The words of folded text: distinct ones, and for each place which one and in which piece it is."""
+
+    def __init__(self, folded: bytes):
+        letters = np.frombuffer(folded, "u1")
+        inside = (letters != 0x20) & (letters != 0x0A)
+        edges = np.flatnonzero(np.diff(np.r_[np.int8(0), inside.view("i1"), np.int8(0)]))
+        starts = edges[::2]
+        ends = np.cumsum(np.r_[0, edges[1::2] - starts]).astype("<i4")
+        own = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(letters[inside].tobytes())])
+        coded = own.dictionary_encode()
+        self.distinct, self.at = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.piece = np.cumsum(letters == 0x0A)[starts]
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def together(self, length: int) -> np.ndarray:
+        """Whether the run of ``length`` words that begins at a place is in one piece."""
+        return self.piece[: len(self) - length + 1] == self.piece[length - 1 :]
+
+
+Counts = Iterator[tuple[pa.Array, np.ndarray]]
+
 
-    def count(rows: Iterator[dict]) -> Iterator[tuple]:
-        held: dict[str, dict[bytes, int]] = {}
-        many = 0
-        for row in rows:
-            own = held.setdefault(row["lang"], {})
-            before, seen = len(own), own.get
-            for part in pieces(row["text"]):
-                for phrase in phrases(row["lang"].encode(), part):
-                    own[phrase] = seen(phrase, 0) + 1
-            many += len(own) - before
-            if many > HELD:
-                yield from ((lang, p.decode(), n) for lang, counts in held.items() for p, n in counts.items())
-                held, many = {}, 0
-        yield from ((lang, p.decode(), n) for lang, counts in held.items() for p, n in counts.items())
-
-    partial = map_rows(docs, {"lang": "string", "phrase": "string", "n": "bigint"}, count, size=20_000)
+def _counted(docs: DataFrame, phrases: Callable[[str, Words], Counts]) -> DataFrame:
+    """``lang, phrase, f``: counts over all tasks; words of a phrase are parted by line ends, which no word holds."""
+    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[bytes]] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, parts in held.items():
+                words = Words(BREAK.join(parts))
+                parts.clear()
+                for found, n in phrases(lang, words):
+                    for start in range(0, len(found), 20_000):
+                        some = found.slice(start, 20_000).cast(pa.string())
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.repeat(lang, len(some)), some, pa.array(n[start : start + 20_000], pa.int64())], schema=schema)
+            held.clear()
+
+        size = 0
+        for batch in batches:
+            for lang, text in zip(*(column for column in batch.columns)):
+                for part in slices(text.as_py()):
+                    held.setdefault(lang.as_py(), []).append(part)
+                    size += len(part)
+                    if size > HELD:
+                        yield from flush()
+                        size = 0
+        yield from flush()
+
+    partial = docs.select("lang", "text").mapInArrow(count, "lang string, phrase string, n bigint")
     return partial.groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
 
 
-def _words(lang: bytes, part: list[list[bytes]]) -> Iterator[bytes]:
-    for words in part:
-        yield from words
+def _words(lang: str, words: Words) -> Counts:
+    yield words.distinct, np.bincount(words.at, minlength=len(words.distinct))
+
+
+def _word_keys(lang: str, words: list[bytes]) -> np.ndarray:
+    return mix(word_hashes(words) + word_hashes([lang.encode() + BREAK]))
 
 
-def _hashes(lang: bytes, words: list[bytes]) -> np.ndarray:
-    return mix(word_hashes(words) + word_hashes([lang + b"\n"]))
+def _pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(first * np.uint64(3) + mix(second))
 
 
 def _bits(frequent: DataFrame) -> np.ndarray:
     """The bit field of the frequent words or pairs of a language."""
 
     def keys(row: dict) -> np.ndarray:
-        words = _hashes(row["lang"].encode(), row["phrase"].encode().split(BREAK))
-        return words if len(words) == 1 else run_hashes(words, len(words))
+        words = _word_keys(row["lang"], row["phrase"].encode().split(BREAK))
+        return words if len(words) == 1 else _pair_keys(words[:1], words[1:])
 
     return merged_sketch(frequent.select("lang", "phrase"), FREQUENT, keys)
 
 
-def _runs(part: list[list[bytes]]) -> tuple[list[bytes], np.ndarray]:
-    """All words of the pieces in a row, and how many words follow each in its piece."""
-    words = [w for piece in part for w in piece]
-    sizes = np.fromiter(map(len, part), np.int64, len(part))
-    return words, np.repeat(np.cumsum(sizes), sizes) - np.arange(len(words)) - 1
+class Runs:
+    """Runs of words that begin at ``place``: distinct ones as (shorter run, last word), and which each is."""
+
+    def __init__(self, place: np.ndarray, shorter: np.ndarray, last: np.ndarray, words: Words, joined: pa.Array):
+        code, self.at, self.counts = np.unique(shorter * len(words.distinct) + last, return_inverse=True, return_counts=True)
+        self.place = place
+        self.first, self.last = code // max(1, len(words.distinct)), code % max(1, len(words.distinct))
+        self.joined = pc.binary_join_element_wise(
+            joined.take(pa.array(self.first)), words.distinct.take(pa.array(self.last)), pa.scalar(BREAK, pa.binary()))
+
+
+def _pair_runs(words: Words, allowed: np.ndarray) -> Runs:
+    """Pairs of neighbours that both are among the allowed distinct words."""
+    fine = allowed[words.at]
+    place = np.flatnonzero(fine[:-1] & fine[1:] & words.together(2)) if len(words) > 1 else np.empty(0, np.int64)
+    return Runs(place, words.at[place], words.at[place + 1], words, words.distinct)
 
 
-def _pairs(cells) -> Callable[[bytes, list[list[bytes]]], Iterator[bytes]]:
-    def find(lang: bytes, part: list[list[bytes]]) -> Iterator[bytes]:
-        words, after = _runs(part)
-        if len(words) < 2:
-            return
-        often = FREQUENT.estimate(cells.value, _hashes(lang, words)) > 0
-        both = often[:-1] & often[1:] & (after[:-1] > 0)
-        for i in np.flatnonzero(both).tolist():
-            yield words[i] + BREAK + words[i + 1]
+def _pairs(cells) -> Callable[[str, Words], Counts]:
+    def find(lang: str, words: Words) -> Counts:
+        often = FREQUENT.estimate(cells.value, _word_keys(lang, words.distinct.to_pylist())) > 0
+        runs = _pair_runs(words, often)
+        yield runs.joined, runs.counts
 
     return find
 
 
-def _longer(cells) -> Callable[[bytes, list[list[bytes]]], Iterator[bytes]]:
-    def find(lang: bytes, part: list[list[bytes]]) -> Iterator[bytes]:
-        words, after = _runs(part)
-        if len(words) < 3:
-            return
-        often = FREQUENT.estimate(cells.value, run_hashes(_hashes(lang, words), 2)) > 0
-        often &= after[:-1] > 0
-        linked = np.zeros(len(words), np.int64)  # so many frequent pairs begin here, one after the other
-        linked[:-1] = often
-        for _ in range(LONGEST - 2):
-            linked[:-1] = np.where(often, linked[1:] + 1, 0)
-        for i in np.flatnonzero(linked >= 2).tolist():
-            for length in range(3, min(int(linked[i]), LONGEST - 1) + 2):
-                yield BREAK.join(words[i : i + length])
+def _longer(cells) -> Callable[[str, Words], Counts]:
+    def find(lang: str, words: Words) -> Counts:
+        runs = _pair_runs(words, np.ones(len(words.distinct), bool))
+        keys = _word_keys(lang, words.distinct.to_pylist())
+        often = FREQUENT.estimate(cells.value, _pair_keys(keys[runs.first], keys[runs.last])) > 0
+        begins = np.zeros(len(words) + LONGEST, bool)  # a frequent pair begins at this place
+        begins[runs.place] = often[runs.at]
+        run_at = np.zeros(len(words) + LONGEST, np.int64)
+        run_at[runs.place] = runs.at
+        for length in range(3, LONGEST + 1):
+            place = runs.place[begins[runs.place] & begins[runs.place + length - 2]] if length == 3 else (
+                runs.place[begins[runs.place + length - 2]])
+            runs = Runs(place, run_at[place], words.at[place + length - 1], words, runs.joined)
+            run_at[place] = runs.at
+            yield runs.joined, runs.counts
 
     return find
 

@@ -65,15 +65,17 @@ def test_lists_are_cut_after_ties_and_small_limits(spark):
     assert got == plain(docs, 3, 25, 60)
 
 
-def test_small_slices_and_small_buffers_change_nothing(spark, monkeypatch):
+def test_small_slices_change_nothing(spark, monkeypatch):
     docs = corpus()
-    monkeypatch.setattr(phrases, "SLICE", 7)
     text = docs[8][0] * 3
-    whole = [w for part in phrases.pieces(text) for w in part]
-    monkeypatch.setattr(phrases, "SLICE", 1 << 20)
-    assert whole == [w for part in phrases.pieces(text) for w in part] != []
-    long = [(" ".join(t or "" for t, _ in docs) * 200, "en")]
-    assert len(long[0][0]) > 2 * phrases.SLICE
+    fold = lambda part: [p.split() for p in part.split(phrases.BREAK) if p.split()]
+    whole = [w for part in phrases.slices(text) for w in fold(part)]
+    monkeypatch.setattr(phrases, "HELD", 7)
+    assert len(list(phrases.slices(text))) > 5
+    assert whole == [w for part in phrases.slices(text) for w in fold(part)] != []
+    monkeypatch.undo()
+    long = [(". ".join(t or "" for t, _ in docs) * 400, "en"), ("one and two " * 100_000, "de")]
+    assert len(long[0][0]) > phrases.HELD
     assert sorted(rows(collocations(table(spark, long)))) == plain(long)
 
 
