@@ -11,8 +11,9 @@ enough together with the smallest set, so links to that one set are enough for t
 *Large sets.* The elements are ordered by how rare their rarest word is; each set enters the
 inverted lists of its first (rarest) elements, as many as a linked set cannot miss altogether. A
 list first links its sets to its smallest id of similar size; then sets of one list that are not yet
-in one class are compared pairwise. A bound from counts of elements in 128 hash classes rejects
-most candidates; what is left is compared element by element.
+in one class are compared pairwise. Each set has a bit field with some eight bits per element; a bit that
+only one of two sets has stands for an element the other lacks, which bounds the intersection from above
+and rejects nearly all candidates that are not linked. What is left is compared element by element.
 
 The boundary between the two is the size at which the summed costs, subsets sent against list
 entries scanned, are least.
@@ -38,7 +39,7 @@ from lossledger.llm.hashing import mix, run_hashes, word_hashes
 
 WORD_COUNTS = Sketch(depth=1, bits=22, dtype="u4", top=2**32 - 1)  # 16 MB whatever the corpus
 MEMBERS = Sketch(depth=2, bits=24, dtype="u1", top=1)  # 32 MB whatever the number of candidates
-CLASSES = 128
+FIELD = 256, 8192  # bits of the field of a set, from the fewest to the most
 BLOCK_SETS = 512
 SMALL_LIMIT = 29  # larger sets would send hundreds of subsets each
 SUBSET_COST = 1.0
@@ -97,7 +98,7 @@ def _rarest(hashes: np.ndarray, length: int, first: np.ndarray, ranks: np.ndarra
 
 
 def _sets(docs: DataFrame, n: int, limit: Threshold, ranks) -> DataFrame:
-    """Per row: set size, key of the set, first elements, element classes, and small sets in full."""
+    """Per row: set size, key of the set, first elements, bit field, and small sets in full."""
 
     def build(rows: Iterator[dict]) -> Iterator[tuple]:
         for row in rows:
@@ -113,21 +114,39 @@ def _sets(docs: DataFrame, n: int, limit: Threshold, ranks) -> DataFrame:
             wanted = limit.prefix(size)
             if wanted < size:
                 ranked = np.partition(ranked, wanted - 1)[:wanted]
-            classes = np.bincount((elements & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
             small = size <= SMALL_LIMIT
             yield (row["doc_id"], size, *_key(elements), ranked.view("i8").tolist(),
-                   np.minimum(classes, 65535).astype("<u2").tobytes(), elements.view("i8").tolist() if small else None,
+                   _field(elements), elements.view("i8").tolist() if small else None,
                    float(np.exp2((ranked >> np.uint64(56)).astype(float) / 8).sum()) if small else 0.0)
 
     return map_rows(docs, {"doc_id": "bigint", "n": "int", "key_a": "bigint", "key_b": "bigint",
-                           "prefix": "array<bigint>", "classes": "binary", "elements": "array<bigint>",
+                           "prefix": "array<bigint>", "field": "binary", "elements": "array<bigint>",
                            "scan": "double"}, build)
 
 
-def _counts(stored: bytes) -> np.ndarray:
-    """Elements per class; a class too full for its two bytes allows any number."""
-    counts = np.frombuffer(stored, "<u2").astype(np.int64)
-    return np.where(counts == 65535, 1 << 40, counts)
+def _field(elements: np.ndarray) -> bytes:
+    """One bit for each remainder of an element; so many bits that most elements have one of their own."""
+    bits = min(FIELD[1], max(FIELD[0], 1 << (8 * len(elements) - 1).bit_length()))
+    held = np.zeros(bits, bool)
+    held[(elements & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(held, bitorder="little").tobytes()
+
+
+def _folded(fields: np.ndarray, width: int) -> np.ndarray:
+    """Fields (in the last axis) cut down to ``width`` numbers: the same elements with fewer remainders."""
+    while fields.shape[-1] > width:
+        half = fields.shape[-1] // 2
+        fields = fields[..., :half] | fields[..., half:]
+    return fields
+
+
+def _most_common(field: np.ndarray, size: int, fields: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The largest possible intersections of a set with others, by their fields."""
+    width = min(field.shape[-1], fields.shape[-1])
+    field, fields = _folded(field, width), _folded(fields, width)
+    only_one = np.bitwise_count(field & ~fields).sum(axis=1, dtype=np.int64)
+    only_others = np.bitwise_count(fields & ~field).sum(axis=1, dtype=np.int64)
+    return np.minimum(size - only_one, sizes - only_others)
 
 
 def _signed(number: np.uint64) -> int:
@@ -180,17 +199,18 @@ def _small_links(sets: DataFrame, largest: int, limit: Threshold) -> DataFrame:
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
-    """Pairs whose counts by element class allow a link; no linked pair is lost."""
-    own = sets.select("doc_id", "n", "classes")
+    """Pairs whose bit fields allow a link; no linked pair is lost."""
+    own = sets.select("doc_id", "n", "field")
 
     def test(rows: Iterator[dict]) -> Iterator[tuple]:
         for row in rows:
-            if int(np.minimum(_counts(row["ca"]), _counts(row["cb"])).sum()) >= limit.overlap(row["na"], row["nb"]):
+            one, other = np.frombuffer(row["fa"], "u8"), np.frombuffer(row["fb"], "u8")
+            if _most_common(one, row["na"], other[None], np.array([row["nb"]]))[0] >= limit.overlap(row["na"], row["nb"]):
                 yield row["a"], row["b"]
 
-    first = own.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("classes").alias("ca"))
-    second = own.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("classes").alias("cb"))
-    return map_rows(pairs.join(first, "a").join(second, "b").select("a", "b", "na", "nb", "ca", "cb"), {
+    first = own.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("field").alias("fa"))
+    second = own.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("field").alias("fb"))
+    return map_rows(pairs.join(first, "a").join(second, "b").select("a", "b", "na", "nb", "fa", "fb"), {
         "a": "bigint", "b": "bigint"}, test)
 
 
@@ -205,43 +225,41 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, limit: Threshold) -> Da
         for row in rows:
             key = mix(np.array([row["doc_id"]], "i8").view("u8"))
             if MEMBERS.estimate(cells.value, key)[0]:
-                yield row["doc_id"], shingles(row["text"], n).tobytes()
-
-    found = map_rows(docs.where("doc_id IS NOT NULL"), {"doc_id": "bigint", "elements": "binary"}, sets, size=256)
-
-    def compare(rows: Iterator[dict]) -> Iterator[tuple]:
-        for row in rows:
-            x, y = np.frombuffer(row["x"], "u8"), np.frombuffer(row["y"], "u8")
-            if limit.linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)):
-                yield row["a"], row["b"]
+                yield row["doc_id"], shingles(row["text"], n).view("i8")
 
+    found = map_rows(docs.where("doc_id IS NOT NULL"), {"doc_id": "bigint", "elements": "array<bigint>"}, sets, size=64)
     first = found.select(F.col("doc_id").alias("a"), F.col("elements").alias("x"))
     second = found.select(F.col("doc_id").alias("b"), F.col("elements").alias("y"))
-    met = pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y")
-    return staged(map_rows(met, {"a": "bigint", "b": "bigint"}, compare).distinct())
+    common = F.size(F.array_intersect("x", "y"))  # row by row: no batch holds many pairs of long sets
+    return staged(pairs.join(first, "a").join(second, "b").where(
+        100 * common >= limit.percent * (F.size("x") + F.size("y") - common)).select("a", "b").distinct())
 
 
 def _unlinked(lists: DataFrame, sets: DataFrame, small: int, limit: Threshold) -> DataFrame:
     """Pairs within a list that are in different classes and may be linked.
 
     A list is cut into blocks of bounded size and each pair of blocks is one unit of work, so a long
-    list is spread over many tasks. Pairs are compared inside the unit, by sizes and by counts of
-    element classes; only those that pass leave it.
+    list is spread over many tasks. Pairs are compared inside the unit, by sizes and by bit fields; only
+    those that pass leave it.
     """
     length = lists.groupBy("element").agg(F.count(F.lit(1)).alias("sets")).select(
         "element", F.ceil(F.col("sets") / BLOCK_SETS).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    full = lists.join(sets.select("doc_id", "n", "classes"), ["doc_id", "n"])
+    full = lists.join(sets.select("doc_id", "n", "field"), ["doc_id", "n"])
     sent = full.join(length, "element").withColumn("own", own).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "element", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own",
-        "doc_id", "n", "class", "classes")
+        "doc_id", "n", "class", "field")
     unit = ["element", "low", "high"]
 
     def compare(rows: Iterator[dict]) -> Iterator[tuple]:
         for (_, low, high), members in groupby(rows, key=lambda r: (r["element"], r["low"], r["high"])):
             members = list(members)
-            counts = np.array([_counts(r["classes"]) for r in members])
+            widths = np.array([len(r["field"]) for r in members])
+            fields = {w: np.array([np.frombuffer(r["field"], "u8") for r in members if len(r["field"]) == w]) for w in set(widths.tolist())}
+            within = np.zeros(len(members), np.int64)  # place of a member among those with a field as wide
+            for w in fields:
+                within[widths == w] = np.arange((widths == w).sum())
             ids, sizes, kinds, blocks = (np.array([r[c] for r in members]) for c in ("doc_id", "n", "class", "own"))
             for i in range(len(members)):
                 other = (kinds != kinds[i]) & (100 * sizes >= limit.percent * sizes[i])
@@ -250,11 +268,12 @@ def _unlinked(lists: DataFrame, sets: DataFrame, small: int, limit: Threshold) -
                     other &= blocks != blocks[i]
                 if sizes[i] <= small or not other.any():
                     continue
-                at = np.flatnonzero(other)
-                bound = np.minimum(counts[at], counts[i]).sum(axis=1)
-                least = -(-limit.percent * (sizes[at] + sizes[i]) // (100 + limit.percent))
-                for j in at[bound >= least]:
-                    yield int(ids[j]), int(ids[i])
+                for w in set(widths[other].tolist()):
+                    at = np.flatnonzero(other & (widths == w))
+                    bound = _most_common(fields[int(widths[i])][within[i]], int(sizes[i]), fields[w][within[at]], sizes[at])
+                    least = -(-limit.percent * (sizes[at] + sizes[i]) // (100 + limit.percent))
+                    for j in at[bound >= least]:
+                        yield int(ids[j]), int(ids[i])
 
     return map_rows(sent.repartition(*unit).sortWithinPartitions(*unit), {"a": "bigint", "b": "bigint"}, compare).distinct()
 

@@ -34,10 +34,9 @@ from dataclasses import dataclass
 from itertools import batched, combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import pandas_udf
 
 from lossledger.llm.common import map_rows
 
@@ -418,11 +417,15 @@ def without_toxic(docs: DataFrame, labels: DataFrame, *, labelled_docs: DataFram
     shared = docs.sparkSession.sparkContext.broadcast(fit(source, labels, text_col=text_col, **options))
 
     name = uuid.uuid4().hex
+    place = docs.columns.index(text_col)
 
-    @pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(name, shared)
-        for texts in parts:
-            yield pd.Series([s for part in batched(texts, BATCH) for s in scorer(list(part))], dtype="float64")
-
-    return docs.where(score(F.col(text_col)) < threshold)
+        for batch in batches:
+            for start in range(0, batch.num_rows, BATCH):
+                part = batch.slice(start, BATCH)
+                scores = scorer(part.column(place).to_pylist())
+                if (kept := part.filter(pa.array([s < threshold for s in scores]))).num_rows:
+                    yield kept
+
+    return docs.mapInArrow(keep, docs.schema)

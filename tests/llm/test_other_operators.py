@@ -256,7 +256,7 @@ def test_pipeline(spark, tmp_path):
     from tests.llm import plain
 
     texts = [(r["doc_id"], r["text"]) for r in seen[1].collect()]
-    assert ids[2] == [i for i, _, c in plain.classes(texts, 90) if i == c]
+    assert ids[2] == [i for i, _, c in plain.classes(texts, corpus_pipeline.NEAR_PERCENT, corpus_pipeline.NEAR_WORDS) if i == c]
     items = [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     texts = [(r["doc_id"], r["text"]) for r in seen[2].collect()]
     from lossledger.llm.decontaminate import build_tables, is_contaminated, search, words_of
