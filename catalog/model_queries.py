@@ -274,7 +274,7 @@ def note_evidence(spark, path):
     return views.evidence_from_text(star.sales_notes_with_account(spark, path), "sales_notes")
 
 
-@register("v05_quality_row", "select roc_auc, pr_auc, accuracy, recall, f1 from metrics")
+@register("v05_quality_row", "select coalesce(roc_auc, 0) as roc_auc, pr_auc, accuracy, recall, f1 from metrics")
 def quality_row(spark, path):
     return views.quality_row(inputs.metrics(spark, path))
 
