@@ -7,9 +7,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from catalog import inputs
+from catalog.forest_sql import forest_sql, prepared_features_sql
 from catalog.registry import register
-from catalog.sql_views import money
-from lossledger.operators import evaluate, model, recommend, rollups, scoring
+from catalog.sql_views import cents, money
+from lossledger.operators import evaluate, forest, model, recommend, rollups, scoring
 from lossledger.operators.features import CATEGORICAL, LABEL, NUMERIC, account_features
 from lossledger.plans import views
 from lossledger.session import stage
@@ -51,23 +52,17 @@ def stratified_holdout(spark, path):
 
 
 @register("m04_one_hot", """
-    with n as (select plan_type, row_number() over (order by count(*) desc, plan_type) - 1 as i
+    with n as (select plan_type, row_number() over (order by count(*) desc, plan_type) - 1 as i, count(*) over () as many
                from accounts group by plan_type)
-    select account_id, plan_type, cast(i = 0 as integer)::double as first_bit, cast(i = 1 as integer)::double
-           as second_bit, cast(i = 2 as integer)::double as third_bit
+    select account_id, plan_type, array_to_string(list_transform(range(many), lambda b: (b = i)::integer), '') as bits
     from accounts join n using (plan_type)""")
 def one_hot(spark, path):
+    """One bit per category, as many as the fitted indexer found."""
     table = star.accounts(spark, path).select("account_id", "plan_type")
     indexer, fill, encoder = model.preprocessing(["plan_type"], [])[:3]
     fitted = Pipeline(stages=[indexer, fill, encoder]).fit(table)
-    bits = vector_to_array(F.col("plan_type_onehot"))
-    return fitted.transform(table).select(
-        "account_id",
-        "plan_type",
-        F.get(bits, F.lit(0)).alias("first_bit"),
-        F.get(bits, F.lit(1)).alias("second_bit"),
-        F.get(bits, F.lit(2)).alias("third_bit"),
-    )
+    bits = F.transform(vector_to_array(F.col("plan_type_onehot")), lambda b: b.cast("int").cast("string"))
+    return fitted.transform(table).select("account_id", "plan_type", F.array_join(bits, "").alias("bits"))
 
 
 @register("m05_median_impute", """
@@ -98,50 +93,59 @@ def class_weights(spark, path):
     return weighted.groupBy(LABEL, "class_weight").agg(F.count(F.lit(1)).alias("accounts"))
 
 
-# Number of values each category takes in the star-schema tables.
-VALUES = {"company_size": 3, "industry": 5, "region": 5, "plan_type": 3}
-
-
-def _one_hot_sql() -> str:
-    ranks = ",\n".join(
-        f"{c}_rank as (select {c}, row_number() over (order by count(*) desc, {c}) - 1 as {c}_i from accounts group by {c})"
-        for c in VALUES
-    )
-    bits = ", ".join(f"cast({c}_i = {i} as integer)::double as {c}_{i}" for c, n in VALUES.items() for i in range(n))
-    numbers = ", ".join(f"{c}::double as {c}" for c in NUMERIC)
-    joins = " ".join(f"join {c}_rank using ({c})" for c in VALUES)
-    return f"with {ranks} select account_id, {bits}, {numbers} from features {joins}"
-
-
-@register("m08_prepared_features", _one_hot_sql())
+@register("m08_prepared_features", f"""
+    with {prepared_features_sql('true')}
+    select account_id, unnest(x) as value, (generate_subscripts(x, 1) - 1)::integer as feature from prepared""")
 def prepared_features(spark, path):
-    """The preprocessing of the model alone, its vector spread over columns."""
+    """The preprocessing of the model alone: one vector per account, as long as the fitted stages make it."""
     table = stage(feature_table(spark, path))
     fitted = Pipeline(stages=model.preprocessing()).fit(table)
-    names = [*(f"{c}_{i}" for c in CATEGORICAL for i in range(VALUES[c])), *NUMERIC]
-    vectors = fitted.transform(table).select("account_id", vector_to_array(F.col("features")).alias("v"))
-    return vectors.select("account_id", *(F.get("v", F.lit(i)).alias(n) for i, n in enumerate(names)))
+    return fitted.transform(table).select("account_id", F.posexplode(vector_to_array(F.col("features"))).alias("feature", "value"))
 
 
-def _is_probability():
-    return F.coalesce(F.col("churn_probability").between(0, 1), F.lit(False)).alias("is_probability")
+_LEARNED = f"account_id not in (select account_id from features qualify {_held_out_sql(LABEL)})"
 
 
 @register("m09_holdout_scores", f"""
-    select account_id, {LABEL}, true as is_probability from features
-    qualify {_held_out_sql(LABEL)}""")
+    with {forest_sql(_LEARNED)}
+    select account_id, {LABEL}, churn_probability from scored join prepared using (account_id) where not learn""")
 def holdout_scores(spark, path):
-    """What SQL can know of the scores of the accounts the forest was not fitted on."""
-    trained = model.train(stage(feature_table(spark, path)))
-    return trained.holdout.select("account_id", LABEL, _is_probability())
+    """Scores of the accounts the forest was not fitted on."""
+    return forest.train(stage(feature_table(spark, path))).holdout.select("account_id", LABEL, "churn_probability")
 
 
-@register("m06_forest_scores", f"select account_id, {LABEL}, true as is_probability from features")
+@register("m06_forest_scores", f"""
+    with {forest_sql('true')}
+    select account_id, {LABEL}, churn_probability from scored join prepared using (account_id)""")
 def forest_scores(spark, path):
-    """What SQL can know of the scores of a forest on all accounts, scored on the same accounts."""
+    """A forest of balanced bootstraps on all accounts, scored on the same accounts."""
     table = stage(feature_table(spark, path))
-    fitted = model.build_pipeline().fit(model.with_class_weight(table))
-    return model.score(fitted, table).select("account_id", LABEL, _is_probability())
+    return forest.score(forest.fit(table), table).select("account_id", LABEL, "churn_probability")
+
+
+@register("m07_bootstrap_weights", f"""
+    with {forest_sql('true', depth=0)}
+    select tree, zeros, ones, copies_rows as "rows", case when zeros > 0 then (zeros + ones) / (2.0::double * zeros) end as weight_of_zeros,
+           case when ones > 0 then (zeros + ones) / (2.0::double * ones) end as weight_of_ones
+    from (select tree::integer as tree, all_zeros as zeros, all_ones as ones from totals)
+    join (select tree::integer as tree, count(*) as copies_rows from at_0 where copies > 0 group by tree) using (tree)""")
+def bootstrap_weights(spark, path):
+    """Per tree: copies of each class, rows, and the weights that give both classes half of the tree."""
+    vectors = forest.vectors(Pipeline(stages=model.preprocessing()).fit(table := stage(feature_table(spark, path))), table)
+    totals = forest.tree_totals(forest.bag(vectors))
+    share = lambda c: (F.col("all_zeros") + F.col("all_ones")) / (2.0 * F.nullif(F.col(c), F.lit(0)))
+    return totals.select("tree", F.col("all_zeros").alias("zeros"), F.col("all_ones").alias("ones"), F.col("all_rows").alias("rows"),
+                         share("all_zeros").alias("weight_of_zeros"), share("all_ones").alias("weight_of_ones"))
+
+
+@register("m06_forest_nodes", f"""
+    with {forest_sql('true')}
+    select tree::integer as tree, node::integer as node, zeros::bigint as zeros, ones::bigint as ones, p as probability
+    from valued join leaves using (tree, node)""")
+def forest_nodes(spark, path):
+    """The leaves of the forest's table of nodes: copies of each class that came there."""
+    fitted = forest.fit(stage(feature_table(spark, path)))
+    return fitted.nodes.where("feature IS NULL AND zeros + ones > 0").select("tree", "node", "zeros", "ones", "probability")
 
 
 @register("m10_precision_recall_curve", """
@@ -210,22 +214,19 @@ def score_table(spark, path):
     return inputs.risk(spark, path, ordered=True)
 
 
-@register("m16_train_and_score", """
-    select account_id, monthly_revenue, true as is_probability, true as tier_follows, true as risk_follows
-    from features""")
+@register("m16_train_and_score", f"""
+    with {forest_sql(_LEARNED)}
+    select account_id, f.monthly_revenue, plan_type, region, industry, churn_probability,
+           case when churn_probability <= 0.25 then 'Low' when churn_probability <= 0.5 then 'Medium'
+                when churn_probability <= 0.75 then 'High' else 'Critical' end as risk_tier,
+           {cents('f.monthly_revenue * churn_probability')} as estimated_monthly_revenue_at_risk
+    from scored join prepared f using (account_id)""")
 def train_and_score(spark, path):
-    """The full forest, fitted on three quarters: every account has a probability, and its tier and
-    revenue at risk follow from that."""
+    """The full forest, fitted on three quarters, and the scores of every account with tier and revenue at risk."""
     table = stage(feature_table(spark, path))
-    trained = model.train(table)
-    scored = model.score(trained.model, table).select(*scoring.SCORE_INPUTS, "churn_probability")
-    table = scoring.score_table(stage(scored))
-    p = F.col("churn_probability")
-    return table.select(
-        "account_id", "monthly_revenue", _is_probability(),
-        F.col("risk_tier").eqNullSafe(scoring.risk_tier(p)).alias("tier_follows"),
-        F.col("estimated_monthly_revenue_at_risk").eqNullSafe(
-            scoring.revenue_at_risk(F.col("monthly_revenue"), p)).alias("risk_follows"))
+    trained = forest.train(table)
+    scored = forest.score(trained.model, table).select(*scoring.SCORE_INPUTS, "churn_probability")
+    return scoring.score_table(stage(scored))
 
 
 # ---- recommendations, views, extracts ---------------------------------------------------------

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from lossledger.functions.numbers import money_sum
 from lossledger.operators.attribution import attribute_deals
 from lossledger.operators.features import account_features
+from lossledger.operators.forest import score, train
 from lossledger.operators.ledger import loss_events, loss_ledger
-from lossledger.operators.model import TREES, score, train
+from lossledger.operators.model import TREES
 from lossledger.operators.recommend import recommend
 from lossledger.operators.rollups import loss_summary, loss_trend, segment_loss
 from lossledger.operators.scoring import SCORE_INPUTS, score_table
@@ -86,7 +87,7 @@ def run_tables(
     # Stored before it is sorted: a global sort reads its input twice, and the forest is costly.
     scored = stage(score(trained.model, features).select(*SCORE_INPUTS, "churn_probability"))
     write("account_risk_scores", score_table(scored))
-    trained.model.write().overwrite().save(f"{out_path}/{sinks.MODEL}")
+    trained.model.save(f"{out_path}/{sinks.MODEL}")
     sinks.write_metrics(trained.metrics, out_path)
 
     return {

@@ -13,7 +13,7 @@ from tools.compare import check, connect
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="driver tables are not here")
 
-FOREST = {"m06_forest_scores", "m09_holdout_scores", "m16_train_and_score"}
+FOREST = {"m06_forest_nodes", "m06_forest_scores", "m07_bootstrap_weights", "m09_holdout_scores", "m16_train_and_score"}
 OWN = sorted(QUERIES)  # the operators with tests of their own have names op... and pipeline
 
 
