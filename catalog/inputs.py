@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lossledger.operators.attribution import attribute_deals
+from lossledger.operators.attribution import attribute_deals, notes_of
 from lossledger.operators.evaluate import pr_curve, ranking_metrics
 from lossledger.operators.ledger import loss_events, loss_ledger
 from lossledger.operators.profile import with_churned
@@ -35,11 +35,14 @@ def attributed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ledger(spark: SparkSession, path: str) -> DataFrame:
-    return loss_ledger(attributed(spark, path), classified_cancellations(spark, path))
+    """Only notes of lost deals are classified: no other note can show up in a loss."""
+    notes = notes_of(star.sales_notes(spark, path), star.lost_deal_ids(spark, path))
+    lost = attribute_deals(star.deals(spark, path, lost_only=True), classify(notes, "note_text"))
+    return loss_ledger(lost, classified_cancellations(spark, path))
 
 
 def events(spark: SparkSession, path: str) -> DataFrame:
-    return loss_events(star.deals(spark, path), star.cancellations(spark, path))
+    return loss_events(star.deals(spark, path, lost_only=True), star.cancellations(spark, path))
 
 
 def summary(spark: SparkSession, path: str, *, ordered: bool = False) -> DataFrame:

@@ -12,6 +12,7 @@ from catalog.registry import register
 from catalog.sql_views import cents, money
 from lossledger.operators import evaluate, forest, model, recommend, rollups, scoring
 from lossledger.operators.features import CATEGORICAL, LABEL, NUMERIC, account_features
+from lossledger.operators.taxonomy import classify
 from lossledger.plans import views
 from lossledger.session import stage
 from lossledger.sources import star_schema as star
@@ -272,7 +273,9 @@ def ticket_evidence(spark, path):
     select n.deal_id, o_custkey as account_id, cast(note_date as varchar) as note_date, category, subcategory,
            note_text from notes_classified n join orders on n.deal_id = o_orderkey""")
 def note_evidence(spark, path):
-    return views.evidence_from_text(star.sales_notes_with_account(spark, path), "sales_notes")
+    """Sorted before the texts are built: a global sort reads its input twice."""
+    ordered = views.newest_first(star.with_account(spark, path, star.notes_without_text(spark, path)), "sales_notes")
+    return classify(star.with_note_text(ordered), "note_text").select(*views.EVIDENCE["sales_notes"][2])
 
 
 @register("v05_quality_row", "select coalesce(roc_auc, 0) as roc_auc, pr_auc, accuracy, recall, f1 from metrics")
@@ -300,7 +303,10 @@ def segment_extract(spark, path):
     join (select 'churn' as source, {money('churn_revenue_lost')} as segment_total from segments
           union all select 'lost_deal', {money('lost_deal_value')} from segments) using (source)""")
 def reconciliation(spark, path):
-    return rollups.reconcile(inputs.summary(spark, path), inputs.trend(spark, path), inputs.segments(spark, path))
+    """One stored ledger feeds all three rollups."""
+    losses = stage(inputs.ledger(spark, path))
+    return rollups.reconcile(rollups.loss_summary(losses, ordered=False), rollups.loss_trend(losses, ordered=False),
+                             rollups.segment_loss(losses, star.accounts(spark, path), ordered=False))
 
 
 # ---- rule scores ------------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from lossledger.functions.numbers import clamp_low, money_sum, round_half_even
 from lossledger.functions.text import is_blank
 from lossledger.operators import ledger
 from lossledger.operators.scoring import revenue_at_risk, risk_tier
-from lossledger.operators.taxonomy import classify
+from lossledger.operators.taxonomy import classify, classify_indexed, rules_table
 from lossledger.plans import views
 from lossledger.settings import AS_OF
 from lossledger.sources import star_schema as star
@@ -186,11 +186,34 @@ def classify_documents(spark, path):
 @register("t02_rule_hits", """
     select category, subcategory, count(*) as notes from notes_classified group by 1, 2""")
 def rule_hits(spark, path):
-    """The rules as one array literal: the plan used for large rule sets."""
-    classified = classify(star.sales_notes(spark, path), "note_text", as_array=True)
+    """The rules as a table, found through the index of their keywords."""
+    classified = classify_indexed(star.sales_notes(spark, path), "note_text", rules_table(spark))
     return classified.groupBy("category", "subcategory").agg(F.count(F.lit(1)).alias("notes"))
 
 
+@register("t02_rules_of_benchmark", """
+    with item_rules as (
+        select distinct item_id, lower(word) as keyword
+        from (select item_id, unnest(regexp_extract_all(text, '[A-Za-z]{5,}')) as word from benchmark)
+    ), turns as (
+        select distinct conv_id, turn, lower(text) as text from conversations
+    ), hits as (
+        select conv_id, turn, item_id, count(*) as hits, string_agg(keyword, ', ' order by keyword) as terms
+        from turns join item_rules on contains(text, keyword) group by conv_id, turn, item_id
+    ), best as (
+        select * from hits qualify row_number() over (partition by conv_id, turn order by hits desc, item_id) = 1
+    )
+    select c.conv_id, c.turn, coalesce('Item ' || item_id, 'Uncategorized') as category, coalesce(terms, '') as matched_terms
+    from conversations c left join best b on b.conv_id = c.conv_id and b.turn = c.turn""")
+def rules_of_benchmark(spark, path):
+    """A rule for each benchmark item, with its words as keywords; the rules grow with the table."""
+    word = F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{5,}"), F.lit(0)))
+    rules = spark.read.parquet(f"{path}/benchmark.parquet").select("item_id", word.alias("keyword")).select(
+        F.col("item_id").alias("rule"), F.concat(F.lit("Item "), "item_id").alias("category"), F.lit("").alias("subcategory"), "keyword")
+    turns = spark.read.parquet(f"{path}/conversations.parquet").select("conv_id", "turn", "text")
+    return classify_indexed(turns, "text", rules).select("conv_id", "turn", "category", "matched_terms")
+
+
 @register("t03_classified_tickets", """
     select ticket_id, account_id, cast(created_date as varchar) as created_date, ticket_type, priority,
            resolution_hours, csat_score, ticket_summary, category, subcategory, matched_terms, confidence

@@ -2,7 +2,8 @@
 
 Each rule counts how many of its keywords occur in the lower-cased text; the rule with most
 hits wins and the earlier rule wins a tie. No UDF and no shuffle: the classifier is a chain of
-projections over the scan.
+projections over the scan. Rules in thousands are a table of their own, joined through an index of
+the runs of characters in their keywords.
 """
 
 from __future__ import annotations
@@ -10,10 +11,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lossledger.functions.text import is_blank, sql_text
+from lossledger.session import stage
 
 
 @dataclass(frozen=True)
@@ -55,21 +57,16 @@ NO_SUBCATEGORY = "unclear_signal"
 BLANK_CONFIDENCE = 0.1
 NO_HIT_CONFIDENCE = 0.25
 
-# Above this many keywords the per-rule expressions outgrow the JVM's method size limit and
-# generated code is abandoned, so rules move into one array literal instead.
-MAX_INLINE_KEYWORDS = 200
+# A table of keywords up to this size is sent to every task; a larger one is shuffled.
+INDEX_BYTES = 32 << 20
+GRAM = 3
 
 
-def classify(
-    df: DataFrame,
-    text_col: str,
-    rules: Sequence[Rule] = RULES,
-    *,
-    as_array: bool | None = None,
-) -> DataFrame:
+def classify(df: DataFrame, text_col: str, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Append ``category, subcategory, matched_terms, confidence`` for the text in ``text_col``.
 
-    ``as_array`` forces one of two equal plans; by default it follows the number of keywords.
+    One expression per keyword, made for rule sets like the fixed one; ``classify_indexed`` gives the
+    same for rules that are a table, in thousands.
 
     The winning rule is passed through an ``explode`` of one element. A filter on the outcome
     would otherwise be rewritten by the optimizer into one on the text, repeating the counting
@@ -77,14 +74,15 @@ def classify(
     """
     # Without rules nothing can win; a rule that no text can hit keeps the plan the same.
     rules = rules or (Rule(NO_CATEGORY, NO_SUBCATEGORY, ("\x00\x00",)),)
-    if as_array is None:
-        as_array = sum(len(r.keywords) for r in rules) > MAX_INLINE_KEYWORDS
     lowered = df.withColumn("_text", F.coalesce(F.lower(F.col(text_col)), F.lit("")))
-    winner = _winner_from_array(lowered, rules) if as_array else _winner_inline(lowered, rules)
+    return _with_outcome(_winner_inline(lowered, rules), df.columns)
 
-    found = F.col("_won.hits") > 0
+
+def _with_outcome(winner: DataFrame, kept: Sequence[str]) -> DataFrame:
+    """The columns ``kept`` and what the winning rule in ``_won`` says."""
+    found = F.coalesce(F.col("_won.hits") > 0, F.lit(False))
     return winner.select(
-        *df.columns,
+        *(F.col(f"`{c}`") for c in kept),
         F.when(found, F.col("_won.category")).otherwise(NO_CATEGORY).alias("category"),
         F.when(found, F.col("_won.subcategory")).otherwise(NO_SUBCATEGORY).alias("subcategory"),
         F.when(found, F.col("_won.terms")).otherwise("").alias("matched_terms"),
@@ -127,30 +125,60 @@ def _winner_inline(lowered: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return ranked.withColumn("_won", F.explode(F.array(won)))
 
 
-def _winner_from_array(lowered: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Rules as one array literal; plan size does not grow with the rule set."""
-    text = F.col("_text")
-    literal = F.array(
-        *(
-            F.struct(
-                F.lit(-i).alias("precedence"),
-                F.lit(r.category).alias("category"),
-                F.lit(r.subcategory).alias("subcategory"),
-                F.array(*map(F.lit, r.keywords)).alias("keywords"),
-            )
-            for i, r in enumerate(rules)
-        )
-    )
+def rules_table(spark: SparkSession, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """Rules as a table, one row per keyword; ``rule`` is the order of precedence."""
+    return spark.createDataFrame(
+        [(i, r.category, r.subcategory, k) for i, r in enumerate(rules) for k in r.keywords],
+        "rule bigint, category string, subcategory string, keyword string")
+
+
+def _grams(text: Column, sizes: Sequence[int]) -> Column:
+    """The distinct runs of so many characters in a text."""
+    characters = F.split(text, "")
+
+    def runs(size: int) -> Column:
+        last = F.size(characters) - size
+        run = lambda i: F.concat(*(F.get(characters, i + j) for j in range(size)))
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), run)).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*map(runs, sizes)))
+
 
-    def score(rule: Column) -> Column:
-        found = F.filter(rule["keywords"], lambda k: F.contains(text, k))
-        return F.struct(
-            F.size(found).alias("hits"),
-            rule["precedence"].alias("precedence"),
-            rule["category"].alias("category"),
-            rule["subcategory"].alias("subcategory"),
-            F.array_join(F.array_sort(F.array_distinct(found)), ", ").alias("terms"),
-            is_blank(text).alias("blank"),
-        )
-
-    return lowered.withColumn("_won", F.explode(F.array(F.array_max(F.transform(literal, score)))))
+def keyword_index(rules: DataFrame) -> DataFrame:
+    """``gram, rule, keyword``: each keyword under the run of three characters that fewest keywords share.
+
+    A text that contains a keyword contains its run. Keywords of fewer characters stand under themselves.
+    Keywords that are null or empty take no part, repeated ones count once.
+    """
+    keywords = stage(rules.where("keyword <> ''").select("rule", F.lower("keyword").alias("keyword")).distinct())
+    runs = F.when(F.length("keyword") < GRAM, F.array("keyword")).otherwise(_grams(F.col("keyword"), [GRAM]))
+    # The split into characters may end with an empty one, so the last run may be too short.
+    each = keywords.withColumn("gram", F.explode(runs)).where(F.length("gram") >= F.least(F.length("keyword"), F.lit(GRAM)))
+    shared = each.groupBy("gram").agg(F.count(F.lit(1)).alias("_shared"))
+    rarest = F.min(F.struct("_shared", "gram")).alias("rarest")
+    return each.join(shared, "gram").groupBy("rule", "keyword").agg(rarest).select("rarest.gram", "rule", "keyword")
+
+
+def classify_indexed(df: DataFrame, text_col: str, rules: DataFrame, *, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """What ``classify`` gives, for rules in a table ``rule, category, subcategory, keyword`` of any length.
+
+    Each text is looked up in the index by its own runs of characters; only keywords found that way are
+    searched in it. The index is broadcast if its measured size allows, else joined by a shuffle of the
+    runs. Only matches meet by text; the texts themselves are stored and shuffled once.
+    """
+    index = stage(keyword_index(rules))
+    entry = F.octet_length("keyword") + F.octet_length("gram") + 64
+    size, kinds = index.agg(F.sum(entry), F.collect_set(F.length("gram"))).first()
+    texts = stage(df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"),
+                            F.coalesce(F.lower(F.col(text_col)), F.lit("")).alias("_text"),
+                            F.monotonically_increasing_id().alias("_id")))
+    looked = texts.select("_id", "_text", F.explode(_grams(F.col("_text"), sorted(kinds) or [GRAM])).alias("gram"))
+    small = F.broadcast(index) if (size or 0) <= index_bytes else index
+    hits = looked.join(small, "gram").where(F.contains("_text", "keyword")).groupBy("_id", "rule").agg(
+        F.count(F.lit(1)).cast("int").alias("hits"), F.array_sort(F.collect_list("keyword")).alias("terms"))
+    best = hits.groupBy("_id").agg(F.max(F.struct("hits", (-F.col("rule")).alias("order"), "terms")).alias("best"))
+    names = rules.groupBy("rule").agg(F.first("category").alias("category"), F.first("subcategory").alias("subcategory"))
+    named = best.join(names, F.col("rule") == -F.col("best.order")).select(
+        F.col("_id").alias("_of"), F.col("best.hits").alias("hits"), "category", "subcategory", F.array_join("best.terms", ", ").alias("terms"))
+    won = F.struct("hits", is_blank(F.col("_text")).alias("blank"), "category", "subcategory", "terms")
+    return _with_outcome(texts.join(named, F.col("_id") == F.col("_of"), "left").withColumn("_won", won).select("_row.*", "_won"), df.columns)

@@ -42,15 +42,14 @@ def export_views(
 
     ``source_fmt`` is the run's output format. Row counts are taken while writing; no extract is computed twice.
     """
-    stamp = dt.datetime.now(dt.timezone.utc)
-    listed = [
-        (name, write_table(df, f"{target}/{name}", fmt, null=""), len(df.columns))
-        for name, df in build_extracts(load_outputs(spark, root, fmt=source_fmt)).items()
-    ]
-    manifest = spark.createDataFrame(
-        listed, "file_name string, row_count bigint, column_count int"
-    ).withColumns(
-        {"generated_at_utc": F.lit(stamp), "source_dir": F.lit(root), "export_dir": F.lit(target)}
+    manifest = write_extracts(spark, build_extracts(load_outputs(spark, root, fmt=source_fmt)), target, fmt).withColumns(
+        {"generated_at_utc": F.lit(dt.datetime.now(dt.timezone.utc)), "source_dir": F.lit(root), "export_dir": F.lit(target)}
     )
     manifest.write.mode("overwrite").json(f"{target}/manifest")
     return manifest
+
+
+def write_extracts(spark: SparkSession, extracts: Mapping[str, DataFrame], target: str, fmt: str = "csv") -> DataFrame:
+    """Write extracts and return (file_name, row_count, column_count), counted while writing."""
+    listed = [(name, write_table(df, f"{target}/{name}", fmt, null=""), len(df.columns)) for name, df in extracts.items()]
+    return spark.createDataFrame(listed, "file_name string, row_count bigint, column_count int")

@@ -20,7 +20,7 @@ from lossledger.operators.taxonomy import RULES, Rule, classify
 from lossledger.session import apply_settings, stage
 from lossledger.settings import AS_OF, SEED
 from lossledger.sources import sinks
-from lossledger.sources.tables import Tables, load_tables
+from lossledger.sources.tables import Tables, load_checked, load_tables
 
 
 def run(
@@ -35,10 +35,22 @@ def run(
     seed: int = SEED,
     trees: int = TREES,
     rules: tuple[Rule, ...] = RULES,
+    quarantine: bool = False,
 ) -> dict[str, object]:
-    """Read the tables under ``in_path`` and write every output under ``out_path``."""
-    tables = load_tables(apply_settings(spark), in_path, in_fmt, multiline)
-    return run_tables(spark, tables, out_path, as_of, out_fmt=out_fmt, seed=seed, trees=trees, rules=rules)
+    """Read the tables under ``in_path`` and write every output under ``out_path``.
+
+    A CSV line that does not fit its schema ends the run; with ``quarantine`` such lines are written to a
+    table of their own, and their number is part of the result.
+    """
+    if not quarantine:
+        tables = load_tables(apply_settings(spark), in_path, in_fmt, multiline)
+        return run_tables(spark, tables, out_path, as_of, out_fmt=out_fmt, seed=seed, trees=trees, rules=rules)
+    if in_fmt != "csv":
+        raise ValueError("only CSV tables have lines that do not fit their schema")
+    tables, bad = load_checked(apply_settings(spark), in_path, multiline)
+    set_aside = sinks.write_table(bad, sinks.table_path(out_path, "quarantine"), out_fmt)
+    result = run_tables(spark, tables, out_path, as_of, out_fmt=out_fmt, seed=seed, trees=trees, rules=rules)
+    return result | {"quarantined_rows": set_aside}
 
 
 def run_tables(
@@ -61,7 +73,7 @@ def run_tables(
     rows: dict[str, int] = {}
 
     def write(name: str, df: DataFrame) -> None:
-        rows[name] = sinks.write_table(df, sinks.table_path(out_path, name), out_fmt)
+        rows[name] = sinks.write_table(df, sinks.table_path(out_path, name), out_fmt, partition=sinks.PARTITIONS.get(name))
 
     def store(name: str, df: DataFrame) -> DataFrame:
         path = sinks.table_path(out_path, name)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,20 @@ def apply_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder below the session's ``spark.checkpoint.dir``, which all executors share.
+
+    Only a local session may fall back to a folder of its own; a cluster without the setting is an
+    error, because a folder on one machine would be lost with that machine.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        root = tempfile.mkdtemp(prefix=f"lossledger-{purpose}-")
+    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` in reliable storage that survives lost executors.
 

@@ -14,7 +14,8 @@ from lossledger.operators.evaluate import METRICS
 PROCESSED = "processed"
 ARTIFACTS = "artifacts"
 MODEL = f"{ARTIFACTS}/churn_model"
-TYPES = "_types"  # beside a CSV table: its schema
+TYPES = "_types"  # beside a CSV or partitioned table: its schema, which the files or folder names lack
+PARTITIONS = {"revenue_loss_trend": "period"}
 METRICS_PATH = f"{ARTIFACTS}/model_metrics"
 
 # Outputs the reporting views read.
@@ -44,18 +45,30 @@ CSV_OPTIONS = {
 }
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", null: str = NULL) -> int:
+def write_table(df: DataFrame, path: str, fmt: str = "parquet", null: str = NULL, *, partition: str | None = None) -> int:
     """Write a table and return its number of rows, counted while it is written.
 
     ``null`` is how CSV shows a missing value; only with the default can empty texts be told apart.
+    ``partition`` gives every value of that column a folder, so a reader of one value opens no other.
     """
+    return _write(df, path, fmt, null, partition, "static")
+
+
+def refresh_partitions(df: DataFrame, path: str, partition: str, fmt: str = "parquet", null: str = NULL) -> int:
+    """Replace the folders of those values of ``partition`` that ``df`` has; all others stay untouched."""
+    return _write(df, path, fmt, null, partition, "dynamic")
+
+
+def _write(df: DataFrame, path: str, fmt: str, null: str, partition: str | None, overwrite: str) -> int:
     counted = Observation()
     observed = df.observe(counted, F.count(F.lit(1)).alias("rows"))
-    writer = observed.write.mode("overwrite").format(fmt)
+    writer = observed.write.mode("overwrite").format(fmt).option("partitionOverwriteMode", overwrite)
     if fmt == "csv":
         writer = writer.options(**CSV_OPTIONS | {"nullValue": null})
+    if partition is not None:
+        writer = writer.partitionBy(partition)
     writer.save(path)
-    if fmt == "csv":
+    if fmt == "csv" or partition is not None:
         df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(f"{path}{TYPES}")
     return counted.get["rows"]
 
@@ -88,21 +101,24 @@ def outputs_ready(spark: SparkSession, root: str, names: Iterable[str] = REQUIRE
     return all(exists(spark, f"{p}/_SUCCESS") for p in paths)
 
 
-def read_output(spark: SparkSession, path: str, fmt: str, schema: StructType | None = None) -> DataFrame:
+def read_output(spark: SparkSession, path: str, fmt: str, schema: StructType | None = None, *, partitioned: bool = False) -> DataFrame:
     """A written table with the types it was written with.
 
-    CSV holds no types, so they lie beside the table as an empty Parquet file.
+    CSV holds no types and folder names hold texts, so the types lie beside the table as an empty Parquet file.
     """
-    if fmt != "csv":
+    if fmt != "csv" and not partitioned:
         return spark.read.format(fmt).load(path)
-    return spark.read.schema(schema or spark.read.parquet(f"{path}{TYPES}").schema).csv(
-        path, mode="FAILFAST", multiLine=True, **CSV_OPTIONS | {"emptyValue": ""})
+    schema = schema or spark.read.parquet(f"{path}{TYPES}").schema
+    reader = spark.read.schema(schema).format(fmt)
+    if fmt == "csv":
+        reader = reader.options(**CSV_OPTIONS | {"emptyValue": "", "mode": "FAILFAST", "multiLine": True})
+    return reader.load(path).select(*(F.col(f"`{c}`") for c in schema.names))
 
 
 def load_outputs(
     spark: SparkSession, root: str, names: Iterable[str] = REQUIRED, fmt: str = "parquet"
 ) -> dict[str, DataFrame]:
     """The written outputs by name; a missing one raises ``AnalysisException``."""
-    outputs = {n: read_output(spark, table_path(root, n), fmt) for n in names}
+    outputs = {n: read_output(spark, table_path(root, n), fmt, partitioned=n in PARTITIONS) for n in names}
     outputs["model_metrics"] = read_metrics(spark, root)
     return outputs

@@ -40,12 +40,13 @@ def rule_text(number: Column, topic: str) -> Column:
     first = F.get(keywords, F.pmod(step, F.lit(len(RULES))).cast("int"))
     second = F.get(keywords, F.pmod(F.floor(step / 11) + 3 * number, F.lit(len(RULES))).cast("int"))
 
-    def word(i: Column) -> Column:
-        rule = F.when(i % 2 == 0, first).otherwise(second)
-        return F.get(rule, F.pmod(F.floor(number / 5) + F.floor(i / 2), F.size(rule)).cast("int"))
+    def word(i: int) -> Column:
+        rule = second if i % 2 else first
+        return F.get(rule, F.pmod(F.floor(number / 5) + i // 2, F.size(rule)).cast("int"))
 
-    words = F.transform(F.sequence(F.lit(0), F.pmod(number, F.lit(5)).cast("int")), word)
-    told = F.concat(F.lit(f"{topic} {{"), (number % 97).cast("string"), F.lit("}: "), F.array_join(words, " and "), F.lit("."))
+    # Five terms, of which missing ones are skipped: no array is built for a text.
+    words = F.concat_ws(" and ", *(F.when(F.pmod(number, F.lit(5)) >= i, word(i)) for i in range(5)))
+    told = F.concat(F.lit(f"{topic} {{"), (number % 97).cast("string"), F.lit("}: "), words, F.lit("."))
     kind = F.pmod(number, F.lit(41))
     return (F.when(kind == 0, "").when(kind == 1, "   ")
             .when(kind == 2, F.concat(F.lit(f"{topic}: nothing new on day "), (number % 97).cast("string"))).otherwise(told))
@@ -92,7 +93,18 @@ def accounts(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def deals(spark: SparkSession, path: str) -> DataFrame:
+LOST = "F"  # the stored status of an order that counts as a lost deal
+
+
+def lost_deal_ids(spark: SparkSession, path: str) -> DataFrame:
+    return _read(spark, path, "orders").where(F.col("o_orderstatus") == LOST).select(F.col("o_orderkey").alias("deal_id"))
+
+
+def deals(spark: SparkSession, path: str, *, lost_only: bool = False) -> DataFrame:
+    """``lost_only`` filters by the stored status, which reaches the scan; one on the derived status would not."""
+    orders = _read(spark, path, "orders")
+    if lost_only:
+        orders = orders.where(F.col("o_orderstatus") == LOST)
     shipped = (
         _read(spark, path, "lineitem")
         .groupBy(F.col("l_orderkey").alias("deal_id"))
@@ -101,7 +113,7 @@ def deals(spark: SparkSession, path: str) -> DataFrame:
     key = F.col("deal_id")
     competitor = F.create_map(*(F.lit(x) for item in COMPETITOR_BY_PRIORITY.items() for x in item))
     return (
-        _read(spark, path, "orders")
+        orders
         .withColumnRenamed("o_orderkey", "deal_id")
         .join(shipped, "deal_id", "left")
         .select(
@@ -114,7 +126,7 @@ def deals(spark: SparkSession, path: str) -> DataFrame:
             competitor[F.substring("o_orderpriority", 1, 1)].alias("competitor_mentioned"),
             _pick(STAGES, key).alias("stage"),
             F.coalesce("_shipped", "o_orderdate").cast("date").alias("close_date"),
-            F.when(F.col("o_orderstatus") == "F", "lost").otherwise("won").alias("deal_status"),
+            F.when(F.col("o_orderstatus") == LOST, "lost").otherwise("won").alias("deal_status"),
         )
     )
 
@@ -158,25 +170,34 @@ def support_tickets(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def sales_notes(spark: SparkSession, path: str) -> DataFrame:
-    """Notes without their account, which only the deal knows."""
+def notes_without_text(spark: SparkSession, path: str) -> DataFrame:
     key = F.col("l_orderkey")
-    return (
-        _read(spark, path, "lineitem")
-        .select(
-            (key * 10 + F.col("l_linenumber")).alias("note_id"),
-            key.alias("deal_id"),
-            F.col("l_shipdate").cast("date").alias("note_date"),
-            rule_text(key * 10 + F.col("l_linenumber"), "Call").alias("note_text"),
-        )
+    return _read(spark, path, "lineitem").select(
+        (key * 10 + F.col("l_linenumber")).alias("note_id"),
+        key.alias("deal_id"),
+        F.col("l_shipdate").cast("date").alias("note_date"),
     )
 
 
-def sales_notes_with_account(spark: SparkSession, path: str) -> DataFrame:
+def with_note_text(notes: DataFrame) -> DataFrame:
+    """The text of a note follows from its id."""
+    return notes.withColumn("note_text", rule_text(F.col("note_id"), "Call"))
+
+
+def sales_notes(spark: SparkSession, path: str) -> DataFrame:
+    """Notes without their account, which only the deal knows."""
+    return with_note_text(notes_without_text(spark, path))
+
+
+def with_account(spark: SparkSession, path: str, notes: DataFrame) -> DataFrame:
     owners = _read(spark, path, "orders").select(
         F.col("o_orderkey").alias("deal_id"), F.col("o_custkey").alias("account_id")
     )
-    return sales_notes(spark, path).join(owners, "deal_id").select(
+    return notes.join(owners, "deal_id")
+
+
+def sales_notes_with_account(spark: SparkSession, path: str) -> DataFrame:
+    return with_account(spark, path, sales_notes(spark, path)).select(
         "note_id", "deal_id", "account_id", "note_date", "note_text"
     )
 

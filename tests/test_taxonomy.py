@@ -1,7 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from lossledger.operators.taxonomy import RULES, Rule, classify
+from lossledger.operators.taxonomy import RULES, Rule, classify, classify_indexed, keyword_index, rules_table
 from tests.conftest import planned, rows
 
 # sentence, subcategory, matched terms, confidence
@@ -39,10 +41,18 @@ TRUTH = [
 ]
 
 
-@pytest.mark.parametrize("as_array", [False, True])
-def test_truth_table(spark, as_array):
+def by_index(df, column, rules=RULES, **options):
+    return classify_indexed(df, column, rules_table(df.sparkSession, rules), **options)
+
+
+def shuffled(df, column, rules=RULES):
+    return by_index(df, column, rules, index_bytes=0)
+
+
+@pytest.mark.parametrize("method", [classify, by_index, shuffled])
+def test_truth_table(spark, method):
     df = spark.createDataFrame([(i, t[0]) for i, t in enumerate(TRUTH)], "i int, text string")
-    got = rows(classify(df, "text", as_array=as_array).orderBy("i").select("subcategory", "matched_terms", "confidence"))
+    got = rows(method(df, "text").orderBy("i").select("subcategory", "matched_terms", "confidence"))
     assert got == [t[1:] for t in TRUTH]
 
 
@@ -61,9 +71,9 @@ def test_input_columns_are_kept(spark):
 def test_own_rules_and_quotes(spark):
     rules = [Rule("A", "a", ("it's", "back\\slash", "100%")), Rule("B", "b", ("_",))]
     df = spark.createDataFrame([("IT'S 100%",), ("back\\slash _",), ("_",)], "text string")
-    for as_array in (False, True):
-        got = rows(classify(df, "text", rules, as_array=as_array).select("subcategory", "matched_terms"))
-        assert got == [("a", "100%, it's"), ("a", "back\\slash"), ("b", "_")]
+    for method in (classify, by_index, shuffled):
+        got = rows(method(df, "text", rules).orderBy(F.desc("text")).select("subcategory", "matched_terms"))
+        assert got == [("a", "back\\slash"), ("b", "_"), ("a", "100%, it's")]
 
 
 def test_single_rule(spark):
@@ -72,11 +82,42 @@ def test_single_rule(spark):
     assert got == [("a", 0.6), ("unclear_signal", 0.25)]
 
 
-def test_many_rules_switch_plan(spark):
-    rules = [Rule("C", f"s{i:04d}", (f"keyword{i:04d}", f"other{i:04d}")) for i in range(1500)]
-    df = spark.createDataFrame([("keyword0007 keyword1400 other1400",), ("none",)], "text string")
-    got = rows(classify(df, "text", rules).select("subcategory", "matched_terms", "confidence"))
-    assert got == [("s1400", "keyword1400, other1400", 0.7), ("unclear_signal", "", 0.25)]
+def test_five_thousand_rules_agree_with_a_plain_count(spark):
+    rng = random.Random(2)
+    part = lambda: "".join(rng.choice("abcdé\U00010000 ") for _ in range(rng.randint(1, 6)))
+    rules = list(RULES) + [Rule("C", f"s{i}", tuple({f"{part()}{i % 50}", part(), f"keyword{i:04d}"})) for i in range(5000)]
+    texts = [" ".join([part() + str(rng.randint(0, 60)), rng.choice(TRUTH)[0] or "", f"keyword{rng.randint(0, 9999):04d}"]) for _ in range(40)]
+    texts += [t[0] for t in TRUTH] + ["ab", "a", "\U00010000"]
+
+    def plain(text):
+        low = (text or "").lower()
+        hits = [sorted({k.lower() for k in r.keywords if k and k.lower() in low}) for r in rules]
+        best = max(range(len(rules)), key=lambda i: (len(hits[i]), -i))
+        return (rules[best].subcategory, ", ".join(hits[best])) if hits[best] else ("unclear_signal", "")
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    for method in (by_index, shuffled):
+        got = rows(method(df, "text", rules).orderBy("i").select("subcategory", "matched_terms"))
+        assert got == [plain(t) for t in texts]
+
+
+def test_index_on_shared_rules_equals_the_inline_plan(spark):
+    words = [k for r in RULES for k in r.keywords]
+    df = spark.range(300).select("id", F.concat_ws(" x ", *(F.element_at(F.array(*map(F.lit, words)), (F.pmod(
+        F.xxhash64("id", F.lit(j)), F.lit(len(words))) + 1).cast("int")) for j in range(4))).alias("text"), F.lit(1).alias("_text"))
+    assert sorted(rows(by_index(df, "text"))) == sorted(rows(classify(df.drop("_text"), "text").withColumn("_text", F.lit(1)).select(
+        "id", "text", "_text", "category", "subcategory", "matched_terms", "confidence")))
+
+
+def test_index_leaves_out_nothing_and_repeats_nothing(spark):
+    rules = spark.createDataFrame([(0, "A", "a", "abc"), (0, "A", "a", "abc"), (0, "A", "a", None), (1, "B", "b", ""), (1, "B", "b", "Xy"),
+                                   (2, "C", "c", "abcd")], "rule bigint, category string, subcategory string, keyword string")
+    index = {(r["rule"], r["keyword"]): r["gram"] for r in keyword_index(rules).collect()}
+    assert index == {(0, "abc"): "abc", (1, "xy"): "xy", (2, "abcd"): "bcd"}
+    df = spark.createDataFrame([("abcd xy",), ("",), (None,)], "text string")
+    got = rows(classify_indexed(df, "text", rules).select("subcategory", "matched_terms", "confidence"))
+    assert got == [("a", "abc", 0.6), ("unclear_signal", "", 0.1), ("unclear_signal", "", 0.1)]
+    assert rows(classify_indexed(df.limit(0), "text", rules)) == []
 
 
 def test_no_python_and_no_shuffle(spark):
@@ -91,8 +132,8 @@ def test_filter_on_outcome_stays_above_the_counting(spark):
     assert plan.count("Contains(_text") <= 2 * sum(len(r.keywords) for r in RULES)
 
 
-@pytest.mark.parametrize("as_array", [False, True])
-def test_without_rules_nothing_is_categorized(spark, as_array):
+@pytest.mark.parametrize("method", [classify, by_index])
+def test_without_rules_nothing_is_categorized(spark, method):
     df = spark.createDataFrame([("pricing",), ("",), (None,)], "text string")
-    got = rows(classify(df, "text", (), as_array=as_array).select("category", "subcategory", "matched_terms", "confidence"))
+    got = rows(method(df, "text", ()).select("category", "subcategory", "matched_terms", "confidence"))
     assert got == [("Uncategorized", "unclear_signal", "", c) for c in (0.25, 0.1, 0.1)]
