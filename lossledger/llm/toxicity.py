@@ -277,10 +277,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 def train(labelled: list[tuple[int, list[str]]], toxic_share: float, seed: int = 3) -> Machine:
     """``labelled``: label and distinct raw words of each training document, in a fixed order."""
-    letters = {w: letters_of(w) for _, words in labelled for w in words}
-    one = {w: w for w in letters.values()}
-    bags = [(y, {one[letters[w]] for w in words} - {""}) for y, words in labelled]
-    del letters
+    # Long strings are learned as they are scored: through their windows, in both classes.
+    one: dict[str, str] = {}
+    parts = {w: [one.setdefault(p, p) for p in _windows(letters_of(w))] for w in {w for _, words in labelled for w in words}}
+    bags = [(y, {p for w in words for p in parts[w]} - {""}) for y, words in labelled]
+    del parts, one
     learn = [b for i, b in enumerate(bags) if i % 3]
     toxic = [w for y, w in learn if y]
     clean = Counter(w for y, words in learn if not y for w in words)
@@ -289,17 +290,17 @@ def train(labelled: list[tuple[int, list[str]]], toxic_share: float, seed: int =
     if not positive or not clean:
         return flat
     rng = np.random.default_rng(seed)
-    pool = sorted(w for w in clean if 3 <= len(w) <= LONGEST)
+    pool = sorted(w for w in clean if len(w) >= 3)
     if not pool:
         return flat
-    shown = [w[:LONGEST] for w in positive]
+    shown = positive
     negative = [pool[i] for i in sorted(rng.permutation(len(pool))[:12_000])]
     machine = _fit(shown, negative, seed)
     for _ in range(3):
         scores = machine.decide(pool)
         worst = [pool[i] for i in np.argsort(-scores, kind="stable")[:2500]]
         negative = sorted(set(negative) | set(worst))
-        counts = Counter(w for words in toxic for w in words if w not in clean and 3 <= len(w) <= LONGEST)
+        counts = Counter(w for words in toxic for w in words if w not in clean and len(w) >= 3)
         doubt = sorted(w for w, n in counts.items() if n >= 2)
         if doubt:
             found = machine.decide(doubt)
