@@ -11,7 +11,7 @@ enough together with the smallest set, so links to that one set are enough for t
 *Large sets.* The elements are ordered by how rare their rarest word is; each set enters the
 inverted lists of its first (rarest) elements, as many as a linked set cannot miss altogether. A
 list first links its sets to its smallest id of similar size; then sets of one list that are not yet
-in one class are compared pairwise. Each set has a bit field with some eight bits per element; a bit that
+in one class are compared pairwise. Each set has a bit field with some four bits per element; a bit that
 only one of two sets has stands for an element the other lacks, which bounds the intersection from above
 and rejects nearly all candidates that are not linked. What is left is compared element by element.
 
@@ -39,7 +39,7 @@ from lossledger.llm.hashing import mix, run_hashes, word_hashes
 
 WORD_COUNTS = Sketch(depth=1, bits=22, dtype="u4", top=2**32 - 1)  # 16 MB whatever the corpus
 MEMBERS = Sketch(depth=2, bits=24, dtype="u1", top=1)  # 32 MB whatever the number of candidates
-FIELD = 256, 8192  # bits of the field of a set, from the fewest to the most
+FIELD = 256, 4096  # bits of the field of a set, from the fewest to the most
 BLOCK_SETS = 512
 SMALL_LIMIT = 29  # larger sets would send hundreds of subsets each
 SUBSET_COST = 1.0
@@ -126,7 +126,7 @@ def _sets(docs: DataFrame, n: int, limit: Threshold, ranks) -> DataFrame:
 
 def _field(elements: np.ndarray) -> bytes:
     """One bit for each remainder of an element; so many bits that most elements have one of their own."""
-    bits = min(FIELD[1], max(FIELD[0], 1 << (8 * len(elements) - 1).bit_length()))
+    bits = min(FIELD[1], max(FIELD[0], 1 << (4 * len(elements) - 1).bit_length()))
     held = np.zeros(bits, bool)
     held[(elements & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(held, bitorder="little").tobytes()
