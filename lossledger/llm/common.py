@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS = 1000
 BLOCK = 16  # the cells of a sketch travel in blocks of 2 ** BLOCK
 
 
@@ -47,6 +48,18 @@ def arrow_type(name: str) -> pa.DataType:
     }[name]
 
 
+def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` with batches of at most ``BATCH_ROWS`` rows.
+
+    Rows may hold whole texts, and a batch is held by the executor and by its Python worker at once; so the
+    session's limit of rows a batch is lowered, for later jobs as well.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)
+
+
 def map_rows(df: DataFrame, schema: dict[str, str], rows: Callable[[Iterator[dict]], Iterable[tuple]],
              size: int = 2000) -> DataFrame:
     """``mapInArrow`` over rows: ``rows`` turns an iterator of dicts into output tuples.
@@ -78,7 +91,7 @@ def map_rows(df: DataFrame, schema: dict[str, str], rows: Callable[[Iterator[dic
         if kept:
             yield flush()
 
-    return df.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in schema.items()))
+    return map_batches(df, run, ", ".join(f"`{n}` {t}" for n, t in schema.items()))
 
 
 @dataclass(frozen=True)

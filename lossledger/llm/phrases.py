@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lossledger.llm.common import Sketch, merged_sketch, staged
+from lossledger.llm.common import Sketch, map_batches, merged_sketch, staged
 from lossledger.llm.hashing import mix, word_hashes
 
 LONGEST = 4
@@ -116,7 +116,7 @@ def _counted(docs: DataFrame, phrases: Callable[[str, Words], Counts]) -> DataFr
                         size = 0
         yield from flush()
 
-    partial = docs.select("lang", "text").mapInArrow(count, "lang string, phrase string, n bigint")
+    partial = map_batches(docs.select("lang", "text"), count, "lang string, phrase string, n bigint")
     return partial.groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
 
 

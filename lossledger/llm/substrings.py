@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lossledger.llm.common import Sketch, map_rows, merged_sketch, staged
+from lossledger.llm.common import Sketch, map_batches, map_rows, merged_sketch, staged
 from lossledger.llm.hashing import mix, run_hashes, sliding_min, word_hashes
 
 WINDOW = 50
@@ -113,7 +113,7 @@ class Members:
             for batch in batches:
                 yield batch.filter(pa.array(self.mask(batch.column(place).to_pylist()), pa.bool_()))
 
-        return docs.mapInArrow(keep, docs.schema)
+        return map_batches(docs, keep, docs.schema)
 
 
 def _taken_apart(docs: DataFrame, asked: DataFrame, window: int) -> DataFrame:

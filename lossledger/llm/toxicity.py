@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lossledger.llm.common import map_rows
+from lossledger.llm.common import map_batches, map_rows
 
 MAX_TOXIC, MAX_CLEAN = 1000, 2000
 LANDMARKS = 192
@@ -48,7 +48,7 @@ LETTERS = 32
 LONGEST = 14  # longer words are seen through overlapping windows of this length
 THRESHOLD = 0.7
 FLOOR = -0.6  # lower decisions do not tell documents apart
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 
@@ -429,4 +429,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, *, labelled_docs: DataFram
                 if (kept := part.filter(pa.array([s < threshold for s in scores]))).num_rows:
                     yield kept
 
-    return docs.mapInArrow(keep, docs.schema)
+    return map_batches(docs, keep, docs.schema)
