@@ -32,11 +32,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 def staged(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: a later loss of executors repeats
-    nothing that came before, and readers take only the columns they need."""
+    nothing that came before, and readers take only the columns they need.
+
+    What was shuffled on the way is needed no more. Spark removes such files once the driver's garbage
+    collector has found them unused, so it is asked to run; else they would fill the executors' disks.
+    """
     spark = df.sparkSession
     folder = shared_folder(spark)
     schema = df.schema
     df.write.parquet(folder)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(folder)
 
 
