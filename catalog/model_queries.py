@@ -278,7 +278,7 @@ def note_evidence(spark, path):
     return classify(star.with_note_text(ordered), "note_text").select(*views.EVIDENCE["sales_notes"][2])
 
 
-@register("v05_quality_row", "select coalesce(roc_auc, 0) as roc_auc, pr_auc, accuracy, recall, f1 from metrics")
+@register("v05_quality_row", "select case when roc_auc <= 1 then roc_auc else 0.0::double end as roc_auc, pr_auc, accuracy, recall, f1 from metrics")
 def quality_row(spark, path):
     return views.quality_row(inputs.metrics(spark, path))
 

@@ -49,7 +49,7 @@ def trend_long(spark, path):
 
 
 @register("u04_metrics_long", """
-    select 'roc_auc' as metric, 'ROC_AUC' as metric_label, coalesce(roc_auc, 0) as metric_value from metrics
+    select 'roc_auc' as metric, 'ROC_AUC' as metric_label, case when roc_auc <= 1 then roc_auc else 0.0::double end as metric_value from metrics
     union all select 'pr_auc', 'PR_AUC', pr_auc from metrics
     union all select 'accuracy', 'ACCURACY', accuracy from metrics
     union all select 'recall', 'RECALL', recall from metrics
