@@ -39,7 +39,7 @@ from lossledger.llm.hashing import mix, run_hashes, word_hashes
 
 WORD_COUNTS = Sketch(depth=1, bits=22, dtype="u4", top=2**32 - 1)  # 16 MB whatever the corpus
 MEMBERS = Sketch(depth=2, bits=24, dtype="u1", top=1)  # 32 MB whatever the number of candidates
-FIELD = 256, 4096  # bits of the field of a set, from the fewest to the most
+FIELD = 256, 2048  # bits of the field of a set, from the fewest to the most
 BLOCK_SETS = 512
 SMALL_LIMIT = 29  # larger sets would send hundreds of subsets each
 SUBSET_COST = 1.0
