@@ -35,16 +35,18 @@ def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     its class has no id. A null or wordless text is linked with nothing; of such rows only repeats of
     one id and text go, and those without an id stay.
     """
-    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()))
-    classes = jaccard_classes(rows, id_col="_row", n=NEAR_WORDS, percent=NEAR_PERCENT).withColumnRenamed("doc_id", "_row")
+    # a name that no column of the documents has
+    number = "_row" + "_" * max((len(name) for name in docs.columns), default=0)
+    rows = staged(docs.withColumn(number, F.monotonically_increasing_id()))
+    classes = jaccard_classes(rows, id_col=number, n=NEAR_WORDS, percent=NEAR_PERCENT).withColumnRenamed("doc_id", "_row")
     alone = (F.col("n_shingles") == 0) & F.col("doc_id").isNotNull()
-    classed = staged(rows.select("_row", "doc_id", F.xxhash64("text").alias("_text")).join(classes, "_row").select(
+    classed = staged(rows.select(F.col(number).alias("_row"), "doc_id", F.xxhash64("text").alias("_text")).join(classes, "_row").select(
         "_row", "doc_id", F.when(~alone, F.col("component_id")).alias("_class"), F.when(alone, F.col("doc_id")).alias("_id"),
         F.when(alone, F.col("_text")).alias("_text")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row"))
     kept = classed.groupBy("_class", "_id", "_text").agg(first.alias("first")).select("first._row")
-    others = classed.select("_row").join(kept, "_row", "left_anti")
-    return rows.join(others, "_row", "left_anti").drop("_row")
+    others = classed.select("_row").join(kept, "_row", "left_anti").select(F.col("_row").alias(number))
+    return rows.join(others, number, "left_anti").drop(number)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

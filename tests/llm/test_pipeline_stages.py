@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import plain
@@ -30,3 +31,14 @@ def test_one_row_stays_of_repeated_and_missing_ids(spark, documents):
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([
         (1, text("a")), (1, text("b")), (3, text("c")), (None, text("d")), (None, text("e")),
         (4, None), (4, ""), (5, ""), (None, None), (None, None)], key=str)
+
+
+def test_other_columns_may_have_any_name(spark, documents):
+    names = ["_row", "_ROW__", "_class", "_id", "_text", "component_id", "n_shingles", "no_id", "first"]
+    text = " ".join(f"a{i}" for i in range(60))
+    docs = documents([(1, text), (2, text), (3, "other words than those")])
+    for name in names:
+        docs = docs.withColumn(name, F.concat(F.lit(name), F.col("doc_id")))
+    kept = corpus_pipeline.keep_one_of_each_class(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r.asDict()["component_id"] for r in kept.collect()) == ["component_id1", "component_id3"]
