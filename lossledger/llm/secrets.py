@@ -106,9 +106,10 @@ def scan(text: str | None, automaton: ahocorasick.Automaton) -> list[tuple[str,
             free[kind] = match.end()
             if good:
                 spans.append((kind, start, match.end()))
-    ascii_only = len(raw) == len(text)
+    first = behind = 0
     for start, end in _hex_runs(raw):
-        first = start if ascii_only else len(raw[:start].decode())
+        first += len(raw[behind:start].decode())
+        behind = start
         spans.append(("hex", first, first + end - start))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 

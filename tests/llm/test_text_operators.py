@@ -143,3 +143,10 @@ def test_search_finds_every_occurrence(words, items):
                     expected |= set(range(p, p + n))
                     names.add(i)
     assert (hit, found) == (expected, names)
+
+
+def test_hex_runs_between_wide_letters():
+    text = "".join(f"ä漢{'ab' * (12 + i % 3)}€😀 {'f' * 23}z" for i in range(50))
+    found = scan(text, secrets._automaton())
+    assert found == plain.secrets(text)
+    assert len(found) == 50
