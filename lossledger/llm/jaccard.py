@@ -238,15 +238,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, limit: Threshold) -> Da
 def _unlinked(lists: DataFrame, sets: DataFrame, small: int, limit: Threshold) -> DataFrame:
     """Pairs within a list that are in different classes and may be linked.
 
-    A list is cut into blocks of bounded size and each pair of blocks is one unit of work, so a long
-    list is spread over many tasks. Pairs are compared inside the unit, by sizes and by bit fields; only
-    those that pass leave it.
+    A list is cut into ``blocks`` blocks of bounded size and each pair of blocks is one unit of work, so a
+    long list is spread over many tasks. Pairs are compared inside the unit, by sizes and by bit fields; only
+    those that pass leave it. The fields travel once, to their units.
     """
-    length = lists.groupBy("element").agg(F.count(F.lit(1)).alias("sets")).select(
-        "element", F.ceil(F.col("sets") / BLOCK_SETS).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     full = lists.join(sets.select("doc_id", "n", "field"), ["doc_id", "n"])
-    sent = full.join(length, "element").withColumn("own", own).withColumn(
+    sent = full.withColumn("own", own).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "element", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own",
         "doc_id", "n", "class", "field")
@@ -294,9 +292,10 @@ def _large_links(sets: DataFrame, docs: DataFrame, small: int, links: DataFrame,
     classes = staged(components(links.unionByName(near)))
     classed = lists.join(classes.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn(
         "class", F.coalesce("component", "doc_id")).select("element", "doc_id", "n", "class")
-    mixed = classed.groupBy("element").agg(F.min("class").alias("low"), F.max("class").alias("high")).where(
-        "low != high").select("element")
-    open_lists = staged(classed.join(mixed, "element", "left_semi"))
+    mixed = classed.groupBy("element").agg(
+        F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("sets")).where(
+        "low != high").select("element", F.ceil(F.col("sets") / BLOCK_SETS).cast("int").alias("blocks"))
+    open_lists = staged(classed.join(mixed, "element"))
     pairs = _unlinked(open_lists, sets, small, limit)
     known = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rest = staged(pairs.join(known, ["a", "b"], "left_anti"))
