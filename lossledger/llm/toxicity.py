@@ -49,6 +49,7 @@ LONGEST = 14  # longer words are seen through overlapping windows of this length
 THRESHOLD = 0.7
 FLOOR = -0.6  # lower decisions do not tell documents apart
 CACHE_WORDS = 200_000
+TOGETHER = 4096  # rows of a matrix worked on at once while fitting, on the driver
 
 
 
@@ -115,23 +116,18 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     """The mean of the normalised kernels of both subsequence lengths, words by landmarks."""
     out = np.zeros((len(words), len(landmarks)))
     for size in REACH:
-        index: dict[int, int] = {}
-        table: list[np.ndarray] = []
-        for rows, code, scaled in subsequences(landmarks, size):
-            for r, line in zip(rows, code):
-                for c, w in zip(line.tolist(), scaled):
-                    if c not in index:
-                        index[c] = len(table)
-                        table.append(np.zeros(len(landmarks)))
-                    table[index[c]][r] += w
-        known = np.array(sorted(index), np.int64)
-        if not len(known):
+        parts = [(code.ravel(), np.repeat(rows, code.shape[1]), np.tile(scaled, len(rows)))
+                 for rows, code, scaled in subsequences(landmarks, size)]
+        if not parts:
             continue
-        grid = np.vstack([table[index[c]] for c in known.tolist()])
+        codes, owners, weights = (np.concatenate(p) for p in zip(*parts))
+        known, at = np.unique(codes, return_inverse=True)
+        grid = np.zeros((len(known), len(landmarks)))
+        np.add.at(grid, (at, owners), weights)
         for rows, code, scaled in subsequences(words, size):
             at = np.minimum(np.searchsorted(known, code), len(known) - 1)
             row, place = np.nonzero(known[at] == code)  # few subsequences are in any landmark
-            for some in np.array_split(np.arange(len(row)), len(row) // 50_000 + 1):
+            for some in np.array_split(np.arange(len(row)), len(row) // TOGETHER + 1):
                 if len(some):
                     r, first = np.unique(row[some], return_index=True)
                     shared = grid[at[row[some], place[some]]] * scaled[place[some], None]
@@ -185,7 +181,7 @@ def document_features(decisions: list[float]) -> tuple[float, int]:
 
 def _svm(features: np.ndarray, labels: np.ndarray, strength: float = 30.0, rounds: int = 25) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss and balanced classes, by Newton steps."""
-    x = np.hstack([features, np.ones((len(features), 1))])
+    x = features  # the last column is 1, for the bias
     share = np.where(labels > 0, 0.5 / max(1, (labels > 0).sum()), 0.5 / max(1, (labels < 0).sum()))
     cost = strength * len(labels) * share / 10
     w = np.zeros(x.shape[1])
@@ -193,10 +189,14 @@ def _svm(features: np.ndarray, labels: np.ndarray, strength: float = 30.0, round
     keep[-1, -1] = 1e-3
     for _ in range(rounds):
         margin = 1 - labels * (x @ w)
-        on = margin > 0
-        xo, co = x[on], cost[on]
-        gradient = keep @ w - 2 * xo.T @ (co * labels[on] * margin[on])
-        step = np.linalg.solve(keep + 2 * (xo * co[:, None]).T @ xo, gradient)
+        on = np.flatnonzero(margin > 0)
+        gradient, curvature = keep @ w, keep.copy()
+        for start in range(0, len(on), TOGETHER):
+            part = on[start : start + TOGETHER]
+            xo, co = x[part], cost[part]
+            gradient -= 2 * xo.T @ (co * labels[part] * margin[part])
+            curvature += 2 * (xo * co[:, None]).T @ xo
+        step = np.linalg.solve(curvature, gradient)
         w = w - step
         if np.abs(step).max() < 1e-6:
             break
@@ -253,8 +253,11 @@ def _fit(positive: list[str], negative: list[str], seed: int) -> Machine:
     landmarks = pick(positive, half) + pick(negative, LANDMARKS - min(half, len(positive)))
     values, vectors = np.linalg.eigh(kernel(landmarks, landmarks) + 1e-6 * np.eye(len(landmarks)))
     root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
-    labels = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
-    weights, bias = _svm(kernel(positive + negative, landmarks) @ root, labels)
+    labels, shown = np.r_[np.ones(len(positive)), -np.ones(len(negative))], positive + negative
+    features = np.ones((len(shown), len(landmarks) + 1))
+    for start in range(0, len(shown), TOGETHER):
+        features[start : start + TOGETHER, :-1] = kernel(shown[start : start + TOGETHER], landmarks) @ root
+    weights, bias = _svm(features, labels)
     share = root @ weights / len(REACH)
     tables = {}
     for size in REACH:
