@@ -281,7 +281,8 @@ def _large_links(sets: DataFrame, docs: DataFrame, small: int, links: DataFrame,
     entries = sets.where(F.col("n") >= limit.least_partner(small + 1)).select(
         F.explode("prefix").alias("element"), "doc_id", "n",
         F.floor(F.log(F.col("n")) / np.log(100 / limit.percent)).alias("band"))
-    shared = entries.groupBy("element").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("element")
+    # stored first: its size is known when the join is planned, and the entries are shuffled only if it is large
+    shared = staged(entries.groupBy("element").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("element"))
     lists = staged(entries.join(shared, "element", "left_semi"))
 
     centres = lists.groupBy("element", "band").agg(F.min("doc_id").alias("a"))
