@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,16 +32,41 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/stage-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame) -> DataFrame:
+_FOLDERS: ContextVar[list[str] | None] = ContextVar("folders", default=None)
+
+
+def staged(df: DataFrame, *, keep: bool = False) -> DataFrame:
     """``df`` written to the shared folder and read back: a later loss of executors repeats
-    nothing that came before, and readers take only the columns they need."""
+    nothing that came before, and readers take only the columns they need.
+
+    Inside ``removed_after`` the folder goes at the end, unless ``keep`` is set. Elsewhere it stays.
+    """
     spark = df.sparkSession
     folder = shared_folder(spark)
     schema = df.schema
+    if not keep and (folders := _FOLDERS.get()) is not None:
+        folders.append(folder)
     df.write.parquet(folder)
     return spark.read.schema(schema).parquet(folder)
 
 
+@contextmanager
+def removed_after(spark: SparkSession) -> Iterator[None]:
+    """Remove the folders that ``staged`` makes inside; only DataFrames stored with ``keep`` can be read later.
+
+    Nothing else below ``spark.checkpoint.dir`` is touched. Inside another such block each removes its own.
+    """
+    token = _FOLDERS.set([])
+    try:
+        yield
+    finally:
+        folders = _FOLDERS.get()
+        _FOLDERS.reset(token)
+        for folder in folders:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def arrow_type(name: str) -> pa.DataType:
     return {
         "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(),

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lossledger.llm.common import Sketch, map_rows, merged_sketch, staged
+from lossledger.llm.common import Sketch, map_rows, merged_sketch, removed_after, staged
 from lossledger.llm.components import components
 from lossledger.llm.hashing import mix, run_hashes, word_hashes
 
@@ -335,3 +335,30 @@ def _with_classes(every: DataFrame, first: DataFrame, classes: DataFrame, key: l
     return every.select("doc_id", "n", *key).join(labelled, key, "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def one_of_each_class(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int, percent: int) -> DataFrame:
+    """``docs`` with one row of each class of linked rows, the one with the smallest id; all columns stay.
+
+    Rows are linked by their own texts, whatever their ids: of rows that share an id, too, one of each
+    class stays (the first stored), and a row without an id is linked like any other and stays only if
+    its class has no id. A null or wordless text is linked with nothing; of such rows only repeats of
+    one id and text go, and those without an id stay. An empty table gives no rows. What is stored on
+    the way is removed, but for the numbered rows and their classes, which the result reads.
+    """
+    # a name that no column of the documents has
+    number = "_row" + "_" * max((len(name) for name in docs.columns), default=0)
+    rows = staged(docs.withColumn(number, F.monotonically_increasing_id()), keep=True)
+    with removed_after(docs.sparkSession):
+        classes = jaccard_classes(rows, id_col=number, text_col=text_col, n=n, percent=percent).withColumnRenamed(
+            "doc_id", "_row")
+        alone = (F.col("n_shingles") == 0) & F.col("_own").isNotNull()
+        classed = staged(rows.select(
+            F.col(number).alias("_row"), F.col(id_col).alias("_own"), F.xxhash64(text_col).alias("_text")).join(
+            classes, "_row").select(
+            "_row", "_own", F.when(~alone, F.col("component_id")).alias("_class"),
+            F.when(alone, F.col("_own")).alias("_id"), F.when(alone, F.col("_text")).alias("_text")), keep=True)
+    first = F.min(F.struct(F.col("_own").isNull().alias("no_id"), "_own", "_row"))
+    kept = classed.groupBy("_class", "_id", "_text").agg(first.alias("first")).select("first._row")
+    others = classed.select("_row").join(kept, "_row", "left_anti").select(F.col("_row").alias(number))
+    return rows.join(others, number, "left_anti").drop(number)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from lossledger.llm.common import removed_after, staged
 from tests.llm import plain
 
 DATA = "/root/testdata/sf0.001"
@@ -42,3 +43,52 @@ def test_other_columns_may_have_any_name(spark, documents):
     kept = corpus_pipeline.keep_one_of_each_class(spark, docs, "")
     assert kept.columns == docs.columns
     assert sorted(r.asDict()["component_id"] for r in kept.collect()) == ["component_id1", "component_id3"]
+
+
+EDGES = [(1, None), (2, ""), (2, ""), (None, "plain words"), (3, " \t\n"), (3, "a plain line"), (4, "long " * 30_000)]
+
+
+@pytest.fixture
+def tables(spark, tmp_path):
+    """Labels and a benchmark that mark none of the edge cases."""
+    marked = [(10, "an odd plonker sat"), (11, "that plonker again"), (12, "some calm words")]
+    spark.createDataFrame(marked, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(10, 1, 1), (11, 1, 1), (12, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(
+        f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(f"q{i}" for i in range(20))), (2, None), (3, "")], "item_id bigint, text string").write.parquet(
+        f"{tmp_path}/benchmark.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name, stage", [s for s in corpus_pipeline.STAGES if s[0] in ("toxicity", "decontamination", "secret_scan")])
+def test_filters_keep_null_empty_long_and_repeated_rows(spark, documents, tables, name, stage):
+    docs = documents(EDGES).withColumn("score", F.lit(7)).withColumn("predicted", F.lit("x")).withColumn("spans", F.lit(None))
+    got = stage(spark, docs, tables)
+    assert got.schema.names == docs.schema.names
+    key = lambda r: (r["doc_id"] or 0, r["text"] or "", r["text"] is None, r["score"], r["predicted"])
+    assert sorted(map(key, got.collect())) == sorted(map(key, docs.collect()))
+    assert stage(spark, docs.where("false"), tables).collect() == []
+
+
+def test_packing_of_null_empty_long_and_repeated_rows(spark, documents, tables):
+    docs = documents(EDGES).withColumn("sequence_id", F.lit("x"))
+    got = corpus_pipeline.pack_sequences(spark, docs, tables).collect()
+    assert sum(r["piece"] == 0 for r in got) == len(EDGES)
+    assert [r["length"] for r in got if r["doc_id"] == 1] == [1]  # its end mark alone
+    assert corpus_pipeline.pack_sequences(spark, docs.where("false"), tables).collect() == []
+
+
+def test_stored_steps_are_removed(spark):
+    with removed_after(spark):
+        kept, gone = staged(spark.range(5), keep=True), staged(spark.range(6))
+        with removed_after(spark):
+            inner = staged(spark.range(7))
+        assert gone.count() == 6
+    assert kept.count() == 5
+    outside = staged(spark.range(3))
+    with removed_after(spark):
+        pass
+    assert outside.count() == 3
+    for frame in (gone, inner):
+        with pytest.raises(Exception, match="(?i)not exist|not_exist|FILE"):
+            frame.collect()
