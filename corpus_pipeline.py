@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lossledger.llm.common import staged, table
+from lossledger.llm.common import removed_after, staged, table
 from lossledger.llm.decontaminate import contamination_filter
-from lossledger.llm.jaccard import jaccard_classes
+from lossledger.llm.jaccard import one_of_each_class
 from lossledger.llm.packing import pack, token_pieces
 from lossledger.llm.secrets import redact_secrets
 from lossledger.llm.toxicity import without_toxic
@@ -23,39 +23,37 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go."""
+    """Documents predicted toxic go.
+
+    Null and empty texts have no strings and stay; rows are judged one by one, whatever their id, so
+    repeated rows stay or go together. Without toxic or clean labels to learn from nothing goes. An
+    empty table gives no rows.
+    """
     return without_toxic(docs, table(spark, sf_dir, "labels"), labelled_docs=table(spark, sf_dir, "documents"))
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows linked by the Jaccard join (five words, 0.8), the one with the smallest id stays.
 
-    Rows are linked by their own texts, whatever their ids: of rows that share an id, too, one of each
-    class stays (the first stored), and a row without an id is linked like any other and stays only if
-    its class has no id. A null or wordless text is linked with nothing; of such rows only repeats of
-    one id and text go, and those without an id stay.
+    Null and wordless texts, null and repeated ids: see ``one_of_each_class``.
     """
-    # a name that no column of the documents has
-    number = "_row" + "_" * max((len(name) for name in docs.columns), default=0)
-    rows = staged(docs.withColumn(number, F.monotonically_increasing_id()))
-    classes = jaccard_classes(rows, id_col=number, n=NEAR_WORDS, percent=NEAR_PERCENT).withColumnRenamed("doc_id", "_row")
-    alone = (F.col("n_shingles") == 0) & F.col("doc_id").isNotNull()
-    classed = staged(rows.select(F.col(number).alias("_row"), "doc_id", F.xxhash64("text").alias("_text")).join(classes, "_row").select(
-        "_row", "doc_id", F.when(~alone, F.col("component_id")).alias("_class"), F.when(alone, F.col("doc_id")).alias("_id"),
-        F.when(alone, F.col("_text")).alias("_text")))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row"))
-    kept = classed.groupBy("_class", "_id", "_text").agg(first.alias("first")).select("first._row")
-    others = classed.select("_row").join(kept, "_row", "left_anti").select(F.col("_row").alias(number))
-    return rows.join(others, number, "left_anti").drop(number)
+    return one_of_each_class(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents contaminated by the benchmark go."""
+    """Documents contaminated by the benchmark go.
+
+    Null and empty texts have no words and stay; repeated rows stay or go together; with an empty
+    benchmark, or items without words only, all stay. An empty table gives no rows.
+    """
     return contamination_filter(docs, table(spark, sf_dir, "benchmark"))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts are replaced; ``n_chars`` follows the text."""
+    """Secrets in texts are replaced; ``n_chars`` follows the text, if there is such a column.
+
+    Every row stays. A null text stays null and keeps its ``n_chars``; an empty text stays empty.
+    """
     clean = redact_secrets(docs)
     if "n_chars" not in docs.columns:
         return clean
@@ -65,7 +63,11 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with the sequence and the place each goes to."""
+    """Pieces of documents with the sequence and the place each goes to.
+
+    A null text is packed as an empty one, which is its end mark alone; each row is a document of its
+    own, whatever its id; an empty table gives no rows.
+    """
     return pack(token_pieces(docs))
 
 
@@ -82,7 +84,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in a row; of what they store only the last result stays."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir))
+    with removed_after(spark):
+        for place, (_, stage) in enumerate(STAGES, 1):
+            docs = staged(stage(spark, docs, sf_dir), keep=place == len(STAGES))
     return docs
