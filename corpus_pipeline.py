@@ -84,7 +84,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in a row; of what they store only the last result stays."""
+    """All stages in a row; what they store is removed, but for the last result and two tables of the Jaccard join."""
     docs = table(spark, sf_dir, "documents")
     with removed_after(spark):
         for place, (_, stage) in enumerate(STAGES, 1):
