@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lossledger.operators.taxonomy import RULES, Rule, classify, classify_indexed, keyword_index, rules_table
+from lossledger.operators.taxonomy import RULES, Rule, _Finder, _parts, classify, classify_indexed, keyword_index, rules_table
 from tests.conftest import planned, rows
 
 # sentence, subcategory, matched terms, confidence
@@ -137,3 +138,21 @@ def test_without_rules_nothing_is_categorized(spark, method):
     df = spark.createDataFrame([("pricing",), ("",), (None,)], "text string")
     got = rows(method(df, "text", ()).select("category", "subcategory", "matched_terms", "confidence"))
     assert got == [("Uncategorized", "unclear_signal", "", c) for c in (0.25, 0.1, 0.1)]
+
+
+def test_finder_agrees_with_plain_containment():
+    rng = random.Random(5)
+    part = lambda n: "".join(rng.choice("abé\U00010000 ") for _ in range(n))
+    keywords = sorted({part(rng.randint(1, 9)) for _ in range(300)})
+    grams = [k if len(k) < 3 else k[(at := rng.randint(0, len(k) - 3)) : at + 3] for k in keywords]
+    finder = _Finder(grams, keywords)
+    texts = [part(rng.randint(0, 60)) for _ in range(200)] + ["", "a", "\U00010000"]
+    data = [t.encode() for t in texts]
+    found = finder.find(np.cumsum([0, *map(len, data)]), np.frombuffer(b"".join(data), np.uint8))
+    got = [(int(t), finder.words[w].decode()) for t, w in zip(*found)]
+    assert got == sorted(set(got)) and set(got) == {(i, k) for i, t in enumerate(texts) for k in keywords if k in t}
+
+
+def test_parts_cover_all_items_in_order():
+    upto = np.cumsum([3, 0, 9, 1, 1, 0, 4])
+    assert list(_parts(upto, 4)) == [(0, 2), (2, 3), (3, 6), (6, 7)] and list(_parts(upto[:0], 4)) == []
