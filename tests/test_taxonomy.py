@@ -156,3 +156,9 @@ def test_finder_agrees_with_plain_containment():
 def test_parts_cover_all_items_in_order():
     upto = np.cumsum([3, 0, 9, 1, 1, 0, 4])
     assert list(_parts(upto, 4)) == [(0, 2), (2, 3), (3, 6), (6, 7)] and list(_parts(upto[:0], 4)) == []
+
+
+def test_a_small_index_moves_no_text(spark):
+    df = spark.range(10).select(F.concat(F.lit("pricing "), F.col("id")).alias("text"))
+    assert "Exchange" not in planned(by_index(df, "text")) and "Exchange" in planned(shuffled(df, "text"))
+    assert rows(by_index(df, "text").where("category = 'Product'")) == []
