@@ -37,7 +37,8 @@ from lossledger.settings import SEED
 
 BINS = 32
 CUT_SAMPLE = 10_000  # rows that set the bins
-CHUNK = 65_536  # rows a task counts at once
+CHUNK = 262_144  # rows a task counts at once
+SENT = 65_536  # counts a task holds before they leave it
 GRID = float(1 << 40)  # leaf probabilities are multiples of its reciprocal
 #: Limits of a uniform 32-bit number for 0, 1, 2, ... copies of a row: the Poisson distribution of mean 1.
 POISSON = tuple(int(2**32 * sum(exp(-1) / factorial(j) for j in range(k + 1))) for k in range(12))
@@ -54,18 +55,25 @@ def bootstrap_counts(keys: list[str | None], trees: int, seed: int) -> np.ndarra
     return np.searchsorted(np.array(POISSON), numbers.astype(np.int64), side="right")
 
 
+def _bytes(matrix: np.ndarray) -> pa.Array:
+    """One binary value per row: its small numbers, a byte each."""
+    rows, width = matrix.shape
+    ends = np.arange(0, rows * width + 1, width, dtype=np.int32) if width else np.zeros(rows + 1, np.int32)
+    return pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(ends), pa.py_buffer(matrix.astype(np.uint8).tobytes())])
+
+
 def bootstraps(rows: DataFrame, trees: int, seed: int) -> DataFrame:
-    """``label, bins, copies`` from rows with ``key, label, bins``."""
+    """``label, bins, copies`` from rows with ``key, label, bins``; bins and copies as bytes, one each."""
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 4096):
                 part = batch.slice(start, 4096)
-                copies = bootstrap_counts(part.column("key").to_pylist(), trees, seed).astype(np.int32)
-                arrays = pa.ListArray.from_arrays(np.arange(0, copies.size + 1, trees, dtype=np.int32), copies.ravel())
-                yield pa.RecordBatch.from_arrays([part.column("label"), part.column("bins"), arrays], names=["label", "bins", "copies"])
+                copies = bootstrap_counts(part.column("key").to_pylist(), trees, seed)
+                yield pa.RecordBatch.from_arrays([part.column("label"), _bytes(_matrix(part.column("bins"))), _bytes(copies)],
+                                                 names=["label", "bins", "copies"])
 
-    return rows.mapInArrow(draw, "label int, bins array<int>, copies array<int>")
+    return rows.mapInArrow(draw, "label int, bins binary, copies binary")
 
 
 def drawn_features(tree: int, node: int, features: int, seed: int) -> list[int]:
@@ -96,20 +104,33 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Labels, bins and copies (rows by trees) of up to CHUNK rows."""
+    """Labels, bins (features by rows) and copies (trees by rows) of up to CHUNK rows."""
     held: list[pa.RecordBatch] = []
+    count = 0
     for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) >= CHUNK:
-            yield _arrays(held)
-            held = []
-    if any(b.num_rows for b in held):
+        for start in range(0, batch.num_rows, CHUNK // 8):
+            held.append(batch.slice(start, CHUNK // 8))
+            count += held[-1].num_rows
+            if count > CHUNK - CHUNK // 8:
+                yield _arrays(held)
+                held, count = [], 0
+    if held:
         yield _arrays(held)
 
 
 def _arrays(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    table = pa.Table.from_batches([b for b in held if b.num_rows])
-    return table.column("label").to_numpy(), _matrix(table.column("bins")), _matrix(table.column("copies"))
+    def across(name: str) -> np.ndarray:
+        found = np.empty((len(held[0].column(name)[0].as_py()), sum(b.num_rows for b in held)), np.uint8)
+        start = 0
+        for batch in held:
+            column = batch.column(name)
+            ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset :][: len(column) + 1]
+            values = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+            found[:, start : start + len(column)] = values.reshape(len(column), -1).T if len(found) else 0
+            start += len(column)
+        return found
+
+    return np.concatenate([b.column("label").to_numpy() for b in held]), across("bins"), across("copies")
 
 
 class _Growing:
@@ -119,42 +140,63 @@ class _Growing:
         self.feature = np.full((trees, 2 ** (depth + 1)), -1, np.int16)
         self.bin = np.zeros((trees, 2 ** (depth + 1)), np.int16)
 
-    def place(self, tree: int, bins: np.ndarray, level: int) -> np.ndarray:
-        """The node each row has come to after ``level`` splits; a leaf above ends the way."""
-        node, rows = np.ones(len(bins), np.int64), np.arange(len(bins))
+    def place(self, tree: int, inside: np.ndarray, bins: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of ``inside`` that come as far as ``level`` splits, and the nodes they come to."""
+        node, flat, width = np.ones(len(inside), np.int64), bins.ravel(), bins.shape[1]
+        of, at = self.feature[tree].astype(np.int64), self.bin[tree]
         for _ in range(level):
-            feature = self.feature[tree, node]
-            right = bins[rows, np.maximum(feature, 0)] > self.bin[tree, node]
-            node = np.where(feature >= 0, 2 * node + right, node)
-        return node
+            feature = of[node]
+            on = np.flatnonzero(feature >= 0)
+            if len(on) < len(node):
+                inside, node, feature = inside[on], node[on], feature[on]
+            node = 2 * node + (flat[feature * width + inside] > at[node])
+        return inside, node
 
 
 def _histograms(sampled: DataFrame, growing, drawn, level: int) -> DataFrame:
-    """Class counts and rows by tree, node, drawn feature and bin, for the nodes of ``drawn``."""
+    """Class counts and rows by tree, node, drawn feature and bin, for the nodes of ``drawn``.
+
+    What a task holds is one chunk of rows and the counts of a few trees, which leave it as they come.
+    """
+    names = ["tree", "node", "feature", "bin", "zeros", "ones", "rows"]
+
+    def together(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(column)) for column in zip(*found)], names=names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for label, bins, copies in _chunks(batches):
+            flat, width = bins.ravel(), bins.shape[1]
+            # Ones are counted in the same sum as zeros, above them: no sum of a chunk reaches 2 ** 24.
+            unit = np.where(label == 1, float(1 << 24), 1.0)
             found: list[tuple[np.ndarray, ...]] = []
             for tree, nodes in drawn.value.items():
-                inside = np.flatnonzero(copies[:, tree])
-                place = growing.value.place(tree, bins[inside], level)
+                inside, place = growing.value.place(tree, np.flatnonzero(copies[tree]), bins, level)
                 order = np.full(2 ** (level + 1), -1, np.int64)
                 order[list(nodes)] = np.arange(len(nodes))
-                inside, place = inside[order[place] >= 0], order[place[order[place] >= 0]]
-                weight, ones = copies[inside, tree], label[inside] == 1
-                numbers, chosen = list(nodes), np.full((len(nodes), max(map(len, nodes.values()))), -1)
+                place = order[place]
+                inside, place = inside[place >= 0], place[place >= 0]
+                weight = copies[tree][inside] * unit[inside]
+                numbers, chosen = np.array(list(nodes), np.int32), np.full((len(nodes), max(map(len, nodes.values()))), -1)
                 for i, features in enumerate(nodes.values()):
                     chosen[i, : len(features)] = features
                 for slot in range(chosen.shape[1]):
-                    feature = chosen[place, slot]
-                    code = place * BINS + bins[inside, np.maximum(feature, 0)]
-                    code, one, w = code[feature >= 0], ones[feature >= 0], weight[feature >= 0]
-                    sums = [np.bincount(code, v, len(nodes) * BINS).astype(np.int64) for v in (w * ~one, w * one, np.ones(len(w)))]
-                    at = np.flatnonzero(sums[2])
-                    found.append((np.full(len(at), tree + 1, np.int32), np.array(numbers, np.int32)[at // BINS],
-                                  chosen[at // BINS, slot].astype(np.int32), (at % BINS).astype(np.int32), *(s[at] for s in sums)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(column)) for column in zip(*found)],
-                                             names=["tree", "node", "feature", "bin", "zeros", "ones", "rows"])
+                    feature = chosen[:, slot][place]
+                    at, start, w = inside, place * BINS, weight
+                    if (chosen[:, slot] < 0).any():
+                        has = feature >= 0
+                        feature, at, start, w = feature[has], at[has], start[has], w[has]
+                    code = start + flat[feature * width + at]
+                    rows = np.bincount(code, minlength=len(nodes) * BINS)
+                    cells = np.flatnonzero(rows)
+                    sums = np.bincount(code, w, len(nodes) * BINS)[cells].astype(np.int64)
+                    of = cells // BINS
+                    found.append((np.full(len(cells), tree + 1, np.int32), numbers[of], chosen[of, slot].astype(np.int32),
+                                  (cells % BINS).astype(np.int32), sums & (1 << 24) - 1, sums >> 24, rows[cells]))
+                if sum(len(f[0]) for f in found) >= SENT:
+                    yield together(found)
+                    found = []
+            if found:
+                yield together(found)
 
     return sampled.mapInArrow(count, "tree int, node int, feature int, bin int, zeros bigint, ones bigint, rows bigint")
 
@@ -188,9 +230,11 @@ def tree_totals(sampled: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for label, _, copies in _chunks(batches):
+            ones = [tree[label == 1].sum(dtype=np.int64) for tree in copies]
+            total = copies.sum(axis=1, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(1, copies.shape[1] + 1, dtype=np.int32)), *(pa.array(v.sum(axis=0, dtype=np.int64)) for v in (
-                    copies[label != 1], copies[label == 1], copies > 0))], names=["tree", "all_zeros", "all_ones", "all_rows"])
+                [pa.array(np.arange(1, len(copies) + 1, dtype=np.int32)), *(pa.array(np.asarray(v, np.int64)) for v in (
+                    total - ones, ones, np.count_nonzero(copies, axis=1)))], names=["tree", "all_zeros", "all_ones", "all_rows"])
 
     return sampled.mapInArrow(count, "tree int, all_zeros bigint, all_ones bigint, all_rows bigint").groupBy("tree").agg(
         *(F.sum(c).alias(c) for c in ("all_zeros", "all_ones", "all_rows")))
@@ -205,7 +249,7 @@ def _cuts(rows: DataFrame, key: str, features: str, seed: int) -> list[list[floa
 
 def bag(table: DataFrame, *, key: str = "account_id", label: str = LABEL, features: str = "x", trees: int = TREES, seed: int = SEED,
         cuts: list[list[float]] | None = None) -> DataFrame:
-    """Binned rows with their copies in every tree: ``label, bins, copies``."""
+    """Binned rows with their copies in every tree: ``label, bins, copies``, the last two as bytes."""
     rows = table.where(F.col(label).isNotNull())
     cuts = cuts or _cuts(rows, key, features, seed) or []
     return bootstraps(rows.select(F.col(key).cast("string").alias("key"), F.col(label).cast("int").alias("label"),

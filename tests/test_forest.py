@@ -2,9 +2,12 @@
 
 import hashlib
 import random
+import tracemalloc
 from math import isqrt
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,3 +149,30 @@ def test_learns_and_reloads(spark, tmp_path):
     first = sorted(rows(forest.score(trained.model, table).select(pick)))
     assert first == sorted(rows(forest.score(again, table).select(pick))) and len(first) == 900
     assert forest.score(again, table).columns == [*table.columns, "churn_probability"]
+
+
+class Taken:
+    """Stands for a table: gives the function of a task back."""
+
+    def mapInArrow(self, function, _schema):
+        return function
+
+
+def test_a_task_does_not_hold_the_counts_of_all_trees():
+    trees, level, rng = 300, 6, np.random.default_rng(1)
+    keys, bins = [str(i) for i in range(20_000)], rng.integers(0, 32, (20_000, 30), np.int32)
+    batch = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(rng.integers(0, 2, 20_000, np.int32)), pa.array(list(bins))],
+                                       names=["key", "label", "bins"])
+    drawn = list(forest.bootstraps(Taken(), trees, 1)(iter([batch])))
+    growing = forest._Growing(trees, level)
+    growing.feature[:, 1 : 2**level] = rng.integers(0, 30, (trees, 2**level - 1))
+    growing.bin[:] = 15
+    nodes = {t: {n: [1, 5, 9, 20, 28] for n in range(2**level, 2 ** (level + 1))} for t in range(trees)}
+    count = forest._histograms(Taken(), SimpleNamespace(value=growing), SimpleNamespace(value=nodes), level)
+    tracemalloc.start()
+    cells = most = 0
+    for sent in count(iter(drawn)):
+        cells, most = cells + sent.num_rows, max(most, sent.num_rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert cells > 2_000_000 and most < 200_000 and peak < 60 << 20
