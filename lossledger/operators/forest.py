@@ -234,7 +234,7 @@ def tree_totals(sampled: DataFrame) -> DataFrame:
             total = copies.sum(axis=1, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(1, len(copies) + 1, dtype=np.int32)), *(pa.array(np.asarray(v, np.int64)) for v in (
-                    total - ones, ones, np.count_nonzero(copies, axis=1)))], names=["tree", "all_zeros", "all_ones", "all_rows"])
+                    total - ones, ones, [np.count_nonzero(tree) for tree in copies]))], names=["tree", "all_zeros", "all_ones", "all_rows"])
 
     return sampled.mapInArrow(count, "tree int, all_zeros bigint, all_ones bigint, all_rows bigint").groupBy("tree").agg(
         *(F.sum(c).alias(c) for c in ("all_zeros", "all_ones", "all_rows")))

@@ -176,3 +176,27 @@ def test_a_task_does_not_hold_the_counts_of_all_trees():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert cells > 2_000_000 and most < 200_000 and peak < 60 << 20
+
+
+def test_totals_copy_no_table_of_copies(spark):
+    trees, rows_ = 300, 50_000
+    copies = np.random.default_rng(2).poisson(1, (rows_, trees)).astype(np.uint8)
+    label = (np.arange(rows_) % 3 == 0).astype(np.int32)
+    batch = pa.RecordBatch.from_arrays([pa.array(label), forest._bytes(np.zeros((rows_, 4))), forest._bytes(copies)],
+                                       names=["label", "bins", "copies"])
+    got = []
+
+    class Counted(Taken):
+        def mapInArrow(self, function, _schema):
+            tracemalloc.start()
+            got.extend(function(iter([batch])))
+            got.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+            return SimpleNamespace(groupBy=lambda _: SimpleNamespace(agg=lambda *_: None))
+
+    forest.tree_totals(Counted())
+    *sent, peak = got
+    assert sent[0].column("all_zeros").to_pylist() == copies[label == 0].sum(axis=0).tolist()
+    assert sent[0].column("all_ones").to_pylist() == copies[label == 1].sum(axis=0).tolist()
+    assert sent[0].column("all_rows").to_pylist() == (copies > 0).sum(axis=0).tolist()
+    assert peak < 2 * copies.size
