@@ -307,25 +307,29 @@ def walk(table: DataFrame, nodes: DataFrame, features: str = "x", name: str = "c
     forest = nodes.toArrow()
     trees, numbers = (forest.column(c).to_numpy() for c in ("tree", "node"))
     places = {key: i for i, key in enumerate(zip(trees.tolist(), numbers.tolist()))}
-    child = {side: np.array([places.get((t, n), -1) if n is not None else -1 for t, n in zip(
-        trees.tolist(), forest.column(side).to_pylist())], np.int64) for side in ("left", "right")}
+    # A node without children leads to itself, whichever way.
+    child = np.array([[places.get((t, n), i) if n is not None else i for i, (t, n) in enumerate(zip(
+        trees.tolist(), forest.column(side).to_pylist()))] for side in ("left", "right")], np.int64).reshape(2, -1).T.ravel()
     split = np.array(forest.column("split").to_numpy(zero_copy_only=False), float)
-    feature = np.array([-1 if f is None else f for f in forest.column("feature").to_pylist()], np.int64)
+    feature = np.array([0 if f is None else f for f in forest.column("feature").to_pylist()], np.int64)
+    roots = {t: places[t, 1] for t in sorted(set(trees.tolist())) if (t, 1) in places}
+    deepest = dict.fromkeys(trees.tolist(), 0)
+    for t, n in places:
+        deepest[t] = max(deepest[t], n.bit_length() - 1)
     shared = table.sparkSession.sparkContext.broadcast((
-        np.flatnonzero(numbers == 1), child["left"], child["right"], feature, split, forest.column("probability").to_numpy()))
+        [(root, deepest[t]) for t, root in roots.items()], child, feature, split, forest.column("probability").to_numpy()))
     column = table.columns.index(features)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roots, left, right, of, at, probability = shared.value
+        roots, child, of, at, probability = shared.value
         for batch in batches:
             total = np.zeros(batch.num_rows)
             values = _matrix(batch.column(column)) if batch.num_rows else np.empty((0, 1))
-            rows = np.arange(batch.num_rows)
-            for root in roots.tolist():
+            flat, start = np.ascontiguousarray(values).ravel(), np.arange(batch.num_rows) * values.shape[1]
+            for root, depth in roots:
                 place = np.full(batch.num_rows, root)
-                while (inner := of[place] >= 0).any():
-                    low = values[rows, np.maximum(of[place], 0)] <= at[place]
-                    place = np.where(inner, np.where(low, left[place], right[place]), place)
+                for _ in range(depth):
+                    place = child[2 * place + np.logical_not(flat[start + of[place]] <= at[place])]
                 total += probability[place]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total / max(1, len(roots)))], names=[*batch.schema.names, name])
 

@@ -200,3 +200,13 @@ def test_totals_copy_no_table_of_copies(spark):
     assert sent[0].column("all_ones").to_pylist() == copies[label == 1].sum(axis=0).tolist()
     assert sent[0].column("all_rows").to_pylist() == (copies > 0).sum(axis=0).tolist()
     assert peak < 2 * copies.size
+
+
+def test_walk_ends_at_leaves_of_any_depth(spark):
+    """Short trees, and a value that is no number in a row that ends early."""
+    nodes = spark.createDataFrame([(1, 1, 0, 0.5, 2, 3, 0, 0, 0, 0.0), (1, 2, None, None, None, None, 0, 0, 0, 0.25),
+                                   (1, 3, 1, 2.0, 6, 7, 0, 0, 0, 0.0), (1, 6, None, None, None, None, 0, 0, 0, 0.5),
+                                   (1, 7, None, None, None, None, 0, 0, 0, 1.0), (2, 1, None, None, None, None, 0, 0, 0, 0.125)], forest.NODES)
+    table = spark.createDataFrame([(0, [0.0, float("nan")]), (1, [1.0, 2.0]), (2, [1.0, float("nan")]), (3, [float("nan"), 9.0])],
+                                  "i int, x array<double>")
+    assert [r["churn_probability"] for r in forest.walk(table, nodes).orderBy("i").collect()] == [0.1875, 0.3125, 0.5625, 0.5625]
