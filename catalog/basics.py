@@ -12,6 +12,7 @@ from lossledger.functions.text import lookup_label
 from lossledger.operators import attribution, features, ledger, profile, recommend, rollups
 from lossledger.operators.lookups import lookup_join
 from lossledger.plans import exports, views
+from lossledger.session import stage
 from lossledger.sources import star_schema as star
 
 # ---- sources and sinks ------------------------------------------------------------------------
@@ -29,13 +30,15 @@ from lossledger.sources import star_schema as star
     union all select 'evidence_support_tickets', count(*), 12 from support_tickets
     union all select 'evidence_sales_notes', count(*), 9 from sales_notes""")
 def export_manifest(spark, path):
+    """Every text is classified for its own extract; the losses are classified once, for a stored summary."""
+    summary, risk = stage(inputs.summary(spark, path, ordered=True)), stage(inputs.risk(spark, path, ordered=True))
     outputs = {
-        "account_risk_scores": inputs.risk(spark, path, ordered=True),
-        "revenue_loss_summary": inputs.summary(spark, path, ordered=True),
+        "account_risk_scores": risk,
+        "revenue_loss_summary": summary,
         "revenue_loss_trend": inputs.trend(spark, path),
         "segment_loss": inputs.segments(spark, path),
         "model_metrics": inputs.metrics(spark, path),
-        "recommendations": recommend.recommend(inputs.summary(spark, path)),
+        "recommendations": recommend.recommend(summary),
         "cancellations_classified": inputs.classified_cancellations(spark, path),
         "support_tickets_classified": inputs.classified_tickets(spark, path),
         "sales_notes_classified": inputs.classified_notes_with_account(spark, path),
