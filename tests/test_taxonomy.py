@@ -162,3 +162,9 @@ def test_a_small_index_moves_no_text(spark):
     df = spark.range(10).select(F.concat(F.lit("pricing "), F.col("id")).alias("text"))
     assert "Exchange" not in planned(by_index(df, "text")) and "Exchange" in planned(shuffled(df, "text"))
     assert rows(by_index(df, "text").where("category = 'Product'")) == []
+
+
+def test_the_text_is_made_once_before_the_counting(spark):
+    df = spark.range(10).select(F.concat(F.lit("pricing "), F.col("id")).alias("text"))
+    plan = planned(classify(df, "text"))
+    assert plan.count("Generate explode") == 2 and plan.count("lower(") == 1
