@@ -11,9 +11,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lossledger.llm.hashing import mix
+
 BATCH_ROWS = 1000
 BLOCK = 16  # the cells of a sketch travel in blocks of 2 ** BLOCK
 
@@ -172,6 +174,21 @@ class Sketch:
         self._raise(cells, np.frombuffer(place, "<u2").astype(np.int64) + (block << BLOCK),
                     np.frombuffer(count, self.dtype).astype(np.int64))
 
+    def may_hold(self, members: DataFrame, name: str) -> Column:
+        """Whether a whole number in column ``name`` is in that column of ``members``; a few others pass as well.
+
+        Only the number leaves the executor for the test, not the row.
+        """
+        cells = members.sparkSession.sparkContext.broadcast(
+            merged_sketch(members, self, lambda row: mix(np.array([row[name]], "i8").view("u8"))))
+
+        def test(numbers: pa.Array) -> pa.Array:
+            keys = mix(numbers.fill_null(0).to_numpy(zero_copy_only=False).view("u8"))
+            return pa.array(self.estimate(cells.value, keys) > 0)
+
+        test.__annotations__ = {"numbers": pa.Array, "return": pa.Array}
+        return F.arrow_udf(test, "boolean")(F.col(name))
+
 
 SKETCH_ROWS = {"block": "int", "place": "binary", "count": "binary"}
 

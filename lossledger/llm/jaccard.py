@@ -25,6 +25,7 @@ an id are one node with all their sets; an empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import combinations, groupby
 from math import comb
@@ -40,6 +41,7 @@ from lossledger.llm.hashing import mix, run_hashes, word_hashes
 WORD_COUNTS = Sketch(depth=1, bits=22, dtype="u4", top=2**32 - 1)  # 16 MB whatever the corpus
 MEMBERS = Sketch(depth=2, bits=24, dtype="u1", top=1)  # 32 MB whatever the number of candidates
 FIELD = 256, 2048  # bits of the field of a set, from the fewest to the most
+BRIEF = 512  # bits of a field that goes with every entry of a list
 BLOCK_SETS = 512
 SMALL_LIMIT = 29  # larger sets would send hundreds of subsets each
 SUBSET_COST = 1.0
@@ -199,8 +201,9 @@ def _small_links(sets: DataFrame, largest: int, limit: Threshold) -> DataFrame:
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
-    """Pairs whose bit fields allow a link; no linked pair is lost."""
-    own = sets.select("doc_id", "n", "field")
+    """Pairs whose bit fields allow a link; no linked pair is lost. Only fields of documents in pairs travel."""
+    members = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    own = sets.select("doc_id", "n", "field").where(MEMBERS.may_hold(members, "doc_id"))
 
     def test(rows: Iterator[dict]) -> Iterator[tuple]:
         for row in rows:
@@ -215,24 +218,30 @@ def _possible(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, limit: Threshold) -> DataFrame:
-    """The pairs that are linked, compared element by element."""
+    """The pairs that are linked, compared element by element.
+
+    The texts travel to their pairs, packed: they are shorter than their elements, which are made anew there.
+    """
     members = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    cells = docs.sparkSession.sparkContext.broadcast(merged_sketch(
-        members, MEMBERS, lambda row: mix(np.array([row["doc_id"]], "i8").view("u8"))))
 
-    def sets(rows: Iterator[dict]) -> Iterator[tuple]:
-        """Only documents that may be in a pair; a few others pass as well."""
+    def packed(rows: Iterator[dict]) -> Iterator[tuple]:
         for row in rows:
-            key = mix(np.array([row["doc_id"]], "i8").view("u8"))
-            if MEMBERS.estimate(cells.value, key)[0]:
-                yield row["doc_id"], shingles(row["text"], n).view("i8")
+            yield row["doc_id"], zlib.compress((row["text"] or "").encode())
 
-    found = map_rows(docs.where("doc_id IS NOT NULL"), {"doc_id": "bigint", "elements": "array<bigint>"}, sets, size=64)
-    first = found.select(F.col("doc_id").alias("a"), F.col("elements").alias("x"))
-    second = found.select(F.col("doc_id").alias("b"), F.col("elements").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))  # row by row: no batch holds many pairs of long sets
-    return staged(pairs.join(first, "a").join(second, "b").where(
-        100 * common >= limit.percent * (F.size("x") + F.size("y") - common)).select("a", "b").distinct())
+    # only documents that may be in a pair; a few others pass as well
+    found = map_rows(docs.where("doc_id IS NOT NULL").where(MEMBERS.may_hold(members, "doc_id")).select("doc_id", "text"), {
+        "doc_id": "bigint", "text": "binary"}, packed, size=64)
+    first = found.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
+    second = found.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
+
+    def test(rows: Iterator[dict]) -> Iterator[tuple]:
+        for row in rows:
+            one, other = (shingles(zlib.decompress(row[c]).decode(), n) for c in ("x", "y"))
+            if limit.linked(len(np.intersect1d(one, other, assume_unique=True)), len(one), len(other)):
+                yield row["a"], row["b"]
+
+    return staged(map_rows(pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y"), {
+        "a": "bigint", "b": "bigint"}, test).distinct())
 
 
 def _unlinked(lists: DataFrame, sets: DataFrame, small: int, limit: Threshold) -> DataFrame:
@@ -240,10 +249,17 @@ def _unlinked(lists: DataFrame, sets: DataFrame, small: int, limit: Threshold) -
 
     A list is cut into ``blocks`` blocks of bounded size and each pair of blocks is one unit of work, so a
     long list is spread over many tasks. Pairs are compared inside the unit, by sizes and by bit fields; only
-    those that pass leave it. The fields travel once, to their units.
+    those that pass leave it. The fields travel once, to their units, cut down to ``BRIEF`` bits: one goes with
+    each entry, so they are most of what travels.
     """
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    full = lists.join(sets.select("doc_id", "n", "field"), ["doc_id", "n"])
+
+    def cut(rows: Iterator[dict]) -> Iterator[tuple]:
+        for row in rows:
+            yield row["doc_id"], row["n"], _folded(np.frombuffer(row["field"], "u8"), BRIEF // 64).tobytes()
+
+    brief = map_rows(sets.select("doc_id", "n", "field"), {"doc_id": "bigint", "n": "int", "field": "binary"}, cut)
+    full = lists.join(brief, ["doc_id", "n"])
     sent = full.withColumn("own", own).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "element", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own",
@@ -287,7 +303,7 @@ def _large_links(sets: DataFrame, docs: DataFrame, small: int, links: DataFrame,
 
     centres = lists.groupBy("element", "band").agg(F.min("doc_id").alias("a"))
     stars = lists.join(centres, ["element", "band"]).where("doc_id != a").select("a", F.col("doc_id").alias("b")).distinct()
-    tried = staged(_possible(stars, sets, limit))
+    tried = staged(_possible(staged(stars), sets, limit))
     near = _verified(tried, docs, n, limit)
 
     classes = staged(components(links.unionByName(near)))
@@ -300,7 +316,8 @@ def _large_links(sets: DataFrame, docs: DataFrame, small: int, links: DataFrame,
     pairs = _unlinked(open_lists, sets, small, limit)
     known = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rest = staged(pairs.join(known, ["a", "b"], "left_anti"))
-    return near.unionByName(_verified(rest, docs, n, limit))
+    # those that the short fields let through meet the whole ones
+    return near.unionByName(_verified(staged(_possible(rest, sets, limit)), docs, n, limit))
 
 
 def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 3,
@@ -344,7 +361,7 @@ def one_of_each_class(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     class stays (the first stored), and a row without an id is linked like any other and stays only if
     its class has no id. A null or wordless text is linked with nothing; of such rows only repeats of
     one id and text go, and those without an id stay. An empty table gives no rows. What is stored on
-    the way is removed, but for the numbered rows and their classes, which the result reads.
+    the way is removed, but for the numbered rows and a few numbers, which the result reads.
     """
     # a name that no column of the documents has
     number = "_row" + "_" * max((len(name) for name in docs.columns), default=0)
@@ -357,8 +374,11 @@ def one_of_each_class(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             F.col(number).alias("_row"), F.col(id_col).alias("_own"), F.xxhash64(text_col).alias("_text")).join(
             classes, "_row").select(
             "_row", "_own", F.when(~alone, F.col("component_id")).alias("_class"),
-            F.when(alone, F.col("_own")).alias("_id"), F.when(alone, F.col("_text")).alias("_text")), keep=True)
-    first = F.min(F.struct(F.col("_own").isNull().alias("no_id"), "_own", "_row"))
-    kept = classed.groupBy("_class", "_id", "_text").agg(first.alias("first")).select("first._row")
-    others = classed.select("_row").join(kept, "_row", "left_anti").select(F.col("_row").alias(number))
-    return rows.join(others, number, "left_anti").drop(number)
+            F.when(alone, F.col("_own")).alias("_id"), F.when(alone, F.col("_text")).alias("_text")))
+        first = F.min(F.struct(F.col("_own").isNull().alias("no_id"), "_own", "_row"))
+        kept = classed.groupBy("_class", "_id", "_text").agg(first.alias("first")).select("first._row")
+        others = staged(classed.select("_row").join(kept, "_row", "left_anti").select(F.col("_row").alias(number)))
+        # the texts stay where they are: the few rows that only seem to go are told by their numbers
+        seems = MEMBERS.may_hold(others, number)
+        stay = staged(rows.select(number).where(seems).join(others, number, "left_anti"), keep=True)
+    return rows.where(~seems).unionByName(rows.where(seems).join(stay, number, "left_semi")).drop(number)

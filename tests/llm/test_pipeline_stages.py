@@ -2,11 +2,14 @@
 
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lossledger.llm.common import removed_after, staged
+from lossledger.llm.jaccard import MEMBERS, Threshold, _field, _unlinked, _verified
+from tests.conftest import final_plan
 from tests.llm import plain
 
 DATA = "/root/testdata/sf0.001"
@@ -92,3 +95,38 @@ def test_stored_steps_are_removed(spark):
     for frame in (gone, inner):
         with pytest.raises(Exception, match="(?i)not exist|not_exist|FILE"):
             frame.collect()
+
+
+def test_texts_stay_where_they_are_when_copies_go(spark, documents, settings):
+    """Enough rows go that their numbers are not sent to all tasks; the rows of the result meet no shuffle."""
+    docs = documents([(i, " ".join(f"w{i % 1000}x{j}" for j in range(8))) for i in range(6000)] + [(None, None), (7, None)])
+    settings(spark__sql__autoBroadcastJoinThreshold="20k")
+    kept = corpus_pipeline.keep_one_of_each_class(spark, docs, "")
+    assert "SortMergeJoin" not in final_plan(kept)
+    ids = sorted(r["doc_id"] for r in kept.where("text IS NOT NULL").select("doc_id").collect())
+    assert ids == list(range(1000)) and kept.count() == 1002
+
+
+def test_members_pass_and_few_others(spark):
+    members = spark.createDataFrame([(5,), (-3,), (1 << 40,), (5,)], "id bigint")
+    numbers = spark.createDataFrame([(i,) for i in range(-500, 500)] + [(1 << 40,), (None,)], "id bigint")
+    passed = {r["id"] for r in numbers.where(MEMBERS.may_hold(members, "id")).collect()}
+    assert passed >= {5, -3, 1 << 40} and len(passed) < 8
+    assert numbers.where(MEMBERS.may_hold(members.limit(0), "id")).collect() == []
+
+
+def test_pairs_are_tested_by_whole_texts(spark, documents):
+    text = lambda n: " ".join(f"w{i}" for i in range(n))
+    docs = documents([(1, text(100)), (2, text(91)), (3, text(89)), (4, None), (1, None)])
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (2, 4)], "a bigint, b bigint")
+    assert sorted(map(tuple, _verified(pairs, docs, 3, Threshold(90)).collect())) == [(1, 2), (2, 3)]
+
+
+def test_short_fields_keep_every_pair_that_may_be_linked(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 400, dtype="u8")
+    several = [np.unique(np.r_[base[cut:], rng.integers(0, 1 << 63, cut, dtype="u8")]) for cut in (0, 10, 20, 200)]
+    sets = spark.createDataFrame([(i, len(e), bytearray(_field(e))) for i, e in enumerate(several)], "doc_id bigint, n int, field binary")
+    lists = sets.selectExpr("9L as element", "doc_id", "n", "doc_id as class", "2 as blocks")
+    got = {tuple(r) for r in _unlinked(lists, sets, 0, Threshold(80)).collect()}
+    assert got == {(0, 1), (0, 2), (1, 2)}
