@@ -14,6 +14,7 @@ from lossledger.operators import ledger
 from lossledger.operators.scoring import revenue_at_risk, risk_tier
 from lossledger.operators.taxonomy import classify, classify_indexed, rules_table
 from lossledger.plans import views
+from lossledger.session import dealt_out
 from lossledger.settings import AS_OF
 from lossledger.sources import star_schema as star
 
@@ -186,8 +187,9 @@ def classify_documents(spark, path):
 @register("t02_rule_hits", """
     select category, subcategory, count(*) as notes from notes_classified group by 1, 2""")
 def rule_hits(spark, path):
-    """The rules as a table, found through the index of their keywords."""
-    classified = classify_indexed(star.sales_notes(spark, path), "note_text", rules_table(spark))
+    """The rules as a table, found through the index of their keywords; only the ids travel to other tasks."""
+    notes = star.with_note_text(dealt_out(star.notes_without_text(spark, path).select("note_id")))
+    classified = classify_indexed(notes, "note_text", rules_table(spark))
     return classified.groupBy("category", "subcategory").agg(F.count(F.lit(1)).alias("notes"))
 
 

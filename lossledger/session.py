@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Runtime settings only: executor sizing belongs to the cluster's own configuration.
 RECOMMENDED = {
@@ -53,3 +54,14 @@ def stage(df: DataFrame) -> DataFrame:
             shared = tempfile.mkdtemp(prefix="lossledger-checkpoint-")
         context.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
+
+
+def dealt_out(df: DataFrame) -> DataFrame:
+    """``df`` spread evenly over as many tasks as the session has shuffle partitions.
+
+    A row group is read by one task however many rows it has; this comes before work that takes long per
+    row. Rows go by their place, so repeated or missing keys do not meet in one task.
+    """
+    place = "_place" + "_" * max((len(name) for name in df.columns), default=0)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.withColumn(place, F.monotonically_increasing_id()).repartition(tasks, place).drop(place)

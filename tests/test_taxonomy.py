@@ -4,7 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from catalog.shape_queries import rule_hits
 from lossledger.operators.taxonomy import RULES, Rule, _Finder, _parts, classify, classify_indexed, keyword_index, rules_table
+from lossledger.session import dealt_out
+from lossledger.sources import star_schema as star
 from tests.conftest import planned, rows
 
 # sentence, subcategory, matched terms, confidence
@@ -168,3 +171,20 @@ def test_the_text_is_made_once_before_the_counting(spark):
     df = spark.range(10).select(F.concat(F.lit("pricing "), F.col("id")).alias("text"))
     plan = planned(classify(df, "text"))
     assert plan.count("Generate explode") == 2 and plan.count("lower(") == 1
+
+
+def test_rule_hits_of_one_row_group_are_found_by_many_tasks(spark, tmp_path):
+    lines = spark.range(400).select(
+        F.when(F.col("id") % 9 > 0, F.col("id") % 150).alias("l_orderkey"), (F.col("id") % 7).cast("int").alias("l_linenumber"),
+        F.lit("1995-01-02").cast("timestamp").alias("l_shipdate"))
+    lines.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = rule_hits(spark, str(tmp_path))
+    assert "REPARTITION_BY_NUM" in planned(found).split("ArrowEvalPython")[-1]
+    wanted = classify(star.sales_notes(spark, str(tmp_path)), "note_text").groupBy("category", "subcategory").agg(F.count(F.lit(1)))
+    assert sorted(rows(found)) == sorted(rows(wanted)) and sum(r[2] for r in rows(found)) == 400
+
+
+def test_rows_without_or_with_one_key_are_dealt_out_evenly(spark):
+    df = spark.range(4000).coalesce(1).select(F.lit(None).cast("bigint").alias("key"), F.lit(1).alias("_place"))
+    sizes = dealt_out(df).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 4 and max(r["count"] for r in sizes) < 1200 and dealt_out(df).columns == ["key", "_place"]
