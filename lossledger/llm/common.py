@@ -174,17 +174,30 @@ class Sketch:
         self._raise(cells, np.frombuffer(place, "<u2").astype(np.int64) + (block << BLOCK),
                     np.frombuffer(count, self.dtype).astype(np.int64))
 
-    def may_hold(self, members: DataFrame, name: str) -> Column:
-        """Whether a whole number in column ``name`` is in that column of ``members``; a few others pass as well.
+    def holder(self, members: DataFrame, name: str) -> Callable[[np.ndarray], np.ndarray]:
+        """A test, for use in tasks, whether whole numbers are in column ``name`` of ``members``; a few others pass as well.
 
-        Only the number leaves the executor for the test, not the row.
+        A bit for each counter goes to the tasks.
         """
-        cells = members.sparkSession.sparkContext.broadcast(
-            merged_sketch(members, self, lambda row: mix(np.array([row[name]], "i8").view("u8"))))
+        held = members.sparkSession.sparkContext.broadcast(np.packbits(
+            merged_sketch(members, self, lambda row: mix(np.array([row[name]], "i8").view("u8"))) > 0, bitorder="little"))
+
+        def test(numbers: np.ndarray) -> np.ndarray:
+            keys = mix(numbers.view("u8"))
+            found = np.ones(len(keys), bool)
+            for row in range(self.depth):
+                place = self.places(keys, row)
+                found &= (held.value[place >> 3] >> (place & 7) & 1).astype(bool)
+            return found
+
+        return test
+
+    def may_hold(self, members: DataFrame, name: str) -> Column:
+        """The test of ``holder`` for the numbers in column ``name``; no more of a row than its number leaves the executor."""
+        holds = self.holder(members, name)
 
         def test(numbers: pa.Array) -> pa.Array:
-            keys = mix(numbers.fill_null(0).to_numpy(zero_copy_only=False).view("u8"))
-            return pa.array(self.estimate(cells.value, keys) > 0)
+            return pa.array(holds(numbers.fill_null(0).to_numpy(zero_copy_only=False)))
 
         test.__annotations__ = {"numbers": pa.Array, "return": pa.Array}
         return F.arrow_udf(test, "boolean")(F.col(name))

@@ -203,7 +203,8 @@ def _small_links(sets: DataFrame, largest: int, limit: Threshold) -> DataFrame:
 def _possible(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
     """Pairs whose bit fields allow a link; no linked pair is lost. Only fields of documents in pairs travel."""
     members = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    own = sets.select("doc_id", "n", "field").where(MEMBERS.may_hold(members, "doc_id"))
+    # stored, so that no task needs two Python workers
+    own = staged(sets.select("doc_id", "n", "field").where(MEMBERS.may_hold(members, "doc_id")))
 
     def test(rows: Iterator[dict]) -> Iterator[tuple]:
         for row in rows:
@@ -222,15 +223,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, limit: Threshold) -> Da
 
     The texts travel to their pairs, packed: they are shorter than their elements, which are made anew there.
     """
-    members = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    holds = MEMBERS.holder(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), "doc_id")
 
     def packed(rows: Iterator[dict]) -> Iterator[tuple]:
+        """Only documents that may be in a pair; a few others pass as well."""
         for row in rows:
-            yield row["doc_id"], zlib.compress((row["text"] or "").encode())
+            if holds(np.array([row["doc_id"]], "i8"))[0]:
+                yield row["doc_id"], zlib.compress((row["text"] or "").encode())
 
-    # only documents that may be in a pair; a few others pass as well
-    found = map_rows(docs.where("doc_id IS NOT NULL").where(MEMBERS.may_hold(members, "doc_id")).select("doc_id", "text"), {
-        "doc_id": "bigint", "text": "binary"}, packed, size=64)
+    # stored, so that no task needs two Python workers
+    found = staged(map_rows(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), {
+        "doc_id": "bigint", "text": "binary"}, packed, size=64))
     first = found.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
     second = found.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
 
