@@ -1,8 +1,8 @@
 """Phrase collocations from sorted streams of counts.
 
-Words are counted first, then pairs of frequent words, then runs of three and four words whose pairs
-are all frequent: a phrase that occurs ``least`` times consists of parts that do. Which words and pairs
-are frequent is known to the counting tasks through bit fields of fixed size, which let some
+Words are counted first, then pairs of frequent words, then runs of three words whose pairs are both
+frequent, then runs of four whose threes are: a phrase that occurs ``least`` times consists of parts that do.
+Which shorter phrases are frequent is known to the counting tasks through bit fields of fixed size, which let some
 others pass but hold back none; counts are exact.
 
 Each length's counts are a stream, read in two orders: by all words but the last (prefix order) and by
@@ -40,7 +40,7 @@ LONGEST = 4
 LEAST = 30
 TOP = 2000
 FREQUENT = Sketch(depth=2, bits=24, dtype="u1", top=1)  # 32 MB whatever the corpus
-HELD = 8_000_000  # bytes of text that a task counts at once
+HELD = 4_000_000  # bytes of text that a task counts at once
 BREAK = b"\n"
 
 _FOLD = bytearray(range(256))
@@ -128,62 +128,50 @@ def _word_keys(lang: str, words: list[bytes]) -> np.ndarray:
     return mix(word_hashes(words) + word_hashes([lang.encode() + BREAK]))
 
 
-def _pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mix(first * np.uint64(3) + mix(second))
+def _run_keys(words: np.ndarray, length: int) -> np.ndarray:
+    """One key for each run of ``length`` neighbours, from the keys of the words in a row."""
+    count = max(0, len(words) - length + 1)
+    runs = words[:count]
+    for i in range(1, length):
+        runs = mix(runs * np.uint64(3) + mix(words[i : i + count]))
+    return runs
 
 
 def _bits(frequent: DataFrame) -> np.ndarray:
-    """The bit field of the frequent words or pairs of a language."""
+    """The bit field of the frequent phrases of a language; all have the same number of words."""
 
     def keys(row: dict) -> np.ndarray:
         words = _word_keys(row["lang"], row["phrase"].encode().split(BREAK))
-        return words if len(words) == 1 else _pair_keys(words[:1], words[1:])
+        return _run_keys(words, len(words))
 
     return merged_sketch(frequent.select("lang", "phrase"), FREQUENT, keys)
 
 
 class Runs:
-    """Runs of words that begin at ``place``: distinct ones as (shorter run, last word), and which each is."""
+    """Runs of words, one for each place: distinct ones as (shorter run, last word), and which each is."""
 
-    def __init__(self, place: np.ndarray, shorter: np.ndarray, last: np.ndarray, words: Words, joined: pa.Array):
+    def __init__(self, shorter: np.ndarray, last: np.ndarray, words: Words, joined: pa.Array):
         code, self.at, self.counts = np.unique(shorter * len(words.distinct) + last, return_inverse=True, return_counts=True)
-        self.place = place
-        self.first, self.last = code // max(1, len(words.distinct)), code % max(1, len(words.distinct))
+        first, last = code // max(1, len(words.distinct)), code % max(1, len(words.distinct))
         self.joined = pc.binary_join_element_wise(
-            joined.take(pa.array(self.first)), words.distinct.take(pa.array(self.last)), pa.scalar(BREAK, pa.binary()))
+            joined.take(pa.array(first)), words.distinct.take(pa.array(last)), pa.scalar(BREAK, pa.binary()))
 
 
-def _pair_runs(words: Words, allowed: np.ndarray) -> Runs:
-    """Pairs of neighbours that both are among the allowed distinct words."""
-    fine = allowed[words.at]
-    place = np.flatnonzero(fine[:-1] & fine[1:] & words.together(2)) if len(words) > 1 else np.empty(0, np.int64)
-    return Runs(place, words.at[place], words.at[place + 1], words, words.distinct)
+def _runs(cells, length: int) -> Callable[[str, Words], Counts]:
+    """Runs of ``length`` words in one piece both of whose runs of one word less may be frequent."""
 
-
-def _pairs(cells) -> Callable[[str, Words], Counts]:
-    def find(lang: str, words: Words) -> Counts:
-        often = FREQUENT.estimate(cells.value, _word_keys(lang, words.distinct.to_pylist())) > 0
-        runs = _pair_runs(words, often)
-        yield runs.joined, runs.counts
-
-    return find
-
-
-def _longer(cells) -> Callable[[str, Words], Counts]:
     def find(lang: str, words: Words) -> Counts:
-        runs = _pair_runs(words, np.ones(len(words.distinct), bool))
-        keys = _word_keys(lang, words.distinct.to_pylist())
-        often = FREQUENT.estimate(cells.value, _pair_keys(keys[runs.first], keys[runs.last])) > 0
-        begins = np.zeros(len(words) + LONGEST, bool)  # a frequent pair begins at this place
-        begins[runs.place] = often[runs.at]
-        run_at = np.zeros(len(words) + LONGEST, np.int64)
-        run_at[runs.place] = runs.at
-        for length in range(3, LONGEST + 1):
-            place = runs.place[begins[runs.place] & begins[runs.place + length - 2]] if length == 3 else (
-                runs.place[begins[runs.place + length - 2]])
-            runs = Runs(place, run_at[place], words.at[place + length - 1], words, runs.joined)
-            run_at[place] = runs.at
-            yield runs.joined, runs.counts
+        if len(words) < length:
+            return
+        keys = _run_keys(_word_keys(lang, words.distinct.to_pylist())[words.at], length - 1)
+        often = FREQUENT.estimate(cells.value, keys) > 0
+        del keys
+        place = np.flatnonzero(often[:-1] & often[1:] & words.together(length))
+        at, joined = words.at[place], words.distinct
+        for i in range(1, length):
+            runs = Runs(at, words.at[place + i], words, joined)
+            at, joined = runs.at, runs.joined
+        yield joined, runs.counts
 
     return find
 
@@ -194,11 +182,12 @@ def count_streams(texts: DataFrame, least: int = LEAST) -> tuple[DataFrame, list
     words = staged(_counted(texts, _words))
     total = words.groupBy("lang").agg(F.sum("f").alias("n"))
     often = f"f >= {least}"
-    one = words.where(often)
-    two = staged(_counted(texts, _pairs(context.broadcast(_bits(one)))).where(often))
-    rest = staged(_counted(texts, _longer(context.broadcast(_bits(two)))).where(often).withColumn(
-        "length", F.size(F.split("phrase", "\n"))))
-    return total, [one, two, *(rest.where(F.col("length") == k).drop("length") for k in range(3, LONGEST + 1))]
+    streams = [words.where(often)]
+    for length in range(2, LONGEST + 1):
+        cells = context.broadcast(_bits(streams[-1]))
+        streams.append(staged(_counted(texts, _runs(cells, length)).where(often)))
+        cells.unpersist()
+    return total, streams
 
 
 def _neighbours(stream: DataFrame) -> DataFrame:

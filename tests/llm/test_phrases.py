@@ -85,6 +85,23 @@ def test_full_sketches_hold_nothing_back(spark, monkeypatch):
     assert sorted(rows(collocations(table(spark, docs), least=2))) == plain(docs, 2)
 
 
+def test_runs_of_four_need_both_frequent_threes():
+    class Cells:
+        value = phrases.FREQUENT.empty()
+
+    def sent(*threes):
+        for three in threes:
+            keys = phrases._run_keys(phrases._word_keys("en", three.encode().split()), 3)
+            phrases.FREQUENT.add(Cells.value, keys)
+        folded = b"a b c d\nx a b c d\na b c\nd a b\nc d"
+        return [(p, int(n)) for found, counts in phrases._runs(Cells, 4)("en", phrases.Words(folded))
+                for p, n in zip(found.to_pylist(), counts)]
+
+    assert sent("a b c") == []
+    assert sent("b c d") == [(b"a\nb\nc\nd", 2)]
+    assert list(phrases._runs(Cells, 4)("en", phrases.Words(b"a b c"))) == []
+
+
 def test_scores_beyond_64_bits(spark):
     big = 3 * 10**18
     streams = [spark.createDataFrame([("en", p, f) for p, f in level], "lang string, phrase string, f bigint") for level in (
