@@ -31,7 +31,7 @@ from itertools import combinations, groupby
 from math import comb
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lossledger.llm.common import Sketch, map_rows, merged_sketch, removed_after, staged
@@ -43,6 +43,7 @@ MEMBERS = Sketch(depth=2, bits=24, dtype="u1", top=1)  # 32 MB whatever the numb
 FIELD = 256, 2048  # bits of the field of a set, from the fewest to the most
 BRIEF = 512  # bits of a field that goes with every entry of a list
 BLOCK_SETS = 512
+EARLIER = 6  # elements that go with every entry of a list, to tell pairs that an earlier list has sent
 SMALL_LIMIT = 29  # larger sets would send hundreds of subsets each
 SUBSET_COST = 1.0
 LIST_COST = 0.02  # of an entry scanned, most of which a size or class bound rejects
@@ -254,6 +255,10 @@ def _unlinked(lists: DataFrame, sets: DataFrame, small: int, limit: Threshold) -
     long list is spread over many tasks. Pairs are compared inside the unit, by sizes and by bit fields; only
     those that pass leave it. The fields travel once, to their units, cut down to ``BRIEF`` bits: one goes with
     each entry, so they are most of what travels.
+
+    Near copies share many lists. Whether a pair passes does not depend on the list, so a list leaves out pairs
+    that it can tell to be in an earlier one, by the ``EARLIER`` last elements of both sets before its own. The
+    first list of a pair has no earlier one, so it always sends the pair.
     """
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
 
@@ -262,11 +267,13 @@ def _unlinked(lists: DataFrame, sets: DataFrame, small: int, limit: Threshold) -
             yield row["doc_id"], row["n"], _folded(np.frombuffer(row["field"], "u8"), BRIEF // 64).tobytes()
 
     brief = map_rows(sets.select("doc_id", "n", "field"), {"doc_id": "bigint", "n": "int", "field": "binary"}, cut)
-    full = lists.join(brief, ["doc_id", "n"])
+    # dealt as the join deals, so this shuffles nothing more
+    before = Window.partitionBy("doc_id", "n").orderBy("element").rowsBetween(-EARLIER, -1)
+    full = lists.withColumn("earlier", F.collect_list("element").over(before)).join(brief, ["doc_id", "n"])
     sent = full.withColumn("own", own).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "element", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own",
-        "doc_id", "n", "class", "field")
+        "doc_id", "n", "class", "field", "earlier")
     unit = ["element", "low", "high"]
 
     def compare(rows: Iterator[dict]) -> Iterator[tuple]:
@@ -277,6 +284,7 @@ def _unlinked(lists: DataFrame, sets: DataFrame, small: int, limit: Threshold) -
             within = np.zeros(len(members), np.int64)  # place of a member among those with a field as wide
             for w in fields:
                 within[widths == w] = np.arange((widths == w).sum())
+            earlier = [frozenset(r["earlier"]) for r in members]
             ids, sizes, kinds, blocks = (np.array([r[c] for r in members]) for c in ("doc_id", "n", "class", "own"))
             for i in range(len(members)):
                 other = (kinds != kinds[i]) & (100 * sizes >= limit.percent * sizes[i])
@@ -289,8 +297,9 @@ def _unlinked(lists: DataFrame, sets: DataFrame, small: int, limit: Threshold) -
                     at = np.flatnonzero(other & (widths == w))
                     bound = _most_common(fields[int(widths[i])][within[i]], int(sizes[i]), fields[w][within[at]], sizes[at])
                     least = -(-limit.percent * (sizes[at] + sizes[i]) // (100 + limit.percent))
-                    for j in at[bound >= least]:
-                        yield int(ids[j]), int(ids[i])
+                    for j in at[bound >= least].tolist():
+                        if earlier[i].isdisjoint(earlier[j]):
+                            yield int(ids[j]), int(ids[i])
 
     return map_rows(sent.repartition(*unit).sortWithinPartitions(*unit), {"a": "bigint", "b": "bigint"}, compare).distinct()
 

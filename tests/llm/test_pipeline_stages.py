@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lossledger.llm.common import removed_after, staged
+from lossledger.llm import jaccard
+from lossledger.llm.common import map_rows, removed_after, staged
 from lossledger.llm.jaccard import MEMBERS, Threshold, _field, _unlinked, _verified
 from tests.conftest import final_plan
 from tests.llm import plain
@@ -130,3 +131,20 @@ def test_short_fields_keep_every_pair_that_may_be_linked(spark):
     lists = sets.selectExpr("9L as element", "doc_id", "n", "doc_id as class", "2 as blocks")
     got = {tuple(r) for r in _unlinked(lists, sets, 0, Threshold(80)).collect()}
     assert got == {(0, 1), (0, 2), (1, 2)}
+
+
+def test_pairs_of_many_lists_leave_them_a_few_times(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 400, dtype="u8")
+    several = [np.unique(np.r_[np.delete(base, rng.choice(400, 5, replace=False)), rng.integers(0, 1 << 63, 5, dtype="u8")])
+               for _ in range(12)]
+    sets = spark.createDataFrame([(i, len(e), bytearray(_field(e))) for i, e in enumerate(several)], "doc_id bigint, n int, field binary")
+    held = {element: [i for i in range(12) if rng.random() < 0.7] for element in range(-30, 30)}
+    lists = spark.createDataFrame([(e, i, len(several[i]), i, 1 + abs(e) % 2) for e, ids in held.items() for i in ids],
+                                  "element bigint, doc_id bigint, n int, class bigint, blocks int")
+    sent = []
+    monkeypatch.setattr(jaccard, "map_rows", lambda *a, **k: sent.append(map_rows(*a, **k)) or sent[-1])
+    got = {tuple(sorted(r)) for r in _unlinked(lists, sets, 0, Threshold(80)).collect()}
+    assert got == {(a, b) for b in range(12) for a in range(b)}
+    assert sum(len(ids) * (len(ids) - 1) // 2 for ids in held.values()) > 1500
+    assert sent[-1].count() < 3 * len(got)
