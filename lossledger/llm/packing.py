@@ -32,7 +32,8 @@ from lossledger.llm.common import map_rows, staged
 CAPACITY = 2048
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 GROUP_ROWS = 150_000
-CACHE_WORDS = 500_000  # words in each of the two generations a Python worker keeps
+CACHE_WORDS = 50_000  # words in each of the two generations a Python worker keeps
+CACHE_STEMS = 300_000  # words without marks; most of what the generations miss is in here
 
 
 def _byte_letters() -> list[str]:
@@ -64,7 +65,7 @@ class WordTokens:
         if found is None:
             plain = "".join([self.letters[b] for b in stem.encode()])
             found = np.array([t.id for t in self.tokenizer.model.tokenize(plain)], "<u4").tobytes()
-            if len(self.stems) >= CACHE_WORDS:
+            if len(self.stems) >= CACHE_STEMS:
                 self.stems.clear()
             self.stems[stem] = found
         return found

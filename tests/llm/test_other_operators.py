@@ -268,3 +268,13 @@ def test_pipeline(spark, tmp_path):
         assert plain.secrets(row["text"]) == [] or "[secret]" in row["text"]
         assert row["n_chars"] == len(row["text"])
     assert sorted({r["doc_id"] for r in seen[5].collect()}) == ids[4]
+
+
+def test_a_worker_keeps_a_bounded_number_of_words():
+    letters = "abcdefghijklmnopqrst"
+    words = ["".join(letters[i // 20**k % 20] for k in range(4)) + mark for i in range(130_000) for mark in ("", ",")[: 1 + (i % 9 == 0)]]
+    tokens = WordTokens()
+    ids = tokens.ids(" ".join(words))
+    assert len(tokens.young) + len(tokens.old) <= 100_000
+    assert tokens.ids(" ".join(words[:500])) == ids[: len(tokens.ids(" ".join(words[:500])))]
+    assert tokens.ids(" ".join(words[:300])) == tokens._encode(" ".join(words[:300]))
