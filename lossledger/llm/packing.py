@@ -32,8 +32,8 @@ from lossledger.llm.common import map_rows, staged
 CAPACITY = 2048
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 GROUP_ROWS = 150_000
-CACHE_WORDS = 50_000  # words in each of the two generations a Python worker keeps
-CACHE_STEMS = 300_000  # words without marks; most of what the generations miss is in here
+CACHE_WORDS = 200_000  # words in each of the two generations a Python worker keeps
+CACHE_STEMS = 200_000  # words without marks
 
 
 def _byte_letters() -> list[str]:
