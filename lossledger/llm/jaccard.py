@@ -11,7 +11,9 @@ enough together with the smallest set, so links to that one set are enough for t
 *Large sets.* The elements are ordered by how rare their rarest word is; each set enters the
 inverted lists of its first (rarest) elements, as many as a linked set cannot miss altogether. A
 list first links its sets to its smallest id of similar size; then sets of one list that are not yet
-in one class are compared pairwise. Each set has a bit field with some four bits per element; a bit that
+in one class are compared pairwise, in rounds: first the few likeliest pairs of each set in a list, then, in the
+lists that held pairs back, sixteen times as many of those that are still in different classes, until none is
+held back. Near copies are one class after a few of their pairs. Each set has a bit field with some four bits per element; a bit that
 only one of two sets has stands for an element the other lacks, which bounds the intersection from above
 and rejects nearly all candidates that are not linked. What is left is compared element by element.
 
@@ -43,6 +45,7 @@ MEMBERS = Sketch(depth=2, bits=24, dtype="u1", top=1)  # 32 MB whatever the numb
 FIELD = 256, 2048  # bits of the field of a set, from the fewest to the most
 BRIEF = 512  # bits of a field that goes with every entry of a list
 BLOCK_SETS = 512
+FEW, MORE = 2, 16  # pairs that a set sends from a list in the first round, and times as many in each later one
 EARLIER = 6  # elements that go with every entry of a list, to tell pairs that an earlier list has sent
 SMALL_LIMIT = 29  # larger sets would send hundreds of subsets each
 SUBSET_COST = 1.0
@@ -248,9 +251,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, limit: Threshold) -> Da
         "a": "bigint", "b": "bigint"}, test).distinct())
 
 
-def _unlinked(lists: DataFrame, sets: DataFrame, small: int, limit: Threshold) -> DataFrame:
+def _unlinked(lists: DataFrame, sets: DataFrame, small: int, limit: Threshold, most: int | None = None) -> DataFrame:
     """Pairs within a list that are in different classes and may be linked.
 
+    With ``most`` a set sends so many pairs with smaller ones at once, those whose bit fields leave the most to spare;
+    a list that holds others back says so by a row with its element as ``a`` and no ``b``.
+
     A list is cut into ``blocks`` blocks of bounded size and each pair of blocks is one unit of work, so a
     long list is spread over many tasks. Pairs are compared inside the unit, by sizes and by bit fields; only
     those that pass leave it. The fields travel once, to their units, cut down to ``BRIEF`` bits: one goes with
@@ -258,7 +264,7 @@ def _unlinked(lists: DataFrame, sets: DataFrame, small: int, limit: Threshold) -
 
     Near copies share many lists. Whether a pair passes does not depend on the list, so a list leaves out pairs
     that it can tell to be in an earlier one, by the ``EARLIER`` last elements of both sets before its own. The
-    first list of a pair has no earlier one, so it always sends the pair.
+    first list of a pair has no earlier one, so it always sends the pair or holds it back.
     """
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
 
@@ -277,7 +283,7 @@ def _unlinked(lists: DataFrame, sets: DataFrame, small: int, limit: Threshold) -
     unit = ["element", "low", "high"]
 
     def compare(rows: Iterator[dict]) -> Iterator[tuple]:
-        for (_, low, high), members in groupby(rows, key=lambda r: (r["element"], r["low"], r["high"])):
+        for (element, low, high), members in groupby(rows, key=lambda r: (r["element"], r["low"], r["high"])):
             members = list(members)
             widths = np.array([len(r["field"]) for r in members])
             fields = {w: np.array([np.frombuffer(r["field"], "u8") for r in members if len(r["field"]) == w]) for w in set(widths.tolist())}
@@ -286,6 +292,7 @@ def _unlinked(lists: DataFrame, sets: DataFrame, small: int, limit: Threshold) -
                 within[widths == w] = np.arange((widths == w).sum())
             earlier = [frozenset(r["earlier"]) for r in members]
             ids, sizes, kinds, blocks = (np.array([r[c] for r in members]) for c in ("doc_id", "n", "class", "own"))
+            back = False
             for i in range(len(members)):
                 other = (kinds != kinds[i]) & (100 * sizes >= limit.percent * sizes[i])
                 other &= (sizes < sizes[i]) | ((sizes == sizes[i]) & (ids < ids[i]))
@@ -293,13 +300,22 @@ def _unlinked(lists: DataFrame, sets: DataFrame, small: int, limit: Threshold) -
                     other &= blocks != blocks[i]
                 if sizes[i] <= small or not other.any():
                     continue
+                spare = np.full(len(members), -1)
                 for w in set(widths[other].tolist()):
                     at = np.flatnonzero(other & (widths == w))
                     bound = _most_common(fields[int(widths[i])][within[i]], int(sizes[i]), fields[w][within[at]], sizes[at])
-                    least = -(-limit.percent * (sizes[at] + sizes[i]) // (100 + limit.percent))
-                    for j in at[bound >= least].tolist():
-                        if earlier[i].isdisjoint(earlier[j]):
-                            yield int(ids[j]), int(ids[i])
+                    spare[at] = bound + -limit.percent * (sizes[at] + sizes[i]) // (100 + limit.percent)
+                may = np.flatnonzero(spare >= 0)
+                own_sent = 0
+                for j in may[np.argsort(-spare[may], kind="stable")].tolist():
+                    if earlier[i].isdisjoint(earlier[j]):
+                        if own_sent == most:
+                            back = True
+                            break
+                        own_sent += 1
+                        yield int(ids[j]), int(ids[i])
+            if back:
+                yield element, None
 
     return map_rows(sent.repartition(*unit).sortWithinPartitions(*unit), {"a": "bigint", "b": "bigint"}, compare).distinct()
 
@@ -318,18 +334,26 @@ def _large_links(sets: DataFrame, docs: DataFrame, small: int, links: DataFrame,
     tried = staged(_possible(staged(stars), sets, limit))
     near = _verified(tried, docs, n, limit)
 
-    classes = staged(components(links.unionByName(near)))
-    classed = lists.join(classes.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn(
-        "class", F.coalesce("component", "doc_id")).select("element", "doc_id", "n", "class")
-    mixed = classed.groupBy("element").agg(
-        F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("sets")).where(
-        "low != high").select("element", F.ceil(F.col("sets") / BLOCK_SETS).cast("int").alias("blocks"))
-    open_lists = staged(classed.join(mixed, "element"))
-    pairs = _unlinked(open_lists, sets, small, limit)
-    known = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = staged(pairs.join(known, ["a", "b"], "left_anti"))
-    # those that the short fields let through meet the whole ones
-    return near.unionByName(_verified(staged(_possible(rest, sets, limit)), docs, n, limit))
+    most = FEW
+    while True:
+        classes = staged(components(links.unionByName(near)))
+        classed = lists.join(classes.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn(
+            "class", F.coalesce("component", "doc_id")).select("element", "doc_id", "n", "class")
+        mixed = classed.groupBy("element").agg(
+            F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("sets")).where(
+            "low != high").select("element", F.ceil(F.col("sets") / BLOCK_SETS).cast("int").alias("blocks"))
+        open_lists = staged(classed.join(mixed, "element"))
+        found = staged(_unlinked(open_lists, sets, small, limit, most))
+        known = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        rest = staged(found.where("b IS NOT NULL").join(known, ["a", "b"], "left_anti"))
+        # those that the short fields let through meet the whole ones
+        near = near.unionByName(_verified(staged(_possible(rest, sets, limit)), docs, n, limit))
+        back = found.where("b IS NULL").select(F.col("a").alias("element"))
+        if back.isEmpty():
+            return near
+        # only lists that held pairs back come again; what was sent meets no second test
+        lists = staged(open_lists.select("element", "doc_id", "n").join(back, "element", "left_semi"))
+        tried, most = tried.unionByName(rest), most * MORE
 
 
 def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 3,

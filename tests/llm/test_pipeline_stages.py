@@ -148,3 +148,35 @@ def test_pairs_of_many_lists_leave_them_a_few_times(spark, monkeypatch):
     assert got == {(a, b) for b in range(12) for a in range(b)}
     assert sum(len(ids) * (len(ids) - 1) // 2 for ids in held.values()) > 1500
     assert sent[-1].count() < 3 * len(got)
+
+
+def test_near_copies_are_one_class_after_a_few_of_their_pairs(spark, documents, monkeypatch):
+    """The smallest id of their lists is linked with none of them, so the stars join nothing."""
+    rng = np.random.default_rng(6)
+    group, frequent = range(1, 61), [f"c{i}" for i in range(60)]
+    base = [f"w{i}" for i in range(40)] + frequent
+    copies = {i: [*base[:at], f"x{i}", f"y{i}", *base[at + 2:]] for i, at in zip(group, rng.integers(42, 98, len(group)).tolist())}
+    texts = {0: base[:42] + frequent[:1:-1], 99: [w for w in frequent for _ in range(300)]} | copies
+    pairs = [(i, " ".join(words)) for i, words in texts.items()]
+    tested = []
+    monkeypatch.setattr(jaccard, "_possible", lambda pairs, *a, f=jaccard._possible: tested.append(pairs.count()) or f(pairs, *a))
+    got = jaccard.jaccard_classes(documents(pairs), percent=80)
+    assert sorted(map(tuple, got.collect())) == plain.classes(pairs, 80)
+    assert {r["component_id"] for r in got.where(F.col("doc_id").isin(list(group))).collect()} == {1}
+    assert tested[0] == len(group) and sum(tested) < 10 * len(group) < len(group) * (len(group) - 1) // 2
+
+
+def test_lists_say_that_they_hold_pairs_back(spark):
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 63, 400, dtype="u8")
+    several = [np.unique(np.r_[base[2 * i:], rng.integers(0, 1 << 63, 2 * i, dtype="u8")]) for i in range(6)]
+    sets = spark.createDataFrame([(i, len(e), bytearray(_field(e))) for i, e in enumerate(several)], "doc_id bigint, n int, field binary")
+    lists = sets.selectExpr("explode(array(9L, if(doc_id < 3, 8L, 7L))) as element", "doc_id", "n", "doc_id as class", "1 as blocks")
+    every = {(a, b) for b in range(6) for a in range(b)}
+    for most, back in ((1, {7, 8, 9}), (2, {9}), (5, set()), (None, set())):
+        got = [tuple(r) for r in _unlinked(lists, sets, 0, Threshold(80), most).collect()]
+        assert {a for a, b in got if b is None} == back
+        sent = {r for r in got if r[1] is not None}
+        assert sent <= every and (back or sent == every)
+        # each of the five that are not the smallest sends one at least, and no more than ``most`` from a list
+        assert 5 <= len(sent) <= 2 * 5 * (most or 5)
